@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import budget, cutoff, leaks, mixing, packing
+from . import budget, cutoff, leaks, mixing, neardup, packing
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.NearDuplicates(load(spark, d, "l2_dataset")).document_pairs()
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.NearDuplicates(load(spark, d, "l2_dataset")).groups()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
