@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import budget, cutoff, leaks, mixing, neardup, packing
+from . import budget, cutoff, handwritten, leaks, mixing, neardup, packing
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(load(spark, d, "l2_dataset")).groups()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_files(spark, d).select("doc_id")
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(load(spark, d, "l2_dataset"), load(spark, d, "chunk_pool"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     supply = budget.domain_supply(load(spark, d, "l2_dataset"), load(spark, d, "tokenizer_vocab"), load(spark, d, "mix_15b_stage1"))
     return supply.where("short").select("domain")
