@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import budget, cutoff, handwritten, leaks, mixing, neardup, packing
+from . import budget, cutoff, handwritten, languages, leaks, mixing, neardup, packing
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +85,18 @@ def p7_rows(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).selection()
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_documents(spark, d).where("not as_labelled").select("doc_id", "lang")
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_languages(load(spark, d, "documents"))
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return languages.passage_languages(load(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
