@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Share of a file's characters in dense lines and literals that decides alone; and with repeated lines, each character of prose outweighing PROSE of theirs.
 BLOCK, UNIFORM, PROSE = 0.42, 0.45, 4
 #: Characters of a dense line; times that a line's shape must recur.
@@ -47,7 +49,7 @@ _TRAILING = re.compile(r"(?:\s//|\s#)\s[^'\"]*$")
 _NAMES = re.compile(r"'[^']*'|\"[^\"]*\"|[^\W\d]\w*|-?\d[\w.]*")
 _LISTS = re.compile(r"a(?:\s*,\s*-?a)+")
 _LITERAL = re.compile(r"\\x[0-9a-fA-F]{2}|0x[0-9a-fA-F]+|-?\b\d[\d.]*|'[A-Za-z0-9+/=_-]{24,}'|\"[A-Za-z0-9+/=_-]{24,}\"|^[A-Za-z0-9+/=]{40,}\\?$")
-_PROSE = re.compile(r"[^\W\d_][^\W\d_]*'?,?(?: [^\W_]+[',]?){5,}|[\u4e00-\u9fff\uff00-\uffef\u3000-\u303f]{6,}")
+_PROSE = re.compile(r"(?<!\w)[^\W\d_]+'?,?(?: [^\W_]+[',]?){5,}|[\u4e00-\u9fff\uff00-\uffef\u3000-\u303f]{6,}")
 _BLANK = re.compile(r"\s+")
 
 
@@ -181,7 +183,7 @@ def not_handwritten(records: DataFrame, pool: DataFrame) -> DataFrame:
     The header decides first, then a shared directory, a source map, and the layout: mostly dense lines and literals,
     or, with little prose beside them, these and lines whose shape recurs; the largest of the three names the reason.
     """
-    found = files(records)
+    found = materialize(files(records), "files")  # read three times
     at = pool.where("parent_doc_id is not null and url is not null").groupBy(F.col("parent_doc_id").alias("doc_id")).agg(F.min("url").alias("url"))
     tree = found.join(at, "doc_id").select("doc_id", F.expr("try_parse_url(url, 'HOST')").alias("repo"), F.expr("ltrim('/', try_parse_url(url, 'PATH'))").alias("path"), "leaf")
     shared = shared_directories(tree).withColumn("shared", F.lit(True))
