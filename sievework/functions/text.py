@@ -34,6 +34,11 @@ def _c(text: str | Column) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, which a lambda inside f would not see to on its own."""
+    return F.transform(F.array(value), f)[0]
+
+
 def count_matches(text, pattern: str) -> Column:
     """Occurrences of a pattern."""
     return F.regexp_count(_c(text), F.lit(pattern))
@@ -125,17 +130,25 @@ def clean_context(text) -> Column:
     return strip_space(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
+def _windows(parts: Column, n: int, mark: str, short: Column) -> Column:
+    """The set of n neighbouring parts, joined; `short` for fewer parts. Linear in the number of parts."""
+    return let(
+        parts,
+        lambda a: F.when(F.size(a) < n, short).otherwise(
+            F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), mark)))
+        ),
+    )
+
+
 def char_grams(text, n: int) -> Column:
     """The set of n-character windows; a shorter text is one window."""
     t = _c(text)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - (n - 1)))
-    return F.array_distinct(F.transform(steps, lambda i: F.substring(t, i, F.lit(n))))
+    return F.when(t.isNull(), F.lit(None)).otherwise(_windows(F.split(t, ""), n, "", F.array(t)))
 
 
 def word_grams(words: Column, n: int) -> Column:
     """The set of n-word windows of an array, joined by spaces; fewer words give none."""
-    steps = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(steps, lambda i: F.array_join(F.slice(words, i, n), " ")))
+    return _windows(words, n, " ", F.array().cast("array<string>"))
 
 
 def spaced_words(text) -> Column:

@@ -1,11 +1,14 @@
-"""The queries over the reference tables, with their SQL."""
+"""The queries over the reference's operators, with their SQL."""
 
 from __future__ import annotations
 
+from . import filter_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
