@@ -40,6 +40,7 @@ _QUOTE = re.compile(r"[“„«»「『][^“”„«»」』\n]{1,240}[”“»
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|={2,}\s).*$", re.M)
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
+_EIGHT = re.compile(r"(?:[^\W\d_][\W\d_]*){8}")
 
 
 def label_language(label: str | None) -> str | None:
@@ -53,7 +54,7 @@ def prose(text: str) -> str:
     bare = _ADDRESS.sub(" ", _FENCE.sub("\n", text)) if "`" in text or "://" in text or "@" in text or "$" in text or "~" in text or "www" in text else text
     less = _HEADING.sub("", _QUOTE.sub(" ", bare))
     for t in (less, bare):
-        if len(_NOT_LETTER.sub("", t)) >= 8:
+        if _EIGHT.search(t):
             return t
     return text
 
@@ -73,9 +74,9 @@ def sentences(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def as_bytes(sentence: str) -> bytes:
+def letters_of(sentence: str) -> str:
     """What the network reads: lower case, letters with single spaces."""
-    return _NOT_LETTER.sub(" ", sentence).lower().encode("utf-8", "ignore")
+    return _NOT_LETTER.sub(" ", sentence).lower()
 
 
 def nonsense(r: np.random.Generator) -> str:
@@ -99,7 +100,7 @@ def training_set(rows: list[tuple[str, str]], seed: int = 5) -> tuple[np.ndarray
         if r.random() < 1 / 3:
             body = "".join(c for c in unicodedata.normalize("NFD", body) if not unicodedata.combining(c))
         for line in body.split("\n"):
-            words = as_bytes(line).decode("utf-8").split()
+            words = letters_of(line).split()
             if r.random() < 0.5:
                 draw = r.random(len(words))
                 words = [w if d > 0.3 else f"{w} {nonsense(r)}" if d > 0.12 else nonsense(r) for w, d in zip(words, draw)]
@@ -146,14 +147,15 @@ def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS, steps: int = STEPS)
 def _label(net: Network, texts: list[str]) -> list[list[tuple[int, str, int, str, float]]]:
     """Per text its sentences: (line, sentence, letters, language, confidence)."""
     found = [sentences(prose(t)) for t in texts]
-    raw = [as_bytes(s) for f in found for _, s in f]
+    read = [letters_of(s) for f in found for _, s in f]
+    raw = [s.encode("utf-8", "ignore") for s in read]
+    letters = [len(s) - s.count(" ") for s in read]
     logs = net.pooled(raw).astype(np.float64)
     lens = np.array([max(1, len(b)) for b in raw])
     # neighbouring bytes tell much the same: ten of them count as one observation
     score = logs / np.maximum(lens, 1)[:, None] * np.minimum(np.maximum(lens / 10, 1), 30)[:, None]
     prob = np.exp(score - score.max(axis=1, keepdims=True)) if len(score) else score
     prob /= prob.sum(axis=1, keepdims=True)
-    letters = [len(_NOT_LETTER.sub("", s)) for f in found for _, s in f]
     out, at = [], 0
     for f in found:
         s, n = score[at : at + len(f)], np.array(letters[at : at + len(f)])
