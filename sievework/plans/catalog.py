@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup_queries, filter_queries, near_score_queries, sampling_queries, stats_queries  # noqa: F401
+from . import dedup_queries, filter_queries, near_score_queries, pipeline_queries, sampling_queries, stats_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -47,15 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/sievework/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
-    The table outlives the loss of any executor. It is removed when the driver's process ends.
+    The table outlives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sievework/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
