@@ -34,9 +34,9 @@ class Network:
         """States [T, B, H] for bytes [T, B]; with keep, what the way back needs."""
         W, U, c = self.p[f"W{d}"], self.p[f"U{d}"], self.p[f"c{d}"]
         steps, lanes = x.shape
-        out = np.empty((steps, lanes, H), np.float32)
-        h, tape = np.zeros((lanes, H), np.float32), []
-        g, zr, q, n = np.empty((lanes, 3 * H), np.float32), np.empty((lanes, 2 * H), np.float32), np.empty((lanes, H), np.float32), np.empty((lanes, H), np.float32)
+        new_ = lambda *s: np.empty(s, W.dtype)
+        out, h, tape = new_(steps, lanes, H), np.zeros((lanes, H), W.dtype), []
+        g, zr, q, n = new_(lanes, 3 * H), new_(lanes, 2 * H), new_(lanes, H), new_(lanes, H)
         for t in range(steps):
             a = W[x[t]]
             np.dot(h, U, out=g)

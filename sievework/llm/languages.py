@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .bigru import Network
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt")
-#: Labelled rows per language in the training sample, at most; bytes per training window; training steps.
-TRAIN_ROWS, WINDOW, STEPS = 400, 64, 600
+#: Labelled rows per language in the training sample, at most, and characters of each; bytes per training window; training steps.
+TRAIN_ROWS, TRAIN_CHARS, WINDOW, STEPS = 400, 20_000, 64, 600
 #: Share of a document's letters that makes a language one of its own.
 SHARE = 0.2
 #: Confidence below which a sentence takes one of the languages that are sure in its document.
@@ -128,7 +128,7 @@ def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS, steps: int = STEPS)
     if bound is None:
         return None
     at = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
-    rows = labelled.withColumn("at", at).where(F.col("at") < F.element_at(bound, F.col("own"))).select("own", "at", "doc_id", F.substring("text", 1, 20000).alias("text")).collect()
+    rows = labelled.withColumn("at", at).where(F.col("at") < F.element_at(bound, F.col("own"))).select("own", "at", "doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
     chosen: list[tuple[str, str]] = []
     for lang in LANGUAGES:
         own = sorted((r for r in rows if r["own"] == lang), key=lambda r: (r["at"], str(r["doc_id"]), r["text"]))

@@ -82,7 +82,7 @@ class Mix:
     """Rows to use and how often, per source, for the target shares.
 
     documents: doc_id, source, text; targets: source, weight, max_repeats, total_tokens. Rows of a source without a
-    target, or without a source, are not used. A target whose source has no rows stays empty. Null weights ask for
+    target, without a source or without doc_id are not used. A target whose source has no rows stays empty. Null weights ask for
     nothing; null max_repeats allow one use. Rows of no tokens fill nothing and are not used. Repeated target rows of
     one source are added up (weight) or the larger one holds (max_repeats).
     """
@@ -94,7 +94,7 @@ class Mix:
             .groupBy("source")
             .agg(F.sum(F.coalesce("weight", F.lit(0.0)) * F.coalesce("total_tokens", F.lit(0.0))).alias("want"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
         )
-        self.rows = materialize(documents.where("source is not null").select("doc_id", "source", n("text").alias("n_tokens")), "mix")
+        self.rows = materialize(documents.where("source is not null and doc_id is not null").select("doc_id", "source", n("text").alias("n_tokens")), "mix")
         have = self.rows.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("n_rows"))
         times = F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0)
         self.plan = (
