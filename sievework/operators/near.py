@@ -1,14 +1,17 @@
 """Near-duplicate reports by MinHash over character or word shingles: the reference family's batch operators.
 
-Hashing is JVM-side: a shingle's xxhash64, remixed per permutation by another xxhash64 with the permutation's number
-(a family without products, so ANSI arithmetic stays on). Buckets propose stars only; similarity is then exact on the
-shingle sets of the candidates.
+Shingles are hashed JVM-side (xxhash64); the minima under (a h + b) mod 2^61, whose products ANSI arithmetic refuses,
+come from Arrow batches in numpy. Buckets propose stars only; similarity is then exact on the shingle sets of the
+candidates.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import text as T
 from ..session import materialize
@@ -23,10 +26,31 @@ def shingle_hashes(words: Column, n: int = WORDS) -> Column:
     return F.transform(T.word_grams(words, n), lambda g: F.xxhash64(g))
 
 
+def coefficients(perms: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and offsets of the permutations."""
+    r = np.random.default_rng(seed)
+    return r.integers(0, 1 << 62, perms, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 62, perms, dtype=np.uint64)
+
+
 def minhash(hashes: Column, perms: int) -> Column:
-    """perms minima (ND3); null for an empty set."""
-    each = F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), lambda p: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, p))))
-    return F.when(F.size(hashes) > 0, each)
+    """perms minima of a set of hashes (ND3); null for an empty set."""
+    a, b = coefficients(perms)
+    mask = np.uint64((1 << 61) - 1)
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def minima(sets: pd.Series) -> pd.Series:
+        sizes = np.array([0 if s is None else len(s) for s in sets])
+        full = np.flatnonzero(sizes)
+        out = pd.Series([None] * len(sets), dtype=object)
+        if len(full):
+            flat = np.concatenate([np.asarray(sets.iloc[i], dtype=np.int64) for i in full]).view(np.uint64)
+            at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+            sig = np.stack([np.minimum.reduceat((x * flat + y) & mask, at) for x, y in zip(a, b)], axis=1).astype(np.int64)
+            for k, i in enumerate(full):
+                out.iloc[i] = sig[k]
+        return out
+
+    return minima(hashes)
 
 
 def signed(df: DataFrame, key: str, text: str, words: int = WORDS, perms: int = 96) -> DataFrame:

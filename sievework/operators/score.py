@@ -88,13 +88,29 @@ def head_score(vector: Column, weights: Sequence[float], bias: float) -> Column:
     return dot(vector, weights) / F.greatest(norm, F.lit(1e-12)) + bias
 
 
+def _padded(text: str, left: int) -> Column:
+    """The tokens of a text between its marks."""
+    return F.concat(F.array(*(F.lit(BOS) for _ in range(left))).cast("array<string>"), T.word_tokens(text), F.array(F.lit(EOS)))
+
+
+def _each(padded: Column, first: int, make) -> Column:
+    """make(tokens, place) of every place from `first` on (counted from 1); the tokens are computed once a text."""
+    return F.explode(T.let(padded, lambda p: F.transform(F.sequence(F.lit(first), F.size(p)), lambda i: make(p, i))))
+
+
 def gram_counts(df: DataFrame, text: str, order: int) -> DataFrame:
-    """ctx, word, count of every n-gram order 1..n with its padding (C6). Rows of one text are combined before the shuffle."""
-    toks = T.word_tokens(text)
-    t = df.where(F.size(toks) > 0).select(F.concat(F.array(*(F.lit(BOS) for _ in range(order - 1))) if order > 1 else F.array().cast("array<string>"), toks, F.array(F.lit(EOS))).alias("p"))
-    t = t.select("p", F.explode(F.sequence(F.lit(order), F.size("p"))).alias("i"))
-    grams = F.explode(F.transform(F.sequence(F.lit(1), F.lit(order)), lambda o: F.struct(o.alias("o"), F.array_join(F.slice("p", F.col("i") - o + 1, o - 1), " ").alias("ctx"), F.get("p", F.col("i") - 1).alias("word"))))
-    return t.select(grams.alias("g")).select("g.*").groupBy("o", "ctx", "word").agg(F.count("*").alias("n"))
+    """o, ctx, word, n of every n-gram of orders 1..order with its padding (C6). Counts are combined before the shuffle."""
+    gram = lambda o: lambda p, i: F.struct(F.lit(o).alias("o"), F.array_join(F.slice(p, i - o + 1, F.lit(o - 1)), " ").alias("ctx"), F.get(p, i - 1).alias("word"))
+    t = df.where(F.size(T.word_tokens(text)) > 0)
+    one = t.select(_each(_padded(text, order - 1), order, lambda p, i: F.array(*(gram(o)(p, i) for o in range(1, order + 1)))).alias("g"))
+    return one.select(F.explode("g").alias("g")).select("g.*").groupBy("o", "ctx", "word").agg(F.count("*").alias("n"))
+
+
+def _trigrams(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """keys, uv, v, w, times: the words in their contexts, counted per key."""
+    use = lambda p, i: F.struct(F.get(p, i - 1).alias("w"), F.get(p, i - 2).alias("v"), F.array_join(F.slice(p, i - 2, F.lit(2)), " ").alias("uv"))
+    t = df.where(F.size(T.word_tokens(text)) > 0).select(*keys, _each(_padded(text, 2), 3, use).alias("u"))
+    return t.groupBy(*keys, "u.uv", "u.v", "u.w").agg(F.count("*").alias("times"))
 
 
 class KneserNey:
@@ -120,11 +136,7 @@ class KneserNey:
 
     def perplexity(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """key, n_tokens, perplexity of every text with a token."""
-        toks = T.word_tokens(text)
-        t = df.where(F.size(toks) > 0).select(key, F.concat(F.array(F.lit(BOS), F.lit(BOS)), toks, F.array(F.lit(EOS))).alias("p"))
-        t = t.select(key, "p", F.explode(F.sequence(F.lit(2), F.size("p") - 1)).alias("i"))
-        t = t.select(key, F.get("p", F.col("i")).alias("w"), F.get("p", F.col("i") - 1).alias("v"), F.array_join(F.slice("p", F.col("i") - 1, 2), " ").alias("uv"))
-        uses = t.groupBy(key, "uv", "v", "w").agg(F.count("*").alias("times"))
+        uses = _trigrams(df, text, key)
         j = (
             uses.join(self.left.withColumnRenamed("word", "w"), "w", "left")
             .join(self.two.withColumnsRenamed({"ctx": "v", "word": "w"}), ["v", "w"], "left").join(self.t2.withColumnRenamed("ctx", "v"), "v", "left")
@@ -142,10 +154,7 @@ def bits_per_char(train: DataFrame, test: DataFrame, text: str, lam: tuple[float
     """One row: bits per character of test texts under interpolated 3-, 2- and 1-gram counts of the training texts (C17)."""
     c = gram_counts(train, text, 3)
     tot = c.groupBy("o", "ctx").agg(F.sum("n").alias("t"))
-    toks = T.word_tokens(text)
-    t = test.where(F.size(toks) > 0).select(F.concat(F.array(F.lit(BOS), F.lit(BOS)), toks, F.array(F.lit(EOS))).alias("p"))
-    t = t.select("p", F.explode(F.sequence(F.lit(2), F.size("p") - 1)).alias("i"))
-    uses = t.select(F.array_join(F.slice("p", F.col("i") - 1, 2), " ").alias("c3"), F.get("p", F.col("i") - 1).alias("c2"), F.lit("").alias("c1"), F.get("p", F.col("i")).alias("w")).groupBy("c3", "c2", "c1", "w").agg(F.count("*").alias("times"))
+    uses = _trigrams(test, text).select(F.col("uv").alias("c3"), F.col("v").alias("c2"), F.lit("").alias("c1"), "w", "times")
     p = F.lit(1e-9)
     for o, weight in zip((3, 2, 1), lam):
         k = c.where(F.col("o") == o).select(F.col("ctx").alias(f"c{o}"), F.col("word").alias("w"), F.col("n").alias(f"n{o}"))

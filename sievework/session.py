@@ -28,8 +28,16 @@ def build_session(master: str = "local[8]", partitions: int = 8, memory: str = "
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table of a data folder; a table of texts is spread over all cores if its files make fewer splits.
+
+    Work on texts is bound by computation, and a small file is one split. Large tables have more splits than there
+    are cores and are read as they lie, without that shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if "text" in df.columns and cores > 1 and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
