@@ -59,7 +59,8 @@ class Network:
 
     def _backward(self, x: np.ndarray, d: str, tape: list, dh_at: np.ndarray, grad: dict) -> None:
         U = self.p[f"U{d}"]
-        dW, dU, dc = np.zeros_like(self.p[f"W{d}"]), np.zeros_like(U), np.zeros(H, np.float32)
+        dW, dU, dc = np.zeros_like(self.p[f"W{d}"]), np.zeros_like(U), np.zeros(H, U.dtype)
+        inputs = np.empty((len(tape), x.shape[1], 3 * H), U.dtype)
         dh = np.zeros_like(dh_at[0])
         for t in range(len(tape) - 1, -1, -1):
             h, zr, q, n = tape[t]
@@ -69,12 +70,15 @@ class Network:
             dz = dh * (h - n) * z * (1 - z)
             dr = dn * q * r * (1 - r)
             dq = dn * r
-            da = np.concatenate([dz, dr, dn], axis=1)
+            np.concatenate([dz, dr, dn], axis=1, out=inputs[t])
             dg = np.concatenate([dz, dr, dq], axis=1)
-            np.add.at(dW, x[t], da)
             dU += h.T @ dg
             dc += dq.sum(axis=0)
             dh = dh * z + dg @ U.T
+        which = x.reshape(-1)  # sums per byte, by sorting
+        order = np.argsort(which, kind="stable")
+        seen, first = np.unique(which[order], return_index=True)
+        dW[seen] = np.add.reduceat(inputs.reshape(-1, 3 * H)[order], first, axis=0)
         grad |= {f"W{d}": dW, f"U{d}": dU, f"c{d}": dc}
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int, batch: int = 256, rate: float = 0.02, trim: float = 0.15, seed: int = 3) -> None:

@@ -20,13 +20,13 @@ from .bigru import Network
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt")
 #: Labelled rows per language in the training sample, at most, and characters of each; bytes per training window; training steps.
-TRAIN_ROWS, TRAIN_CHARS, WINDOW, STEPS = 400, 20_000, 64, 600
+TRAIN_ROWS, TRAIN_CHARS, WINDOW, STEPS = 400, 20_000, 64, 450
 #: Share of a document's letters that makes a language one of its own.
 SHARE = 0.2
 #: Confidence below which a sentence takes one of the languages that are sure in its document.
 SURE = 0.95
 #: Log-odds by which a sentence must differ from its line to count on its own.
-APART = 8
+APART = 30
 
 # Codes and names of the six languages as they are written in labels (fixed values).
 CODES = {
