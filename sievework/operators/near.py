@@ -143,3 +143,29 @@ def gram_budget(df: DataFrame, key: str, text: str, n: int = 8, most: int = 3) -
 def recall_bound(jaccard: Column, bands: int, rows: int) -> Column:
     """1 - (1 - J^rows)^bands (ND5)."""
     return 1 - F.pow(1 - F.pow(jaccard, F.lit(rows)), F.lit(bands))
+
+
+def seen_before(sig: DataFrame, key: str, bands: int, rows: int) -> DataFrame:
+    """key, seen: whether an earlier text by key is in one of its buckets (ND1, in batch).
+
+    The in-stream original asks this of the texts it kept only; here all earlier texts count, so the answer is the
+    same in any order of processing. Buckets are folded to their least key map-side.
+    """
+    b = sig.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))).alias("bucket"))
+    first = b.groupBy("bucket").agg(F.min(key).alias("_first"))
+    return b.join(first, "bucket").groupBy(key).agg(F.max(F.col("_first") < F.col(key)).alias("seen"))
+
+
+def sampled_rate(df: DataFrame, key: str, groups: DataFrame, sample: DataFrame) -> DataFrame:
+    """One row: sampled texts, how many are in a group, and the rate (ND15)."""
+    t = sample.select(key).join(groups.select(F.col("node").alias(key), F.lit(1).alias("_in")), key, "left")
+    return t.agg(F.count("*").alias("sampled"), F.count("_in").alias("near"), F.round(F.count("_in") / F.greatest(F.count("*"), F.lit(1)), 6).alias("rate"))
+
+
+def reading_sheet(groups: DataFrame, domains: DataFrame, key: str, domain: str, per_band: int, seed: str) -> DataFrame:
+    """component, band, size, n_domains of a few groups per size band, by hash order (ND18): a sheet to read by hand."""
+    j = groups.join(domains.select(F.col(key).alias("node"), F.col(domain).alias("_d")), "node")
+    g = j.groupBy("component").agg(F.count("*").alias("size"), F.count_distinct("_d").alias("n_domains"))
+    g = g.withColumn("band", F.when(F.col("size") == 2, "2").when(F.col("size") <= 5, "3-5").otherwise("6+"))
+    w = Window.partitionBy("band").orderBy(F.sha1(F.concat(F.lit(seed), F.col("component").cast("string"))), "component")
+    return g.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_band).drop("_r")

@@ -286,3 +286,18 @@ def cleanup_hits(spark, d):
     dups = X.duplicate_records(docs, "text", "source", "doc_id").select(F.col("ord").alias("doc_id"))
     return H.first_kind({"1_gram": grams, "2_duplicate": dups}, "doc_id")
 
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def first_per_key(spark, d):
+    """The first event of each user and type."""
+    t = load(spark, d, "events").select("user_id", "event_type", "event_id")
+    return X.first_rows(t, F.struct("user_id", "event_type"), ["event_id"])
+
+
+@query(f"SELECT doc_id FROM documents WHERE sha1({_SQUASH}) NOT IN (SELECT sha1({_SQUASH}) FROM documents WHERE domain = 'news')")
+def manifest_exclusion(spark, d):
+    """Rows whose normalised sha1 a manifest does not list; one domain stands in for the manifest."""
+    docs = load(spark, d, "documents").select("doc_id", "domain", F.sha1(T.squash("text")).alias("sha"))
+    manifest = docs.where("domain = 'news'").select(F.col("sha").alias("content_sha1_norm"))
+    return X.without_keys(docs, F.col("sha"), manifest, F.col("content_sha1_norm")).select("doc_id")

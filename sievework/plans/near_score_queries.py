@@ -53,6 +53,32 @@ def near_dup_calibration(spark, d):
     return s.agg(F.count("*").alias("pairs"), F.round(F.avg(F.abs(F.col("jaccard") - F.col("estimate"))), 6).alias("mae"), F.round(F.avg(N.recall_bound(F.col("jaccard"), 24, 4)), 6).alias("expected_recall"))
 
 
+@query()
+def minhash_seen(spark, d):
+    """ND1: documents that share a bucket with an earlier one, on words of five."""
+    sig = N.signed(load(spark, d, "documents"), "doc_id", "text", 5, 128)
+    return N.seen_before(sig, "doc_id", 16, 8)
+
+
+@query(
+    f"""WITH {_NEAR}, n AS (SELECT a AS doc_id FROM s WHERE j >= 0.8 UNION SELECT b FROM s WHERE j >= 0.8), m AS (SELECT doc_id FROM documents ORDER BY sha1('n|' || doc_id), doc_id LIMIT 500)
+    SELECT count(*) AS sampled, count(n.doc_id) AS near, round(count(n.doc_id) / count(*), 6) AS rate FROM m LEFT JOIN n USING (doc_id)"""
+)
+def near_rate_sample(spark, d):
+    """ND15: the share of 500 sampled documents that have a near-duplicate among all; sampling is the operator."""
+    from ..operators.sampling import global_sample
+
+    docs = load(spark, d, "documents")
+    return N.sampled_rate(docs, "doc_id", N.clusters(N.similar_pairs(docs, "doc_id", "text")), global_sample(docs.select("doc_id"), "doc_id", 500, "n"))
+
+
+@query()
+def cluster_sheet(spark, d):
+    """ND18."""
+    docs = load(spark, d, "documents")
+    return N.reading_sheet(N.clusters(N.similar_pairs(docs, "doc_id", "text")), docs, "doc_id", "source", 5, "r")
+
+
 _R8 = "list_transform(range(1, greatest(0, len(ws) - 7) + 1), lambda i: array_to_string(ws[i:i+7], ' '))"
 
 

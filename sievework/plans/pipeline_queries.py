@@ -330,3 +330,34 @@ def folder_fingerprint(spark, d):
     return sinks.directory_fingerprint(spark, path, "*.txt").select("files", "bytes")
 
 
+
+
+@query(f"WITH {_MS}, k AS (SELECT DISTINCT substr(sha1({_rep('prompt', T.HOLDOUT_DROP)}), 1, 16) AS h FROM eval_items) SELECT count(*) AS prompts, count(*) FILTER (substr(sha1({_rep('content', T.HOLDOUT_DROP)}), 1, 16) IN (SELECT h FROM k)) AS held_out FROM m WHERE role = 'user'")
+def packed_prompt_holdout(spark, d):
+    """Prompts of the packed chats that are held-out items."""
+    keys = load(spark, d, "eval_items").where("prompt is not null").select(T.holdout_key("prompt").alias("h"), F.lit(1).alias("hit")).distinct()
+    t = _chats(spark, d).select(F.explode("ms").alias("m")).where("m.role = 'user'").select(T.holdout_key(F.col("m.content")).alias("h"))
+    return t.join(keys, "h", "left").agg(F.count("*").alias("prompts"), F.count("hit").alias("held_out"))
+
+
+@query("SELECT count(*) AS ids, 0 AS torn FROM documents")
+def lenient_read(spark, d):
+    """SRC6, SRC7: documents written as JSON lines, read by id; no tail is torn."""
+    path = streams.out_folder(spark, "lenient")
+    sinks.jsonl_shards(load(spark, d, "documents").select("doc_id", "text"), path, 5000)
+    return readers.torn_tail(spark, path, "doc_id").agg(F.count("id").alias("ids"), F.count_if("torn").cast("int").alias("torn"))
+
+
+@query("SELECT domain, count(*) AS n FROM documents WHERE domain IN ('wiki', 'math', 'news') GROUP BY domain")
+def asserted_union(spark, d):
+    """SNK7: parts joined under the expected number of rows."""
+    docs = load(spark, d, "documents").select("doc_id", "domain")
+    parts = [docs.where(F.col("domain") == x) for x in ("wiki", "math", "news")]
+    return sinks.union_all(parts, docs.where("domain in ('wiki', 'math', 'news')").count()).groupBy("domain").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, array_to_string(list(length(text) ORDER BY chunk_idx), ',') AS ids FROM (SELECT DISTINCT doc_id, chunk_idx, text FROM l2_dataset WHERE text IS NOT NULL) GROUP BY doc_id")
+def packed_arrays(spark, d):
+    """SNK9, D13: one row per document with its chunks' lengths in order, as a packed row holds token ids."""
+    t = load(spark, d, "l2_dataset").where("text is not null").select("doc_id", "chunk_idx", "text").distinct().select("doc_id", "chunk_idx", F.array(F.length("text")).alias("ids"))
+    return sinks.packed(t, "doc_id", [F.col("chunk_idx")], "ids").select("doc_id", F.array_join("ids", ",").alias("ids"))
