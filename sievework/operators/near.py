@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, LongType
 from ..functions import text as T
 from ..session import materialize
 from .components import connected_components
+from .ordered import stars
 
 #: Words per shingle and similarity unless a caller says otherwise.
 WORDS, SIMILAR = 5, 0.8
@@ -60,15 +61,13 @@ def signed(df: DataFrame, key: str, text: str, words: int = WORDS, perms: int =
 
 
 def candidates(sig: DataFrame, key: str, bands: int, rows: int) -> DataFrame:
-    """a, b (a < b): every text of a bucket with the bucket's least key, and with the next in key order (ND4).
+    """a, b (a < b): every text of a bucket with the bucket's least key (ND4).
 
-    Two edges a text at most, whatever the bucket's size; nothing is capped, and every bucket stays connected.
+    One edge a text at most, whatever the bucket's size; nothing is capped, every bucket stays connected, and a
+    bucket that holds most texts is shared among tasks.
     """
     b = sig.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))).alias("bucket"))
-    w = Window.partitionBy("bucket")
-    t = b.select(key, F.min(key).over(w).alias("hub"), F.lag(key).over(w.orderBy(key)).alias("before"))
-    pairs = t.where(F.col("hub") != F.col(key)).select(F.explode(F.array("hub", "before")).alias("a"), F.col(key).alias("b"))
-    return pairs.where("a <> b").distinct()
+    return stars(b, "bucket", key).select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).distinct()
 
 
 def similarity(pairs: DataFrame, sig: DataFrame, key: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.operators import code, components, conversations, decontam, dedup, filters, ledger, mix, near, pii, sampling, score, stats
-from sievework.operators.ordered import ranked
+from sievework.operators.ordered import ranked, stars
 from sievework.sources import readers, sinks
 from sievework.streaming.streams import Divergence
 
@@ -166,6 +166,24 @@ def test_ranked_with_null_groups(spark):
     assert sorted((r.g or "", r["rank"], r.before) for r in ranked(t, ["g"], [F.col("v")], "v").collect()) == [("", 1, 0), ("", 2, 1), ("a", 1, 0)]
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 30)), max_size=80))
+def test_stars_tie_buckets_over_partitions(spark, rows):
+    t = spark.createDataFrame([*rows, (None, 1), (2, None)], "b long, m long")
+    for df in (t, t.selectExpr("cast(b as string) b", "cast(m as string) m")):
+        edges = [(int(r.hub), int(r.member)) for r in stars(df, "b", "m").collect()]
+        assert len(set(edges)) == len(edges) and all(a != b for a, b in edges)
+        for k in {b for b, _ in rows}:
+            own = {m for b, m in rows if b == k}
+            seen, todo = set(), [min(own)]
+            while todo:
+                x = todo.pop()
+                seen.add(x)
+                todo += [b if a == x else a for a, b in edges if x in (a, b) and {a, b} <= own and (b if a == x else a) not in seen]
+            assert own == seen
+        assert len(edges) <= sum(len({m for b, m in rows if b == k}) for k in {b for b, _ in rows}) + 16
+
+
 def test_quota_ties_and_bounds(spark):
     t = spark.createDataFrame([("g", f"d{i}", 1.0) for i in range(10)], "g string, doc_id string, value double")
     assert sorted(r.doc_id for r in sampling.quota_rows(t, ["g"], 0.3).where("rank <= keep").collect()) == ["d0", "d1", "d2"]
