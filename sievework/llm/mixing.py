@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -127,15 +127,11 @@ class Mix:
     def shares(self) -> DataFrame:
         """Per source: target and reached tokens and shares of the whole, rows used, and whether it falls short."""
         got = self.selection().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("tokens"), F.sum("n_uses").alias("uses"), F.count("*").alias("n_used"))
-        total = self.plan.agg(F.sum("want").alias("total_want"))
-        reached = got.agg(F.sum("tokens").alias("total_tokens"))
-        return (
-            self.plan.join(got, "source", "left").join(total).join(reached)
-            .select(
-                "source", "max_repeats", "have", "n_rows", F.round("want", 6).alias("target_tokens"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("uses", F.lit(0)).alias("uses"),
-                F.coalesce("n_used", F.lit(0)).alias("rows_used"), F.round(F.col("want") / F.col("total_want"), 6).alias("target_share"),
-                F.round(F.coalesce("tokens", F.lit(0)) / F.col("total_tokens"), 6).alias("share"), "short",
-            )
+        whole = Window.partitionBy()  # over one row per source
+        tokens = F.coalesce("tokens", F.lit(0))
+        return self.plan.join(got, "source", "left").select(
+            "source", "max_repeats", "have", "n_rows", F.round("want", 6).alias("target_tokens"), tokens.alias("tokens"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("n_used", F.lit(0)).alias("rows_used"),
+            F.round(F.try_divide(F.col("want"), F.sum("want").over(whole)), 6).alias("target_share"), F.round(F.try_divide(tokens, F.sum(tokens).over(whole)), 6).alias("share"), "short",
         )
 
 
