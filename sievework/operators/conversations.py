@@ -14,6 +14,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"^(User|Assistant|System|Tool|问|答)\s*[:：]\s?", re.M)
 ROLES = {"User": "user", "Assistant": "assistant", "System": "system", "Tool": "tool", "问": "user", "答": "assistant"}
 MESSAGE = StructType([StructField("role", StringType()), StructField("content", StringType())])
+#: What makes a turn unusable (fixed values, reduced).
 NON_ANSWER = r"^\s*(?:No response requested\.?|\(no response\)|)\s*$"
 UNACTIONABLE = r"^\s*(?:\[Image:[^\]]*\]\s*)+$|^\s*/[a-z][a-z-]{1,20}\s*$"
 ERROR = r"^\s*(?:API [Ee]rror|Request timed out|\[?Request interrupted by user|Prompt is too long)"

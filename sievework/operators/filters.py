@@ -21,13 +21,14 @@ BOILER = (
 END_OK = rf"[。！？!?…”」』）)》\]】][{T.SPACE}]*$|[。！？][{T.SPACE}]*[\"'”」]?[{T.SPACE}]*$"
 #: Spam that needs no context (fixed values, the unambiguous ones).
 SPAM = r"彩票|赌场|赌博|博彩|真人娱乐|时时彩|老虎机|六合彩|百家乐|加微信|QQ[:：]?[0-9]{6,}|电话[:：]?1[3-9][0-9]{9}"
-#: Openings of a rewriter that found nothing to solve.
+#: Openings of a rewriter that found nothing to solve (fixed values, reduced).
 PLACEHOLDER = (
     r"(?i)there (?:is|are|was) no (?:specific |particular |actual |real |clear )?(?:math\w* )?(?:problem|question|task|exercise)s? to (?:solve|answer|be solved|be answered)"
     r"|text (?:does not|doesn't|did not) (?:contain|include|present|state|provide) (?:a |an |any )?(?:specific |particular |clear )?(?:math\w* )?(?:problem|question|task|exercise)"
     r"|no (?:specific |particular |clear )?math\w* (?:problem|question|task)s? (?:is |was |are )?(?:provided|presented|asked|given|stated)"
     r"|there (?:is|was) no (?:specific |particular )?(?:question|problem|task) (?:presented|asked|provided|given|stated)"
 )
+#: Marks of a generated file and names of generators, markup hints, code marks and cut-off marks (fixed values).
 GENERATED_MARK = r"(?i)auto[- ]?generated|generated\s+by|automatically\s+generated|this\s+(?:file|code)\s+is\s+(?:auto[- ]?)?generated|@generated\b"
 GENERATOR = r"(?i)protoc(?:ol buffer)?|protobuf|django|autorest|swagger|openapi|thrift|grpc|cython|jinja|yacc|lex\b|swig|pb2\b|code generator|generated code|do\s+not\s+(?:edit|modify|delete)"
 MARKUP_HINT = r"(?i)Generated by javadoc|<!DOCTYPE|<\?xml|NewPage|Generated by (?:Doxygen|Sphinx)"

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Pattern and placeholder, longest paths first.
+#: Pattern and placeholder, longest paths first (P1; fixed values).
 SCRUBS = (
     (r"/Users/[A-Za-z0-9._-]+", "<HOME>"), (r"/home/[A-Za-z0-9._-]+", "<HOME>"), (r"[A-Za-z]:\\Users\\[A-Za-z0-9._-]+", "<HOME>"),
     (r"(-Users-)[A-Za-z0-9._]+", "$1<USER>"), (r"(-home-)[A-Za-z0-9._]+", "$1<USER>"), (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "<EMAIL>"),
 )
+#: Shape and entropy of an opaque token (fixed values).
 TOKEN = r"[A-Za-z0-9_\-.]{32,}"
 ENTROPY = 4.5
 #: What stands left of a long token that is no secret: a path, an address, a digest's name, a data block.
