@@ -6,8 +6,8 @@
    a bucket of m texts gives m - 1 candidate edges. Buckets are found by a range sort, so a hot one is many tasks' work.
 3. A sketch of one bit per bin drops edges between texts that merely share stock phrases.
 4. The components of what is left are small groups; within each, all pairs are compared exactly, which also finds
-   pairs that no bucket holds. Components beyond GROUP texts are cut into blocks by hash; each block also gets the
-   component's first text, so every text of it stays linked, and no task gets an unbounded group.
+   pairs that no bucket holds. Components beyond GROUP texts are cut into blocks by hash; every pair of blocks is a
+   group of its own, so no pair is left out, and no task gets an unbounded group.
 Texts with the same runs are one class from the start. Pairs between classes are expanded to documents as long as
 both classes have at most COPIES documents; of a larger class the first document stands for the others, to which it
 is paired.
@@ -161,7 +161,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = rows.drop_duplicates(ignore_index=True)  # a record delivered very often is one text
             if not len(rows):
                 continue
-            last = (rows["comp"] == rows["comp"].iloc[-1]) & (rows["block"] == rows["block"].iloc[-1])
+            last = (rows[["comp", "i", "j"]] == rows[["comp", "i", "j"]].iloc[-1]).all(axis=1)
             done, rest = rows[~last], rows[last]
         if done is not None and len(done):
             yield _pairs(done.reset_index(drop=True))
@@ -174,18 +174,20 @@ def _pairs(rows: pd.DataFrame) -> pd.DataFrame:
     cut = np.searchsorted(doc, np.arange(n + 1))
     true = keys == rows["rid"].to_numpy()
     out_a, out_b, out_s = [], [], []
-    for _, at in rows.groupby(["comp", "block"], sort=False).indices.items():
-        sets: dict[int, set[int]] = {}
-        for i in at:
-            if true[i] and keys[i] not in sets:
-                sets[keys[i]] = set(h[cut[i] : cut[i + 1]].tolist())
-        for (a, x), (b, y) in itertools.combinations(sorted(sets.items()), 2):
+    own = rows["block"].to_numpy()
+    for (_, i, j), at in rows.groupby(["comp", "i", "j"], sort=False).indices.items():
+        blocks: dict[int, dict[int, set[int]]] = {i: {}, j: {}}
+        for k in at:
+            if true[k] and keys[k] not in (sets := blocks[own[k]]):
+                sets[keys[k]] = set(h[cut[k] : cut[k + 1]].tolist())
+        left, right = sorted(blocks[i].items()), sorted(blocks[j].items())
+        for (a, x), (b, y) in itertools.combinations(left, 2) if i == j else itertools.product(left, right):
             small, large = (len(x), len(y)) if len(x) < len(y) else (len(y), len(x))
             if small >= SIMILAR * large:
                 both = len(x & y)
                 if both >= SIMILAR * (small + large - both) - 1e-9:
-                    out_a.append(a)
-                    out_b.append(b)
+                    out_a.append(min(a, b))
+                    out_b.append(max(a, b))
                     out_s.append(both / (small + large - both))
     return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64), "similarity": np.array(out_s, dtype=float)})
 
@@ -212,13 +214,12 @@ class NearDuplicates:
         """a, b, similarity of the similar classes (a < b)."""
         sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
         one = self.signed.groupBy("rid").agg(F.min(F.struct("doc_id", "chunk_idx")).alias("at"))
-        blocks = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("rid") == F.col("comp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")))
         wanted = (
-            groups.join(sizes, "component").select(F.col("node").alias("rid"), F.col("component").alias("comp"), "blocks")
-            .join(one, "rid").select("at.doc_id", "at.chunk_idx", "rid", "comp", F.explode(blocks).alias("block"))
+            groups.join(sizes, "component").select(F.col("node").alias("rid"), F.col("component").alias("comp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+            .join(one, "rid").select("at.doc_id", "at.chunk_idx", "rid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         )
-        texts = usable.join(wanted, ["doc_id", "chunk_idx"]).select("comp", "block", "rid", "text")
-        return texts.repartition("comp", "block").sortWithinPartitions("comp", "block").mapInPandas(_compare, "a long, b long, similarity double").distinct()
+        texts = usable.join(wanted, ["doc_id", "chunk_idx"]).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "text")
+        return texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInPandas(_compare, "a long, b long, similarity double").distinct()
 
     def classes(self) -> DataFrame:
         """rid, n, first, members: the documents of each class, listed up to COPIES, else only the first."""

@@ -91,6 +91,15 @@ def test_p1_large_group_is_cut_but_linked(spark, monkeypatch):
     assert len(groups) == 40 and {g.group_id for g in groups} == {"g00"}
 
 
+def test_p1_large_group_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP", 8)
+    base = [f"word{i}" for i in range(80)]
+    rows = [(f"g{i:02d}", 0, " ".join([*base[: i + 20], f"odd{i}", *base[i + 20 :]]), "x", "y") for i in range(40)]
+    pairs = neardup.NearDuplicates(l2(spark, rows)).document_pairs().collect()
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and jaccard(a[2], b[2]) >= 0.6}
+    assert len(want) == 780 and {(p.doc_id_a, p.doc_id_b) for p in pairs} == want
+
+
 def test_densification_keeps_similarity():
     a = " ".join(f"k{i}" for i in range(42))
     b = " ".join([*(f"k{i}" for i in range(36)), *(f"z{i}" for i in range(6))])
