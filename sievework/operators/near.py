@@ -1,8 +1,8 @@
 """Near-duplicate reports by MinHash over character or word shingles: the reference family's batch operators.
 
 Shingles are hashed JVM-side (xxhash64); the minima under (a h + b) mod 2^61, whose products ANSI arithmetic refuses,
-come from Arrow batches in numpy. Buckets propose stars only; similarity is then exact on the shingle sets of the
-candidates.
+come from Arrow batches in numpy. Groups, rates and cuts rest on all pairs of an exact join (similar.py); only the
+estimate's calibration and the earlier-seen test use buckets.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import text as T
 from ..session import materialize
+from . import similar
 from .components import connected_components
 from .ordered import stars
 
@@ -78,10 +79,24 @@ def similarity(pairs: DataFrame, sig: DataFrame, key: str) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("ha") + F.size("hb") - both)).alias("jaccard"), (same / F.size("sa")).alias("estimate"))
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, threshold: float = SIMILAR, bands: int = 24, rows: int = 4) -> DataFrame:
-    """a, b, jaccard of the star edges of at least the threshold (ND7)."""
-    sig = signed(df, key, text, words, bands * rows)
-    return similarity(candidates(sig, key, bands, rows), sig, key).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+def similar_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, threshold: float = SIMILAR) -> DataFrame:
+    """a, b, jaccard of at least the threshold, exact (ND7).
+
+    Texts of the same shingles are a class: its least key stands for it, and the others are tied to that key at 1.0.
+    Every similar pair of classes is there, between their least keys; all pairs of texts follow from these.
+    """
+    t = df.select(F.col(key).alias("k"), T.skeleton(text).alias("t")).where("k is not null and t is not null")
+    t = materialize(similar.word_sets(t, words), "shingles")
+    names = materialize(t.groupBy("id").agg(F.min("k").alias("first")), "classes")
+    order = similar.frequent(similar.sample(t).select(F.explode("h").alias("h")))
+    met = materialize(similar.meeting(similar.keyed(t, order, threshold), threshold), "meeting")
+    ends = met.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(names, "id")
+    sets = materialize(t.join(ends.select(F.col("first").alias("k"), "id"), ["k", "id"], "left_semi").select("id", "h").dropDuplicates(["id"]), "sets")
+    pairs = similar.exact(met, sets, threshold)
+    x, y = names.select(F.col("id").alias("a"), F.col("first").alias("x")), names.select(F.col("id").alias("b"), F.col("first").alias("y"))
+    across = pairs.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    within = t.select("k", "id").join(names, "id").where("k > first").select(F.col("first").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    return across.unionByName(within)
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

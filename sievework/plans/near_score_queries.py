@@ -18,7 +18,7 @@ _NEAR = f"""g AS (SELECT doc_id, {_G5} AS s FROM (SELECT doc_id, {_WORDS} AS ws
 
 @query(f"""WITH RECURSIVE {_NEAR}, t AS (SELECT a, b FROM s WHERE j >= 0.8 UNION SELECT b, a FROM s WHERE j >= 0.8), r(n, c) AS (SELECT a, a FROM t UNION SELECT t.b, r.c FROM r JOIN t ON t.a = r.n) SELECT n AS doc_id, min(c) AS component FROM r GROUP BY n""")
 def near_dup_clusters(spark, d):
-    """ND2-ND8, ND17: groups at five words and 0.8; the stars of a bucket keep its group together."""
+    """ND2-ND8, ND17: groups at five words and 0.8."""
     pairs = N.similar_pairs(load(spark, d, "documents"), "doc_id", "text")
     return N.clusters(pairs).select(F.col("node").alias("doc_id"), "component")
 
@@ -34,7 +34,7 @@ def near_dup_survivors(spark, d):
 def near_dup_report(spark, d):
     """ND8, ND9, ND13: participation and drop at three thresholds, and the share of pairs across sources."""
     docs = load(spark, d, "documents")
-    pairs = materialize(N.similar_pairs(docs, "doc_id", "text", threshold=0.7, bands=32, rows=3), "pairs")
+    pairs = materialize(N.similar_pairs(docs, "doc_id", "text", threshold=0.7), "pairs")
     return N.report(pairs, docs, "doc_id", "source", docs.count())
 
 

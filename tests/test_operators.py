@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import code, components, conversations, decontam, dedup, filters, ledger, mix, near, pii, sampling, score, stats
+from sievework.operators import code, components, conversations, decontam, dedup, filters, ledger, mix, near, pii, sampling, score, similar, stats
 from sievework.operators.ordered import ranked, stars
 from sievework.sources import readers, sinks
 from sievework.streaming.streams import Divergence
@@ -145,6 +145,38 @@ def test_near(spark):
     assert sorted(r.id for r in near.survivors(t, "id", groups).collect()) == [1, 3, 4, 5, 6]
 
 
+def jaccard5(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y) if x and y else 0
+
+
+def test_near_pairs_equal_brute_force(spark):
+    r = np.random.default_rng(5)
+    texts = []
+    for g in range(12):
+        base = [f"w{r.integers(5000)}" for _ in range(200)]
+        for _ in range(10):
+            w = list(base)
+            for at in r.choice(200, 2, replace=False):
+                w[at] = f"x{r.integers(5000)}"
+            texts.append(" ".join(w))
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard5(texts[i], texts[j]) >= 0.8}
+    assert len(want) > 50
+    assert {(r.a, r.b) for r in near.similar_pairs(t, "id", "text").collect()} == want
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_meeting_loses_no_pair(spark, block):
+    r = np.random.default_rng(6)
+    sets = [sorted({int(x) for x in r.integers(0, 14, 8)}) for _ in range(150)]
+    t = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id long, h array<long>")
+    order = similar.frequent(t.select(F.explode("h").alias("h")))
+    pairs = similar.exact(similar.meeting(similar.keyed(t, order, 0.6), 0.6, block), t, 0.6)
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if 10 * len({*sets[i]} & {*sets[j]}) >= 6 * len({*sets[i]} | {*sets[j]})}
+    assert sorted((x.a, x.b) for x in pairs.collect()) == sorted(want)
+
+
 # ranks, quotas, samples
 
 
