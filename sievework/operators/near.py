@@ -110,25 +110,51 @@ def survivors(df: DataFrame, key: str, groups: DataFrame) -> DataFrame:
     return df.join(drop, key, "left_anti")
 
 
+def _sides(df: DataFrame, key: str, domain: str, pairs: DataFrame) -> DataFrame:
+    """k, c, d: every row's key, the key that stands for its class (that of equal shingles), and its domain."""
+    first = pairs.where("jaccard = 1").groupBy(F.col("b").alias("k")).agg(F.min("a").alias("first"))
+    return df.select(F.col(key).alias("k"), F.col(domain).alias("d")).join(first, "k", "left").select("k", F.coalesce("first", "k").alias("c"), "d")
+
+
 def keep_whole(df: DataFrame, key: str, domain: str, whole: str, pairs: DataFrame) -> DataFrame:
-    """Rows left when one domain is kept whole: only rows of others that are similar to one of it go (ND12)."""
-    side = df.select(F.col(key).alias("k"), (F.col(domain) == whole).alias("w"))
-    j = pairs.join(side.withColumnsRenamed({"k": "a", "w": "wa"}), "a").join(side.withColumnsRenamed({"k": "b", "w": "wb"}), "b").where(F.col("wa") != F.col("wb"))
-    drop = j.select(F.when(F.col("wa"), F.col("b")).otherwise(F.col("a")).alias(key)).distinct()
+    """Rows left when one domain is kept whole: only rows of others that are similar to one of it go (ND12).
+
+    pairs: of similar_pairs. A row goes if its class or a similar class holds a row of the whole domain, whatever row
+    stands for either class.
+    """
+    side = _sides(df, key, domain, pairs).withColumn("w", F.coalesce(F.col("d") == whole, F.lit(False)))
+    held = side.where("w").select("c").distinct()
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    reached = held.unionByName(both.join(held, F.col("a") == F.col("c")).select(F.col("b").alias("c"))).distinct()
+    drop = side.where("not w").join(reached, "c", "left_semi").select(F.col("k").alias(key))
     return df.join(drop, key, "left_anti")
 
 
+def _cross_share(own: DataFrame, sides: DataFrame) -> DataFrame:
+    """cross_domain: the share of all similar pairs of rows whose domains differ, from the numbers of rows per class and domain."""
+    n = sides.where("d is not null").groupBy("c", "d").agg(F.count("*").cast("double").alias("n"))
+    total = n.groupBy("c").agg(F.sum("n").alias("t"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("s"))
+    within = total.select((F.col("t") * (F.col("t") - 1) / 2).alias("t"), "s")
+    across = own.where("jaccard < 1").select("a", "b")
+    x, y = total.select(F.col("c").alias("a"), F.col("t").alias("ta")), total.select(F.col("c").alias("b"), F.col("t").alias("tb"))
+    every = across.join(x, "a").join(y, "b").select((F.col("ta") * F.col("tb")).alias("t"), F.lit(0.0).alias("s"))
+    x, y = n.select(F.col("c").alias("a"), "d", F.col("n").alias("na")), n.select(F.col("c").alias("b"), "d", F.col("n").alias("nb"))
+    same = across.join(x, "a").join(y, ["b", "d"]).select(F.lit(0.0).alias("t"), (F.col("na") * F.col("nb")).alias("s"))
+    sums = within.unionByName(every).unionByName(same).agg(F.sum("t").alias("t"), F.sum("s").alias("s"))
+    return sums.select(F.when(F.col("t") > 0, F.round(1 - F.col("s") / F.col("t"), 6)).alias("cross_domain"))
+
+
 def report(pairs: DataFrame, domains: DataFrame, key: str, domain: str, total: int, thresholds=(0.7, 0.8, 0.9)) -> DataFrame:
     """Per threshold: texts in a group (participation), texts dropped, groups, share across domains (ND9)."""
     out = None
     spark = pairs.sparkSession
+    sides = _sides(domains, key, domain, pairs)
     for th in thresholds:
         own = pairs.where(F.col("jaccard") >= th)
         groups = clusters(own)
         sized = groups.groupBy("component").agg(F.count("*").alias("n"))
         a = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("participating"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dropped"), F.count("*").alias("groups"))
-        d = domains.select(F.col(key).alias("k"), F.col(domain).alias("d"))
-        cross = own.join(d.withColumnsRenamed({"k": "a", "d": "da"}), "a").join(d.withColumnsRenamed({"k": "b", "d": "db"}), "b").agg(F.round(F.avg((F.col("da") != F.col("db")).cast("int")), 6).alias("cross_domain"))
+        cross = _cross_share(own, sides)
         row = a.join(cross).select(F.lit(th).alias("threshold"), "participating", "dropped", "groups", F.round(F.col("participating") / total, 6).alias("participation"), "cross_domain")
         out = row if out is None else out.unionByName(row)
     return out if out is not None else spark.createDataFrame([], "threshold double")

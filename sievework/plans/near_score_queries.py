@@ -42,7 +42,8 @@ def near_dup_report(spark, d):
 def near_dup_keep_whole(spark, d):
     """ND12: one source kept whole."""
     docs = load(spark, d, "documents")
-    return N.keep_whole(docs.select("doc_id", "source"), "doc_id", "source", "web_torlo", N.similar_pairs(docs, "doc_id", "text"))
+    pairs = materialize(N.similar_pairs(docs, "doc_id", "text"), "pairs")
+    return N.keep_whole(docs.select("doc_id", "source"), "doc_id", "source", "web_torlo", pairs)
 
 
 @query()

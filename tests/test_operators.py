@@ -166,6 +166,16 @@ def test_near_pairs_equal_brute_force(spark):
     assert {(r.a, r.b) for r in near.similar_pairs(t, "id", "text").collect()} == want
 
 
+def test_keep_whole_and_cross_share_see_all_pairs(spark):
+    copy, new = " ".join(f"w{i}" for i in range(60)), " ".join([*(f"w{i}" for i in range(60)), "new"])
+    rows = [(1, copy, "other"), (2, copy, "whole"), (3, copy, "other"), (4, new, "third"), (5, " ".join(f"v{i}" for i in range(60)), "other")]
+    t = spark.createDataFrame(rows, "id long, text string, domain string")
+    pairs = near.similar_pairs(t, "id", "text")
+    assert sorted(r.id for r in near.keep_whole(t, "id", "domain", "whole", pairs).collect()) == [2, 5]
+    r = near.report(pairs, t, "id", "domain", 5, (0.8,)).first()
+    assert (r.participating, r.dropped, r.groups, r.cross_domain) == (4, 3, 1, round(5 / 6, 6))
+
+
 @pytest.mark.parametrize("block", [1, 3, 512])
 def test_meeting_loses_no_pair(spark, block):
     r = np.random.default_rng(6)
