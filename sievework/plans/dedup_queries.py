@@ -247,11 +247,17 @@ def hash_split(spark, d):
         SELECT doc_id, item FROM a, b WHERE length(a) >= 20 AND length(b) >= 20 AND (contains(a, b) OR contains(b, a))"""
 )
 def containment_pairs(spark, d):
-    """H14 with the first 60 characters of each prompt."""
+    """H14 with the first 60 characters of each prompt, as its SQL; containment_pairs_whole has the whole prompts."""
     items = load(spark, d, "eval_items").select("item_id", F.substring(T.collapse("prompt"), 1, 60).alias("p"))
     return H.contains_either_way(load(spark, d, "documents"), "doc_id", "text", items, "item_id", "p")
 
 
+@query()
+def containment_pairs_whole(spark, d):
+    """H14 with whole prompts; no SQL, which would compare every prompt with every document."""
+    return H.contains_either_way(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "prompt")
+
+
 _ARMS = {"plain": "text", "lower": "lower(text)", "squashed": _rep("lower(text)", T.NOT_WORD, " ")}
 
 

@@ -187,6 +187,16 @@ def test_meeting_loses_no_pair(spark, block):
     assert sorted((x.a, x.b) for x in pairs.collect()) == sorted(want)
 
 
+def test_containment_of_whole_prompts(spark, tmp_path):
+    from sievework.plans import catalog
+
+    prompt = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, prompt[90:150]), (2, prompt[:60] + " and something else"), (3, "so: " + prompt), (4, "nothing of the kind in this text")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", prompt)], "item_id string, prompt string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert sorted((r.doc_id, r.item) for r in catalog.queries()["containment_pairs_whole"](spark, str(tmp_path)).collect()) == [(1, "a"), (3, "a")]
+
+
 # ranks, quotas, samples
 
 
