@@ -1,7 +1,8 @@
 """A bidirectional gated recurrent network over bytes, in numpy: training by backpropagation through time, and use.
 
 Two layers of gated units read the bytes from either end; at every byte their two states give the logits of its
-language. One table holds each byte's contribution to the gates, so the input costs a lookup.
+language. One table holds each byte's contribution to the gates, so the input costs a lookup. Both directions are
+computed side by side: arrays have the gate (update, reset, new) and the direction as their first axes.
 """
 
 from __future__ import annotations
@@ -9,108 +10,127 @@ from __future__ import annotations
 import numpy as np
 
 H = 16
+#: The byte that fills up a short piece. Its gates are closed and its state is 0, so it adds nothing and hands nothing on.
+PAD = 256
+_CLOSED = np.array([-200, -200, 0], np.float32)[:, None, None]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
-    np.exp(x, out=x)
+    with np.errstate(over="ignore"):  # of a closed gate
+        np.exp(x, out=x)
     x += 1
     np.reciprocal(x, out=x)
     return x
 
 
+def _both(x: np.ndarray) -> np.ndarray:
+    """[T, 2, B]: the bytes in the order in which either direction reads them."""
+    return np.stack([x, x[::-1]], axis=1)
+
+
 class Network:
-    """Parameters: per direction a table [257, 3H] (row 256 pads), U [3H from H], c [H]; and V [2H, classes], d."""
+    """Parameters: W [3, 2, 257, H] per byte, U [3, 2, H, H], c [2, 1, H], and for the logits V [2, H, classes], d."""
 
     def __init__(self, classes: int, seed: int = 7):
         r = np.random.default_rng(seed)
-        f = lambda *s, k=1.0: (r.standard_normal(s) * k).astype(np.float32)
-        self.p = {}
-        for d in "fb":
-            self.p |= {f"W{d}": f(257, 3 * H, k=0.3), f"U{d}": f(H, 3 * H, k=H**-0.5), f"c{d}": np.zeros(H, np.float32)}
-        self.p |= {"V": f(2 * H, classes, k=(2 * H) ** -0.5), "d": np.zeros(classes, np.float32)}
-
-    def _forward(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States [T, B, H] for bytes [T, B]; with keep, what the way back needs."""
-        W, U, c = self.p[f"W{d}"], self.p[f"U{d}"], self.p[f"c{d}"]
+        f = lambda *s, k: (r.standard_normal(s) * k).astype(np.float32)
+        self.p = {
+            "W": f(3, 2, 257, H, k=0.3), "U": f(3, 2, H, H, k=H**-0.5), "c": np.zeros((2, 1, H), np.float32),
+            "V": f(2, H, classes, k=(2 * H) ** -0.5), "d": np.zeros(classes, np.float32),
+        }
+        self.p["W"][:, :, PAD] = _CLOSED
+
+    def states(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """States [T, 2, B, H] of both directions, each in its own order, for bytes [T, B]; and what the way back needs."""
+        W, U, c = self.p["W"], self.p["U"], self.p["c"]
         steps, lanes = x.shape
-        new_ = lambda *s: np.empty(s, W.dtype)
-        out, h, tape = new_(steps, lanes, H), np.zeros((lanes, H), W.dtype), []
-        g, zr, q, n = new_(lanes, 3 * H), new_(lanes, 2 * H), new_(lanes, H), new_(lanes, H)
+        at = _both(x)[:, None] + (np.arange(6) * 257).reshape(1, 3, 2, 1)
+        a = W.reshape(-1, H)[at]
+        h = np.zeros((steps + 1, 2, lanes, H), W.dtype)
+        zr, q, n = np.empty((steps, 2, 2, lanes, H), W.dtype), np.empty((steps, 2, lanes, H), W.dtype), np.empty((steps, 2, lanes, H), W.dtype)
+        g = np.empty((3, 2, lanes, H), W.dtype)
         for t in range(steps):
-            a = W[x[t]]
-            np.dot(h, U, out=g)
-            if keep:
-                zr, q, n = np.empty_like(zr), np.empty_like(q), np.empty_like(n)
-            np.add(a[:, : 2 * H], g[:, : 2 * H], out=zr)
-            _sigmoid(zr)
-            np.add(g[:, 2 * H :], c, out=q)
-            np.multiply(zr[:, H:], q, out=n)
-            n += a[:, 2 * H :]
-            np.tanh(n, out=n)
-            if keep:
-                tape.append((h, zr, q, n))
-            new = out[t]  # n + z * (h - n)
-            np.subtract(h, n, out=new)
-            new *= zr[:, :H]
-            new += n
-            h = new
-        return out, tape
-
-    def _backward(self, x: np.ndarray, d: str, tape: list, dh_at: np.ndarray, grad: dict) -> None:
-        U = self.p[f"U{d}"]
-        dW, dU, dc = np.zeros_like(self.p[f"W{d}"]), np.zeros_like(U), np.zeros(H, U.dtype)
-        inputs = np.empty((len(tape), x.shape[1], 3 * H), U.dtype)
-        dh = np.zeros_like(dh_at[0])
-        for t in range(len(tape) - 1, -1, -1):
-            h, zr, q, n = tape[t]
-            z, r = zr[:, :H], zr[:, H:]
-            dh = dh + dh_at[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * q * r * (1 - r)
-            dq = dn * r
-            np.concatenate([dz, dr, dn], axis=1, out=inputs[t])
-            dg = np.concatenate([dz, dr, dq], axis=1)
-            dU += h.T @ dg
-            dc += dq.sum(axis=0)
-            dh = dh * z + dg @ U.T
-        which = x.reshape(-1)  # sums per byte, by sorting
-        order = np.argsort(which, kind="stable")
-        seen, first = np.unique(which[order], return_index=True)
-        dW[seen] = np.add.reduceat(inputs.reshape(-1, 3 * H)[order], first, axis=0)
-        grad |= {f"W{d}": dW, f"U{d}": dU, f"c{d}": dc}
+            np.matmul(h[t], U, out=g)
+            np.add(a[t, :2], g[:2], out=zr[t])
+            _sigmoid(zr[t])
+            np.add(g[2], c, out=q[t])
+            np.multiply(zr[t, 1], q[t], out=n[t])
+            n[t] += a[t, 2]
+            np.tanh(n[t], out=n[t])
+            new = h[t + 1]  # n + z * (h - n)
+            np.subtract(h[t], n[t], out=new)
+            new *= zr[t, 0]
+            new += n[t]
+        return h[1:], (h[:-1], zr, q, n)
+
+    def backward(self, x: np.ndarray, tape: tuple, dh_at: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of W, U, c from those of the states [T, 2, B, H], by backpropagation through time."""
+        h, zr, q, n = tape
+        z, r = zr[:, 0], zr[:, 1]
+        steps, _, lanes, _ = n.shape
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (h - n) * z * (1 - z), q * r * (1 - r)
+        back = np.ascontiguousarray(self.p["U"].transpose(0, 1, 3, 2))
+        gates, new = np.empty((steps, 3, 2, lanes, H), n.dtype), np.empty_like(n)
+        dh, sent = np.zeros_like(dh_at[0]), np.empty((3, 2, lanes, H), n.dtype)
+        for t in range(steps - 1, -1, -1):
+            dh += dh_at[t]
+            dn, d = new[t], gates[t]
+            np.multiply(dh, by_n[t], out=dn)
+            np.multiply(dh, by_z[t], out=d[0])
+            np.multiply(dn, by_r[t], out=d[1])
+            np.multiply(dn, r[t], out=d[2])
+            np.matmul(d, back, out=sent)
+            dh *= z[t]
+            dh += sent[0]
+            dh += sent[1]
+            dh += sent[2]
+        flat = gates.transpose(1, 2, 0, 3, 4).reshape(3, 2, -1, H)
+        dU = np.ascontiguousarray(h.transpose(1, 3, 0, 2).reshape(2, H, -1)) @ flat
+        dW = np.zeros_like(self.p["W"])
+        for d, which in enumerate((x.reshape(-1), x[::-1].reshape(-1))):  # sums per byte, by sorting
+            order = np.argsort(which, kind="stable")
+            seen, first = np.unique(which[order], return_index=True)
+            rows = np.concatenate([flat[0, d], flat[1, d], new[:, d].reshape(-1, H)], axis=1)
+            dW[:, d, seen] = np.add.reduceat(rows[order], first, axis=0).reshape(-1, 3, H).transpose(1, 0, 2)
+        return {"W": dW, "U": dU, "c": gates[:, 2].sum(axis=(0, 2))[:, None]}
+
+    def logits_of(self, h: np.ndarray) -> np.ndarray:
+        """[T, B, classes] from states [T, 2, B, H]."""
+        return h[:, 0] @ self.p["V"][0] + h[::-1, 1] @ self.p["V"][1] + self.p["d"]
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int, batch: int = 256, rate: float = 0.02, trim: float = 0.15, seed: int = 3) -> None:
-        """Adam on the mean loss over all positions of windows x [n, T] with labels y [n].
+        """Adam on the mean loss over all bytes of windows x [n, T], short ones filled up with PAD, with a label for
+        every byte, y [n, T].
 
-        After the first third, the windows of the highest loss (a share of trim) are left out of each step, since
-        some labels are wrong.
+        After the first third, the windows of the highest loss (a share of trim) are left out of each step, since some
+        labels are wrong.
         """
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
             pick = r.integers(0, len(x), batch)
-            xt, yt = np.ascontiguousarray(x[pick].T), y[pick]
-            hf, tape_f = self._forward(xt, "f", True)
-            hb, tape_b = self._forward(xt[::-1], "b", True)
-            both = np.concatenate([hf, hb[::-1]], axis=2)
-            logits = both @ self.p["V"] + self.p["d"]
-            logits -= logits.max(axis=2, keepdims=True)
-            prob = np.exp(logits)
+            xt, yt = np.ascontiguousarray(x[pick].T), np.ascontiguousarray(y[pick].T)[..., None]
+            h, tape = self.states(xt)
+            prob = self.logits_of(h)
+            prob -= prob.max(axis=2, keepdims=True)
+            np.exp(prob, out=prob)
             prob /= prob.sum(axis=2, keepdims=True)
-            own = np.take_along_axis(prob, np.broadcast_to(yt[None, :, None], (*xt.shape, 1)), axis=2)[..., 0]
-            loss = -np.log(np.maximum(own, 1e-9)).mean(axis=0)
-            weight = np.ones(batch, np.float32)
+            live = (xt != PAD).astype(np.float32)
+            own = np.take_along_axis(prob, yt, axis=2)
+            loss = -(np.log(np.maximum(own[..., 0], 1e-9)) * live).sum(axis=0) / live.sum(axis=0)
             if step > steps // 3:
-                weight[np.argsort(loss)[int(batch * (1 - trim)) :]] = 0
-            prob[np.arange(len(xt))[:, None], np.arange(batch)[None, :], yt[None, :]] -= 1
-            delta = prob * (weight[None, :, None] / (weight.sum() * len(xt)))
-            grad = {"V": np.einsum("tbh,tbc->hc", both, delta), "d": delta.sum(axis=(0, 1))}
-            dboth = delta @ self.p["V"].T
-            self._backward(xt, "f", tape_f, dboth[..., :H], grad)
-            self._backward(xt[::-1], "b", tape_b, dboth[::-1, :, H:], grad)
+                live[:, np.argsort(loss)[int(batch * (1 - trim)) :]] = 0
+            np.put_along_axis(prob, yt, own - 1, axis=2)
+            prob *= (live / live.sum())[..., None]
+            dh = np.empty_like(h)
+            dh[:, 0] = prob @ self.p["V"][0].T
+            dh[:, 1] = prob[::-1] @ self.p["V"][1].T
+            grad = self.backward(xt, tape, dh)
+            flat = prob.reshape(-1, prob.shape[2])
+            grad["V"] = np.stack([h[:, 0].reshape(-1, H).T @ flat, h[::-1, 1].reshape(-1, H).T @ flat])
+            grad["d"] = flat.sum(axis=0)
             size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             scale = min(1.0, 1.0 / (size + 1e-9))
             lr = rate * (1 - step / (steps + 1)) + 0.001
@@ -119,75 +139,78 @@ class Network:
                 m[k] += 0.1 * (g - m[k])
                 s[k] += 0.01 * (g * g - s[k])
                 self.p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7)
+            self.p["W"][:, :, PAD] = _CLOSED
+
+    def read(self, x: np.ndarray, keep: bool) -> np.ndarray:
+        """The states for bytes [T, B] as of states(), or, without keep, only their sum over T, [2, B, H].
 
-    def _read(self, x: np.ndarray, d: str) -> np.ndarray:
-        """The states of _forward, faster: gates as contiguous arrays, and sigmoid(v) as (1 + tanh(v / 2)) / 2."""
-        W, U = self.p[f"W{d}"], self.p[f"U{d}"]
+        Faster than states(): no tape, buffers used again, and sigmoid(v) as (1 + tanh(v / 2)) / 2.
+        """
         half = np.float32(0.5)
-        Wz, Wr, Wn = half * W[:, :H], half * W[:, H : 2 * H], np.ascontiguousarray(W[:, 2 * H :])
-        Uz, Ur, Un, c = half * U[:, :H], half * U[:, H : 2 * H], half * U[:, 2 * H :], half * self.p[f"c{d}"]
+        W, U = self.p["W"].copy(), self.p["U"] * half
+        W[:2] *= half
+        W = W.reshape(-1, H)
         steps, lanes = x.shape
-        out = np.empty((steps, lanes, H), np.float32)
-        h = np.zeros((lanes, H), np.float32)
-        z, r, n, q, a = (np.empty((lanes, H), np.float32) for _ in range(5))
+        c = np.repeat(self.p["c"] * half, lanes, axis=1)
+        at = _both(x)[:, None] + (np.arange(6) * 257).reshape(1, 3, 2, 1)
+        a, g = np.empty((3, 2, lanes, H), np.float32), np.empty((3, 2, lanes, H), np.float32)
+        zr, z, r, n, q = g[:2], g[0], g[1], a[2], g[2]
+        h, u, total = np.zeros((2, lanes, H), np.float32), np.empty((2, lanes, H), np.float32), np.zeros((2, lanes, H), np.float32)
+        out = np.empty((steps, 2, lanes, H), np.float32) if keep else None
         for t in range(steps):
-            at = x[t]
-            np.dot(h, Uz, out=z)
-            z += np.take(Wz, at, axis=0, out=a, mode="clip")
-            np.tanh(z, out=z)
-            np.dot(h, Ur, out=r)
-            r += np.take(Wr, at, axis=0, out=a, mode="clip")
-            np.tanh(r, out=r)
-            np.dot(h, Un, out=q)
+            np.take(W, at[t], axis=0, out=a, mode="clip")
+            np.matmul(h, U, out=g)
+            zr += a[:2]
+            np.tanh(zr, out=zr)
             q += c
-            np.multiply(r, q, out=n)
             n += q
-            n += np.take(Wn, at, axis=0, out=a, mode="clip")
+            r *= q
+            n += r
             np.tanh(n, out=n)
-            new = out[t]
-            np.subtract(h, n, out=q)
-            q *= half
-            np.multiply(z, q, out=new)
-            new += q
-            new += n
-            h = new
-        return out
+            np.subtract(h, n, out=u)
+            u *= half
+            np.multiply(z, u, out=h)
+            h += u
+            h += n
+            if keep:
+                out[t] = h
+            else:
+                total += h
+        return out if keep else total
+
+    def _parts(self, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, most: int, lanes: int):
+        """Lanes of pieces' parts of like length: (numbers of their pieces, offsets within them, bytes [T, B])."""
+        count = np.maximum(1, -(-lens // most))
+        owner = np.repeat(np.arange(len(lens)), count)
+        nth = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * most
+        n = np.minimum(most, lens[owner] - nth)
+        at = begin[owner] + nth
+        order = np.argsort(n, kind="stable")
+        for k in range(0, len(order), lanes):
+            who = order[k : k + lanes]
+            steps = np.arange(n[who].max())[:, None]
+            if len(steps):
+                yield owner[who], nth[who], np.where(steps < n[who], flat[np.minimum(at[who] + steps, len(flat) - 1)].astype(np.intp), PAD)
 
-    def pooled(self, pieces: list[bytes], most: int = 256, lanes: int = 1024) -> np.ndarray:
-        """Sum over each piece's bytes of the log-probabilities of the classes, [pieces, classes]; empty pieces give 0.
+    def pooled(self, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, most: int = 256, lanes: int = 512) -> np.ndarray:
+        """[pieces, classes]: the logits of all bytes of each piece, added up; a piece is flat[begin : begin + len].
 
-        Pieces longer than `most` bytes are read in parts. Parts of like length run side by side.
+        Logits are linear in the states, so these are summed and the logits computed once a piece. The sum differs from
+        that of the log-probabilities by the same number for all classes. Pieces of more than `most` bytes are read in
+        parts. Parts of like length run side by side; a piece's result doesn't depend on its neighbours.
         """
-        classes = len(self.p["d"])
-        out = np.zeros((len(pieces), classes), np.float32)
-        owner, parts = [], []
-        for i, p in enumerate(pieces):
-            for at in range(0, len(p), most):
-                owner.append(i)
-                parts.append(p[at : at + most])
-        if not parts:
-            return out
-        lens = np.array([len(p) for p in parts])
-        owner = np.array(owner)
-        begin = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        order = np.argsort(lens, kind="stable")
-        Vf, Vb, d = np.ascontiguousarray(self.p["V"][:H].T), np.ascontiguousarray(self.p["V"][H:].T), self.p["d"][:, None]
-        for k in range(0, len(order), lanes):
-            who = order[k : k + lanes]
-            n, b = lens[who], begin[who]
-            steps = np.arange(n.max())[:, None]
-            live = steps < n
-            x = np.where(live, flat[np.minimum(b + steps, len(flat) - 1)], 256).astype(np.intp)
-            back = np.where(live, n - 1 - steps, 0)
-            xb = np.where(live, flat[b + back], 256).astype(np.intp)
-            back *= len(who)
-            back += np.arange(len(who))
-            logits = np.take(Vb @ self._read(xb, "b").reshape(-1, H).T, back.reshape(-1), axis=1)
-            logits += Vf @ self._read(x, "f").reshape(-1, H).T
-            logits += d
-            logits -= logits.max(axis=0)
-            logits -= np.log(np.exp(logits).sum(axis=0))
-            logits *= live.reshape(-1)
-            np.add.at(out, owner[who], logits.reshape(classes, *x.shape).sum(axis=1).T)
+        out = np.zeros((len(lens), len(self.p["d"])), np.float32)
+        for who, _, x in self._parts(flat, begin, lens, most, lanes):
+            h = self.read(x, False)
+            np.add.at(out, who, h[0] @ self.p["V"][0] + h[1] @ self.p["V"][1])
+        return out + self.p["d"] * lens[:, None].astype(np.float32)
+
+    def labelled(self, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, most: int = 256, lanes: int = 256) -> list[np.ndarray]:
+        """Per piece the logits of every byte, [len, classes]."""
+        out = [np.zeros((n, len(self.p["d"])), np.float32) for n in lens.tolist()]
+        for who, nth, x in self._parts(flat, begin, lens, most, lanes):
+            each = self.logits_of(self.read(x, True))
+            for b, (k, at) in enumerate(zip(who.tolist(), nth.tolist())):
+                n = min(most, len(out[k]) - at)
+                out[k][at : at + n] = each[:n, b]
         return out

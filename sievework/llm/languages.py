@@ -16,17 +16,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bigru import Network
+from .bigru import PAD, Network
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt")
-#: Labelled rows per language in the training sample, at most, and characters of each; bytes per training window; training steps.
-TRAIN_ROWS, TRAIN_CHARS, WINDOW, STEPS = 400, 20_000, 64, 450
+#: The training sample: labelled rows per language and windows per row, at most; bytes per window; training steps.
+TRAIN_ROWS, TRAIN_WINDOWS, WINDOW, STEPS = 400, 64, 64, 600
+#: Shares of training windows that are shorter, and in which the language changes (of the others); most invented words among the words of a line.
+SHORT, MIXED, DENSE = 0.25, 0.5, 0.3
 #: Share of a document's letters that makes a language one of its own.
 SHARE = 0.2
 #: Confidence below which a sentence takes one of the languages that are sure in its document.
 SURE = 0.95
-#: Log-odds by which a sentence must differ from its line to count on its own.
-APART = 30
+#: Log-odds that a change of language within a line must be worth.
+APART = 8
+#: Lead of the best language, a byte, below which a sentence is labelled byte by byte; bytes of a part of one, about.
+LEAD, PART = 5.0, 20
 
 # Codes and names of the six languages as they are written in labels (fixed values).
 CODES = {
@@ -38,9 +42,18 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _ADDRESS = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+|\$\$.*?\$\$|`[^`\n]*`", re.S)
 _QUOTE = re.compile(r"[“„«»「『][^“”„«»」』\n]{1,240}[”“»«」』]")
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|={2,}\s).*$", re.M)
-_SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
+_STOP = re.compile(r"[。！？]")
+_MARK = re.compile(r"(?:[^\w\x00-\x7f]|[^\D\x00-\x7f])+")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _EIGHT = re.compile(r"(?:[^\W\d_][\W\d_]*){8}")
+#: What each byte of a text is: part of a letter, a gap, the end of a sentence, of a line, of a text.
+_LETTER, _GAP, _END, _LINE, _TEXT = range(5)
+_KIND = np.full(256, _GAP, np.uint8)
+_KIND[ord("a") : ord("z") + 1] = _LETTER
+_KIND[0x80:] = _LETTER
+_KIND[[ord(c) for c in ".!?"]] = _END
+_KIND[ord("\n")] = _LINE
+_KIND[0] = _TEXT
 
 
 def label_language(label: str | None) -> str | None:
@@ -52,26 +65,55 @@ def prose(text: str) -> str:
     """The text without code, addresses, formulas, quotations and headings; with them, if nothing else is left."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     bare = _ADDRESS.sub(" ", _FENCE.sub("\n", text)) if "`" in text or "://" in text or "@" in text or "$" in text or "~" in text or "www" in text else text
-    less = _HEADING.sub("", _QUOTE.sub(" ", bare))
+    less = bare if bare.isascii() else _QUOTE.sub(" ", bare)
+    if "#" in less or "==" in less:
+        less = _HEADING.sub("", less)
     for t in (less, bare):
         if _EIGHT.search(t):
             return t
     return text
 
 
-def sentences(text: str) -> list[tuple[int, str]]:
-    """(line number, sentence) in order; stretches of fewer than 8 letters join their neighbour on the line."""
-    out: list[tuple[int, str]] = []
-    for k, line in enumerate(text.split("\n")):
-        parts = _SENTENCE.findall(line)
-        here: list[str] = []
-        for p in parts:
-            if here and (len(p) < 16 or len(here[-1]) < 16):
-                here[-1] += p
+class Sentences:
+    """The sentences of many texts, as ranges of one array of bytes that holds letters with single spaces.
+
+    begin, lens: each sentence's range in flat; letters, line, text: its letters, and the numbers of its line and text.
+    Stretches of fewer than 16 characters join their neighbour on the line.
+    """
+
+    def __init__(self, texts: list[str]):
+        bodies = [prose(t).replace("\0", " ").lower() for t in texts]
+        for k, t in enumerate(bodies):
+            if not t.isascii():
+                bodies[k] = _MARK.sub(" ", _STOP.sub(".", t))
+        raw = np.frombuffer(("\0" + "\0".join(bodies)).encode("utf-8", "ignore"), dtype=np.uint8)
+        kind = _KIND[raw]
+        letter = kind == _LETTER
+        edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1  # a text begins and ends outside of letters
+        start, stop = edge[::2], edge[1::2] if len(edge) % 2 == 0 else np.append(edge[1::2], len(raw))
+        keep = letter.copy()
+        keep[start - 1] = True  # one gap before each run of letters
+        flat = np.where(letter, raw, np.uint8(32))[keep]
+        offset = np.cumsum(stop - start + 1) - (stop - start + 1)
+        marks = np.flatnonzero(kind >= _END)
+        unit, line, text = (np.searchsorted(marks[kind[marks] >= k], start) for k in (_END, _LINE, _TEXT))
+        run = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])) if len(unit) else unit
+        at, line, text = offset[run], line[run], text[run]
+        chars = np.add.reduceat((flat & 0xC0) != 0x80, at, dtype=np.int64) if len(at) else at
+        gaps = np.diff(np.append(run, len(start)))
+        first = np.ones(len(at), dtype=bool)  # sentences that begin here; the others join the one before
+        last_line, last_size = -1, 0
+        for k, (own, size) in enumerate(zip(line.tolist(), chars.tolist())):
+            if own == last_line and (size < 16 or last_size < 16):
+                first[k] = False
+                last_size += size
             else:
-                here.append(p)
-        out.extend((k, p) for p in here if not p.isspace())
-    return out
+                last_line, last_size = own, size
+        head = np.flatnonzero(first)
+        self.flat, self.begin = flat, at[head]
+        self.lens = np.diff(np.append(self.begin, len(flat)))
+        self.letters = np.add.reduceat(chars - gaps, head) if len(head) else head
+        self.line, self.text = line[head], text[head] - 1
 
 
 def letters_of(sentence: str) -> str:
@@ -87,29 +129,39 @@ def nonsense(r: np.random.Generator) -> str:
     return "".join(syllable() for _ in range(r.integers(2, 5)))
 
 
-def training_set(rows: list[tuple[str, str]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Windows [n, WINDOW] (short lines are padded with 256) and class numbers from (text, language).
+def training_windows(text: str, r: np.random.Generator, most: int = TRAIN_WINDOWS) -> list[np.ndarray]:
+    """Windows [WINDOW] of a text's bytes, short ones filled up with PAD: all of them, or `most` spread over the whole text.
 
     A third of the texts loses its diacritics, as texts may; in half of the lines invented words take the place of
     some words or stand between them, so that they tell nothing about the language.
     """
-    r = np.random.default_rng(seed)
+    body = prose(text)
+    if r.random() < 1 / 3:
+        body = "".join(c for c in unicodedata.normalize("NFD", body) if not unicodedata.combining(c))
+    out = []
+    for line in body.split("\n"):
+        words = letters_of(line).split()
+        if r.random() < 0.5:
+            often = r.random() * DENSE
+            draw = r.random(len(words))
+            words = [w if d > often else f"{w} {nonsense(r)}" if d > 0.4 * often else nonsense(r) for w, d in zip(words, draw)]
+        raw = np.frombuffer((" " + " ".join(words)).encode("utf-8", "ignore"), dtype=np.uint8)
+        for at in range(0, max(1, len(raw) - 6), WINDOW * 2):
+            part = raw[at : at + (WINDOW if r.random() > SHORT else r.integers(6, WINDOW))]
+            if len(part) >= 6:
+                out.append(np.concatenate([part.astype(np.int16), np.full(WINDOW - len(part), PAD, np.int16)]))
+    if len(out) > most:
+        out = [out[k] for k in np.linspace(0, len(out) - 1, most).astype(int)]
+    return out
+
+
+def training_set(rows: list[tuple[str, str]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Windows [n, WINDOW] and class numbers from (text, language)."""
     x, y = [], []
-    for text, lang in rows:
-        body = prose(text)
-        if r.random() < 1 / 3:
-            body = "".join(c for c in unicodedata.normalize("NFD", body) if not unicodedata.combining(c))
-        for line in body.split("\n"):
-            words = letters_of(line).split()
-            if r.random() < 0.5:
-                draw = r.random(len(words))
-                words = [w if d > 0.3 else f"{w} {nonsense(r)}" if d > 0.12 else nonsense(r) for w, d in zip(words, draw)]
-            raw = np.frombuffer(" ".join(words).encode("utf-8"), dtype=np.uint8)
-            for at in range(0, max(1, len(raw) - 12), WINDOW * 2):
-                part = raw[at : at + WINDOW]
-                if len(part) >= 12:
-                    x.append(np.concatenate([part, np.full(WINDOW - len(part), 256)]))
-                    y.append(LANGUAGES.index(lang))
+    for k, (text, lang) in enumerate(rows):
+        own = training_windows(text, np.random.default_rng([seed, k]))
+        x += own
+        y += [LANGUAGES.index(lang)] * len(own)
     return np.array(x, dtype=np.intp).reshape(-1, WINDOW), np.array(y, dtype=np.intp)
 
 
@@ -117,97 +169,180 @@ def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS, steps: int = STEPS)
     """A network trained on at most train_rows labelled rows per language; None if there are no labelled rows.
 
     The rows are those of the least hash, found by counting the labels and reading the texts of a matching hash range
-    only, so the sample is the same wherever the rows lie.
+    only, so the sample is the same wherever the rows lie. Windows are made where the rows are, from whole texts; at
+    most 6 * train_rows * TRAIN_WINDOWS windows come to the driver.
     """
     language = F.create_map(*(F.lit(v) for kv in CODES.items() for v in kv))
     named = F.element_at(language, F.regexp_extract(F.lower(F.trim("lang")), r"^[a-z]+", 0))
     labelled = documents.select("doc_id", "text", named.alias("own")).where("own is not null and text is not null")
     counts = {r["own"]: r["n"] for r in labelled.groupBy("own").agg(F.count("*").alias("n")).collect()}
-    scale = 1 << 30
-    bound = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, int(min(scale, scale * 1.2 * train_rows / n + 1))))) if counts else None
-    if bound is None:
+    if not counts:
         return None
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
-    rows = labelled.withColumn("at", at).where(F.col("at") < F.element_at(bound, F.col("own"))).select("own", "at", "doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
-    chosen: list[tuple[str, str]] = []
-    for lang in LANGUAGES:
-        own = sorted((r for r in rows if r["own"] == lang), key=lambda r: (r["at"], str(r["doc_id"]), r["text"]))
-        chosen += [(r["text"], lang) for r in own[:train_rows]]
-    x, y = training_set(chosen)
+    scale = 1 << 30
+    bound = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, int(min(scale, scale * 1.2 * train_rows / n + 1)))))
+    near = labelled.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(scale))).where(F.col("at") < F.element_at(bound, F.col("own")))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            own = [training_windows(t, np.random.default_rng([5, int(at)])) for t, at in zip(rows["text"], rows["at"])]
+            yield pd.DataFrame({"own": rows["own"], "at": rows["at"], "windows": [np.array(w, dtype=np.int16).tobytes() for w in own]})
+
+    rows = near.mapInPandas(cut, "own string, at long, windows binary").collect()
+    x, y = [np.zeros((0, WINDOW), np.int16)], []
+    for k, lang in enumerate(LANGUAGES):
+        for r in sorted((r for r in rows if r["own"] == lang), key=lambda r: (r["at"], bytes(r["windows"])))[:train_rows]:
+            x.append(np.frombuffer(bytes(r["windows"]), dtype=np.int16).reshape(-1, WINDOW))
+            y += [k] * len(x[-1])
+    return trained(np.concatenate(x).astype(np.intp), np.array(y, dtype=np.intp), steps)
+
+
+def trained(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> Network | None:
+    """A network trained on windows x [n, WINDOW] of languages y [n], drawn so that all count alike; None if there are none.
+
+    In a share MIXED of the windows the language changes somewhere, as it may within a sentence.
+    """
     if not len(x):
         return None
     share = np.bincount(y, minlength=len(LANGUAGES))[y]
     r = np.random.default_rng(1)
-    even = r.choice(len(x), size=max(len(x), 4096), p=(1 / share) / (1 / share).sum())
+    draw = lambda n: r.choice(len(x), size=n, p=(1 / share) / (1 / share).sum())
+    even = draw(max(len(x), 4096))
+    x, y, joined = x[even], np.repeat(y[even, None], WINDOW, axis=1), int(MIXED * len(even))
+    head, tail, at = x[:joined], np.roll(x[:joined], 1, axis=0), r.integers(WINDOW // 4, 3 * WINDOW // 4, joined)
+    ends = np.where((head == 32) | (head >= 0xC0), np.arange(WINDOW), 0)  # a change comes before a gap or a character
+    at = np.where(np.arange(WINDOW) <= at[:, None], ends, 0).max(axis=1)[:, None]
+    back = np.arange(WINDOW) - at
+    mixed = np.where(back < 0, head, np.take_along_axis(tail, np.maximum(back, 0), axis=1))
+    lang = np.where(back < 0, y[:joined], np.roll(y[:joined], 1, axis=0))
     net = Network(len(LANGUAGES))
-    net.train(x[even], y[even], steps)
+    net.train(np.concatenate([x, mixed]), np.concatenate([y, lang]), steps)
     return net
 
 
-def _label(net: Network, texts: list[str]) -> list[list[tuple[int, str, int, str, float]]]:
-    """Per text its sentences: (line, sentence, letters, language, confidence)."""
-    found = [sentences(prose(t)) for t in texts]
-    read = [letters_of(s) for f in found for _, s in f]
-    raw = [s.encode("utf-8", "ignore") for s in read]
-    letters = [len(s) - s.count(" ") for s in read]
-    logs = net.pooled(raw).astype(np.float64)
-    lens = np.array([max(1, len(b)) for b in raw])
-    # neighbouring bytes tell much the same: ten of them count as one observation
-    score = logs / np.maximum(lens, 1)[:, None] * np.minimum(np.maximum(lens / 10, 1), 30)[:, None]
-    prob = np.exp(score - score.max(axis=1, keepdims=True)) if len(score) else score
-    prob /= prob.sum(axis=1, keepdims=True)
-    out, at = [], 0
-    for f in found:
-        s, n = score[at : at + len(f)], np.array(letters[at : at + len(f)])
-        own = s.argmax(axis=1)
-        k = 0
-        while k < len(f):
-            end = k + 1
-            while end < len(f) and f[end][0] == f[k][0]:
-                end += 1
-            top = int(s[k:end].sum(axis=0).argmax())
-            for j in range(k, end):
-                if s[j, own[j]] - s[j, top] <= APART:
-                    own[j] = top
-            k = end
-        sure = prob[at + np.arange(len(f)), own]
-        firm = (sure >= SURE) & (n >= 20)
-        if firm.any() and not firm.all():
-            known = np.unique(own[firm])
-            for j in np.flatnonzero(~firm):
-                own[j] = known[s[j, known].argmax()]
-        sure = prob[at + np.arange(len(f)), own]
-        out.append([(line, text, int(m), LANGUAGES[o], float(p)) for (line, text), m, o, p in zip(f, n, own, sure) if m])
-        at += len(f)
+def _best_path(score: np.ndarray, group: np.ndarray, cost: float) -> np.ndarray:
+    """Per row the class on the best path through its group's rows, each change of class costing `cost`.
+
+    score: [rows, classes], rows of one group in a row. All groups step side by side.
+    """
+    out = np.zeros(len(score), dtype=np.int64)
+    if not len(score):
+        return out
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(start, len(score)))
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    best, back = score[start].copy(), []
+    for t in range(1, size[0]):
+        live = int((size > t).sum())
+        top = best[:live].argmax(axis=1)
+        change = best[np.arange(live), top][:, None] - cost
+        stay = best[:live] >= change
+        back.append(np.where(stay, np.arange(score.shape[1]), top[:, None]))
+        best[:live] = np.where(stay, best[:live], change) + score[start[:live] + t]
+    own = best.argmax(axis=1)
+    for t in range(size[0] - 1, -1, -1):
+        live = int((size > t).sum())
+        out[start[:live] + t] = own[:live]
+        if t:
+            own[:live] = back[t - 1][np.arange(live), own[:live]]
     return out
 
 
-def _shares(rows: list[tuple[int, str, int, str, float]]) -> dict[str, tuple[float, float]]:
-    """Per language its share of the letters and its mean confidence."""
-    total = sum(r[2] for r in rows)
-    out = {}
-    for lang in sorted({r[3] for r in rows}):
-        own = [r for r in rows if r[3] == lang]
-        n = sum(r[2] for r in own)
-        out[lang] = (n / total, sum(r[2] * r[4] for r in own) / n)
-    return out
+def _evidence(logits: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Log-odds of pooled logits: neighbouring bytes tell much the same, so ten of them count as one observation."""
+    n = np.maximum(lens, 1)[:, None]
+    return logits.astype(np.float64) / n * np.minimum(np.maximum(n / 10, 1), 30)
 
 
-def _run(documents: DataFrame, net: Network, make, columns: list[str], schema: str) -> DataFrame:
+class Labelled:
+    """The passages of many texts, in order: text, letters, lang (its number) and sure, the confidence.
+
+    Passages are sentences, or parts of one where the language changes within. A language holds over a line unless a
+    change is worth APART; passages that are not sure take one of the languages that are sure in their text.
+    """
+
+    def __init__(self, net: Network, texts: list[str]):
+        s = Sentences(texts)
+        logits = net.pooled(s.flat, s.begin, s.lens)
+        begin, lens, letters, line, text = self._cut(net, s, logits)
+        score = _evidence(logits if begin is s.begin else self.logits, lens)
+        own = _best_path(score, line, APART)
+        at = np.arange(len(own))
+        prob = np.exp(score - score.max(axis=1, keepdims=True)) if len(score) else score
+        prob /= prob.sum(axis=1, keepdims=True)
+        firm = (prob[at, own] >= SURE) & (letters >= 20)
+        known = np.zeros((len(texts), len(LANGUAGES)), dtype=bool)
+        known[text[firm], own[firm]] = True
+        weak = np.flatnonzero(~firm & known[text].any(axis=1))
+        own[weak] = np.where(known[text[weak]], score[weak], -np.inf).argmax(axis=1)
+        full = letters > 0
+        self.text, self.letters, self.lang, self.sure = text[full], letters[full], own[full], prob[at, own][full]
+
+    def _cut(self, net: Network, s: Sentences, logits: np.ndarray):
+        """Sentences whose best language leads by little a byte are labelled byte by byte, and cut where that changes."""
+        top = np.partition(logits, -2, axis=1) if len(logits) else logits
+        lead = (top[:, -1] - top[:, -2]) / np.maximum(s.lens, 1) if len(logits) else np.zeros(0)
+        mixed = np.flatnonzero((lead < LEAD) & (s.lens >= 2 * PART))
+        if not len(mixed):
+            return s.begin, s.lens, s.letters, s.line, s.text
+        words_at, words_of, words = [], [], []
+        for k, each in zip(mixed.tolist(), net.labelled(s.flat, s.begin[mixed], s.lens[mixed])):
+            raw = s.flat[s.begin[k] : s.begin[k] + s.lens[k]]
+            at = np.flatnonzero((raw == 32) | (raw >= 0xE0))  # words, and the characters of scripts without gaps
+            at = np.append(0, at[at > 0])
+            words_at.append(at)
+            words_of.append(np.full(len(at), k))
+            words.append(np.add.reduceat(each, at, axis=0))
+        per, at, of = np.concatenate(words), np.concatenate(words_at), np.concatenate(words_of)
+        lang = _best_path(per.astype(np.float64) / 10, of, APART)
+        new = np.append(True, (of[1:] != of[:-1]) | (lang[1:] != lang[:-1]))
+        head = np.flatnonzero(new)
+        parts = np.bincount(of[head], minlength=len(s.begin))
+        parts[parts == 0] = 1
+        owner = np.repeat(np.arange(len(s.begin)), parts)
+        begin, out = s.begin[owner].copy(), logits[owner].copy()
+        cut = np.isin(owner, mixed)
+        begin[cut] += at[head]
+        out[cut] = np.add.reduceat(per, head, axis=0)
+        lens = np.diff(np.append(begin, len(s.flat)))
+        chars = np.add.reduceat(((s.flat & 0xC0) != 0x80) & (s.flat != 32), begin, dtype=np.int64)
+        self.logits = out
+        return begin, lens, chars, s.line[owner], s.text[owner]
+
+
+def _shares(found: Labelled, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """[texts, languages]: the share of the letters, and the mean confidence."""
+    k = len(LANGUAGES)
+    at = found.text * k + found.lang
+    letters = np.bincount(at, weights=found.letters, minlength=n_texts * k).reshape(-1, k)
+    sure = np.bincount(at, weights=found.letters * found.sure, minlength=n_texts * k).reshape(-1, k)
+    return letters / np.maximum(letters.sum(axis=1, keepdims=True), 1), sure / np.maximum(letters, 1)
+
+
+def _run(documents: DataFrame, net: Network, make, schema: str) -> DataFrame:
+    """make(found, rows) of every batch of doc_id, text, lang."""
     shared = documents.sparkSession.sparkContext.broadcast(net.p)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Network(len(LANGUAGES))
         own.p = shared.value
         for rows in batches:
-            for k in range(0, len(rows), 2000):
-                part = rows.iloc[k : k + 2000]
-                labelled = _label(own, part["text"].tolist())
-                yield pd.DataFrame([x for d, t, f in zip(part["doc_id"], part["lang"], labelled) for x in make(d, t, f)], columns=columns)
+            for part in _portions(rows):
+                yield make(Labelled(own, part["text"].tolist()), part)
 
     return documents.where("doc_id is not null and text is not null").select("doc_id", "text", "lang").mapInPandas(each, schema)
 
 
+def _portions(rows: pd.DataFrame, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Runs of rows of about `most` characters in all, so that the memory needed doesn't grow with the texts' number."""
+    size = rows["text"].str.len().cumsum().to_numpy()
+    at = 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield rows.iloc[at:end]
+        at = end
+
+
 def document_languages(documents: DataFrame, net: Network | None = None) -> DataFrame:
     """doc_id, lang, share, confidence, as_labelled: one row per language that fills a fifth of a document's letters.
 
@@ -217,34 +352,36 @@ def document_languages(documents: DataFrame, net: Network | None = None) -> Data
     don't count where anything else is there.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, lang string, share double, confidence double, as_labelled boolean"
     net = net or fit(documents)
     if net is None:
-        return documents.sparkSession.createDataFrame([], f"doc_id {kind}, lang string, share double, confidence double, as_labelled boolean")
+        return documents.sparkSession.createDataFrame([], schema)
 
-    def make(doc, label, rows):
-        shares = {k: v for k, v in _shares(rows).items() if v[0] >= SHARE}
-        right = len(shares) == 1 and label_language(label) in shares
-        return [(doc, lang, s, c, right) for lang, (s, c) in shares.items()]
+    def make(found: Labelled, rows: pd.DataFrame) -> pd.DataFrame:
+        share, sure = _shares(found, len(rows))
+        doc, lang = np.nonzero(share >= SHARE)
+        named = np.array([LANGUAGES.index(x) if (x := label_language(v)) else -1 for v in rows["lang"]], dtype=np.int64)
+        right = (named[doc] == lang) & (np.bincount(doc, minlength=len(rows))[doc] == 1)
+        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[doc], "lang": np.array(LANGUAGES, dtype=object)[lang], "share": share[doc, lang], "confidence": sure[doc, lang], "as_labelled": right})
 
-    return _run(documents, net, make, ["doc_id", "lang", "share", "confidence", "as_labelled"], f"doc_id {kind}, lang string, share double, confidence double, as_labelled boolean")
+    return _run(documents, net, make, schema)
 
 
 def passage_languages(documents: DataFrame, net: Network | None = None) -> DataFrame:
-    """doc_id, passage, lang, n_letters, confidence: the runs of sentences of one language, in order."""
+    """doc_id, passage, lang, n_letters, confidence: the runs of one language, in order."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, passage int, lang string, n_letters int, confidence double"
     net = net or fit(documents)
     if net is None:
         return documents.sparkSession.createDataFrame([], schema)
 
-    def make(doc, label, rows):
-        out: list[list] = []
-        for _, _, letters, lang, sure in rows:
-            if out and out[-1][2] == lang:
-                out[-1][3] += letters
-                out[-1][4] += letters * sure
-            else:
-                out.append([doc, len(out), lang, letters, letters * sure])
-        return [(d, k, lang, n, c / n) for d, k, lang, n, c in out]
+    def make(found: Labelled, rows: pd.DataFrame) -> pd.DataFrame:
+        new = np.ones(len(found.text), dtype=bool)
+        new[1:] = (found.text[1:] != found.text[:-1]) | (found.lang[1:] != found.lang[:-1])
+        at = np.flatnonzero(new)
+        add = lambda x: np.add.reduceat(x, at) if len(at) else x[:0]
+        doc, letters = found.text[at], add(found.letters)
+        passage = np.arange(len(at)) - np.searchsorted(doc, doc)
+        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[doc], "passage": passage.astype(np.int32), "lang": np.array(LANGUAGES, dtype=object)[found.lang[at]], "n_letters": letters.astype(np.int32), "confidence": add(found.letters * found.sure) / np.maximum(letters, 1)})
 
-    return _run(documents, net, make, ["doc_id", "passage", "lang", "n_letters", "confidence"], schema)
+    return _run(documents, net, make, schema)

@@ -335,17 +335,41 @@ def sentence(lang, r, n=14):
 def trained():
     r = np.random.default_rng(2)
     rows = [("".join(sentence(g, r) for _ in range(6)), g) for g in languages.LANGUAGES for _ in range(40)]
-    x, y = languages.training_set(rows)
-    net = languages.Network(6)
-    net.train(x, y, 250)
-    return net
+    return languages.trained(*languages.training_set(rows), 250)
+
+
+def languages_in(net, texts):
+    share = languages._shares(languages.Labelled(net, texts), len(texts))[0]
+    return [{languages.LANGUAGES[k] for k in np.flatnonzero(x >= languages.SHARE)} for x in share]
 
 
 def test_p8_held_out_accuracy(trained):
     r = np.random.default_rng(9)
     truth = [g for g in languages.LANGUAGES for _ in range(25)]
-    got = languages._label(trained, ["".join(sentence(g, r) for _ in range(4)) for g in truth])
-    assert np.mean([max(languages._shares(f).items(), key=lambda kv: kv[1][0])[0] == g for f, g in zip(got, truth)]) > 0.97
+    got = languages_in(trained, ["".join(sentence(g, r) for _ in range(4)) for g in truth])
+    assert np.mean([f == {g} for f, g in zip(got, truth)]) > 0.97
+
+
+def test_p8_change_within_a_line_and_a_sentence(trained):
+    r = np.random.default_rng(11)
+    pairs = [(a, b) for a in languages.LANGUAGES for b in languages.LANGUAGES if a != b and "zh" not in (a, b)]
+    bare = lambda g: sentence(g, r).rstrip(". ")
+    by_line = languages_in(trained, [sentence(a, r) + sentence(b, r) for a, b in pairs])
+    within = languages_in(trained, [bare(a) + " " + bare(b) for a, b in pairs])
+    assert np.mean([f == {*p} for f, p in zip(by_line, pairs)]) > 0.9
+    assert np.mean([f == {*p} for f, p in zip(within, pairs)]) > 0.6
+
+
+def test_p8_best_path_is_the_best():
+    import itertools
+
+    r = np.random.default_rng(3)
+    score, group = r.normal(size=(12, 3)) * 3, np.repeat([0, 1, 2], [5, 1, 6])
+    got = languages._best_path(score, group, 2.0)
+    for g in range(3):
+        own = score[group == g]
+        worth = lambda p: sum(own[k, c] for k, c in enumerate(p)) - 2 * sum(x != y for x, y in zip(p, p[1:]))  # noqa: B023, E731
+        assert abs(worth(got[group == g]) - max(map(worth, itertools.product(range(3), repeat=len(own))))) < 1e-9
 
 
 def test_p8_gradient_is_right():
@@ -353,31 +377,22 @@ def test_p8_gradient_is_right():
     net = languages.Network(3)
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
-    x, y = r.integers(0, 256, (7, 5)), r.integers(0, 3, 5)
+    x, y = r.integers(0, 256, (7, 5)), r.integers(0, 3, (7, 5, 1))
 
-    def loss():
-        hf, _ = net._forward(x, "f", False)
-        hb, _ = net._forward(x[::-1], "b", False)
-        z = np.concatenate([hf, hb[::-1]], axis=2) @ net.p["V"] + net.p["d"]
+    def logp():
+        z = net.logits_of(net.states(x)[0])
         z = z - z.max(axis=2, keepdims=True)
-        logp = z - np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return -np.take_along_axis(logp, np.broadcast_to(y[None, :, None], (7, 5, 1)), axis=2).mean()
-
-    hf, tf = net._forward(x, "f", True)
-    hb, tb = net._forward(x[::-1], "b", True)
-    both = np.concatenate([hf, hb[::-1]], axis=2)
-    z = both @ net.p["V"] + net.p["d"]
-    p = np.exp(z - z.max(axis=2, keepdims=True))
-    p /= p.sum(axis=2, keepdims=True)
-    p[np.arange(7)[:, None], np.arange(5)[None, :], y[None, :]] -= 1
+        return z - np.log(np.exp(z).sum(axis=2, keepdims=True))
+
+    loss = lambda: -np.take_along_axis(logp(), y, axis=2).mean()
+    h, tape = net.states(x)
+    p = np.exp(logp())
+    np.put_along_axis(p, y, np.take_along_axis(p, y, axis=2) - 1, axis=2)
     p /= 35
-    grad: dict = {}
-    d = p @ net.p["V"].T
-    H = hf.shape[2]
-    net._backward(x, "f", tf, d[..., :H], grad)
-    net._backward(x[::-1], "b", tb, d[::-1, :, H:], grad)
-    for k in ("Uf", "Ub", "cf", "cb"):
-        for at in (0, 3, 7):
+    dh = np.stack([p @ net.p["V"][0].T, p[::-1] @ net.p["V"][1].T], axis=1)
+    grad = net.backward(x, tape, dh)
+    for k in ("U", "c", "W"):
+        for at in (0, 3, 7, 20) if k != "W" else [((g * 2 + d) * 257 + int(x[2, 1])) * 16 + 3 for g in range(3) for d in range(2)]:
             flat = net.p[k].reshape(-1)
             old = flat[at]
             flat[at] = old + 1e-2
@@ -390,9 +405,15 @@ def test_p8_gradient_is_right():
 
 def test_p8_reading_equals_training_pass(trained):
     x = np.random.default_rng(1).integers(0, 257, (20, 9))
-    assert np.allclose(trained._forward(x, "f", False)[0], trained._read(x, "f"), atol=1e-4)
-    one = trained.pooled([b"nobody had asked", b"", "window é".encode()])
-    assert np.allclose(one, np.concatenate([trained.pooled([b]) for b in (b"nobody had asked", b"", "window é".encode())]), atol=1e-3) and (one[1] == 0).all()
+    h = trained.states(x)[0]
+    assert np.allclose(h, trained.read(x, True), atol=1e-4) and np.allclose(h.sum(axis=0), trained.read(x, False), atol=1e-3)
+    pieces = [b"nobody had asked", b"", "window é".encode(), b"a" * 700]
+    flat, lens = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces])
+    begin = np.cumsum(lens) - lens
+    one = trained.pooled(flat, begin, lens)
+    alone = np.concatenate([trained.pooled(flat, begin[k : k + 1], lens[k : k + 1]) for k in range(4)])
+    each = np.stack([x.sum(axis=0) for x in trained.labelled(flat, begin, lens)])
+    assert np.allclose(one, alone, atol=1e-3) and np.allclose(one, each, atol=1e-2) and (one[1] == 0).all()
 
 
 @pytest.mark.parametrize(("label", "lang"), [("en-US", "en"), ("EN_gb", "en"), (" por ", "pt"), ("zh-Hans", "zh"), ("ger", "de"), ("und", None), ("", None), (None, None), ("it", None), ("unk", None)])
