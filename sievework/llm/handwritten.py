@@ -1,7 +1,7 @@
 """Problem 2: generated, minified, vendored source files and data saved as code.
 
-Two kinds of evidence. Rules on a file's header (its full-line comments) name generators
-and outside projects; rules on its layout measure how much of it is long dense lines, literals, or lines that are the
+Two kinds of evidence. Rules on a file's header (its full-line comments) weigh what it says about how the file was
+made and where it is from; rules on its layout measure how much of it is long dense lines, literals, or lines that are the
 same but for names and values. And Merkle hashes, computed bottom-up over each repository's directory tree, find
 whole directories that unrelated repositories share. All texts are read once, where they lie; per chunk only a few
 numbers are shuffled, and they are added up per file.
@@ -24,23 +24,48 @@ from ..session import materialize
 BLOCK, UNIFORM, PROSE = 0.42, 0.45, 4
 #: Characters of a dense line; times that a line's shape must recur.
 LONG_LINE, TIMES = 150, 5
-# Patterns for the header, on one lower-cased comment line without its marks.
-GENERATED = re.compile(
-    r"code generated by|generated code|^@generated\b|^auto-?generated\b(?!.*\bnames\b)|auto-generated file|automatically generated (?:from|by)"
-    r"|this file (?:was|is) (?:auto\S*|machine)\W+(?:generated|made)|^generated (?:by|from|with|using) \S+.*\d|do not (?:edit|modify)(?: by hand)?\W*$|do not modify by hand"
-    r"|automatisch (?:erzeugt|generiert)|nicht von hand|自动生成|请勿手工|machine-made from|re-run \S+\W*$|edit that file instead|^output of \S+ [\d.]+\W+input|regenerate with"
-    r"|changes will be (?:lost|overwritten)|will be overwritten|g[ée]n[ée]r[ée] automatiquement|generado autom[áa]ticamente|gerado automaticamente"
+# What a header line may say, as regular expressions over one lower-cased comment line without its marks. No phrase is
+# listed whole: a file is judged by how many kinds of statement stand together.
+_FILE = r"\b[\w-]+\.(?!com\b|org\b|net\b|io\b)[a-z]\w{0,9}(?:\.\w{1,9})?\b"
+_VERSION = r"\bv?\d+\.\d+(?:\.\d+)*(?:[-+]\w+)?\b"
+_HASH = r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,40}\b"
+#: Statements about how a file came to be.
+MAKING = {
+    "made": r"generat(?:ed|or)|autogen|g[ée]n[ée]r[ée]|generad|gerad[oa]|erzeugt|generiert|生成|\b(?:machine|tool|computer)[- ]?(?:made|built|written|produced)"
+    r"|\b(?:produced|emitted|compiled|transpiled|rendered|created|built|derived) (?:by|from|with|using)\b|\boutput of\b",
+    "automatic": r"\bauto|\bautomat|自动|\bmachine[- ]",
+    "source": rf"{_FILE}|{_VERSION}|\b\d{{4}}-\d{{1,2}}-\d{{1,2}}\b|\b(?:compiler|code ?gen\w*|generator|schema tool|preprocessor)\b",
+    "hands_off": r"(?:do not|don't|never|must not|please no|nicht|ne pas|n[ãa]o|请勿|勿|不要)\W*(?:be )?(?:edit\w*|modif\w*|change\w*|alter\w*|touch\w*|von hand|手工|手动|修改|编辑)"
+    r"(?:\W*(?:by hand|manually|this file|it|directly|à la main|ändern|修改))*\W*(?:$|[.;,:!—-])",
+    "lost": r"(?:change|edit|modification)s?\b.{0,30}\b(?:lost|overwritten|discarded|undone|clobbered)|\boverwritten\b|überschrieben|écras|覆盖",
+    "again": r"\bre-?generate\b|\bre-?run\b|\bedit (?:that|the) (?:file|template|source|schema)\b.{0,20}instead|\bneu erzeugen|重新生成",
+}
+#: Statements about where a file is from.
+ORIGIN = {
+    "taken": r"\bsync(?:ed|hroni[sz]ed)\b|\bmirror(?:ed)?\b|\bvendored\b|\bcop(?:y|ied)\b|\bimported\b|\btaken from\b|\bpulled from\b|\bported\b|\bback-?ported\b|\bfork(?:ed)?\b|\bsnapshot\b|\bbundled?\b"
+    r"|\bamalgamat\w+|\bsingle[- ]file\b|\bshipped\b|\bdistributed with\b|\bborrowed from\b|\badapted from\b|\brelease\b",
+    "revision": rf"{_VERSION}|{_HASH}",
+    "others": r"\bupstream\b|\bthe [\w-]+ (?:authors|maintainers|contributors|developers)\b|\b(?:original )?authors?:|\bauthors of\b|\bcontributors\b|\band others\b|\bits authors\b",
+    "licence": r"\blicen[cs]ed? (?:under|[\w.+-]+$|[\w.+-]+ style)|^@?licen[cs]e\b|\breleased under\b|\bspdx-|^@preserve\b|licen[cs]e:",
+    "place": r"\b(?:third[-_ ]?party|vendor|external|node_modules|deps|extern)/",
+    "state": r"\bunchanged\b|\bverbatim\b|\bunmodified\b|\bas (?:shipped|is|released)\b|\bpatches\b.{0,20}(?:applied|here|none|local)|\blocal (?:changes|modifications|patches|copy)\b|\bin (?:step|sync) with\b|\bhow to (?:update|upgrade)\b|\breport bugs to\b|\bdo not patch\b",
+    "banner": rf"^!?\s*@?[a-z][\w.-]*(?: js| lib)?,? (?:version )?{_VERSION}\W*$",
+}
+#: A line that tells of something past, or of generated or copied things other than this file, says nothing about it.
+ELSEWHERE = re.compile(
+    r"\bremoved\b|\brewritten\b|\bfrom scratch\b|\breplac|\bno longer\b|\bskipped\b|\bignored?\b|\bold\b|\bused to\b|\binstead of\b|\bunlike\b|\bnot (?:generated|copied|vendored)\b|\b(?:is|are|were) checked\b"
+    r"|\b(?:the|a|an|these|those|our|any|all|some) (?:\S+ )?(?:auto-?\s?)?generated\b(?! (?:by|from|with|using|on|file|code|automatically)\b)"
 )
-#: Names an outside project or release.
-OUTSIDE = re.compile(
-    r"third_party/|vendored from|verbatim copy|imported unchanged|as shipped with|single-file build|amalgamated from|^original authors?\b|original authors: "
-    r"|upstream licen[cs]e|in step with upstream|see vendor/readme|local copy so that|^!?\s*[\w.-]+ v\d+\.\d+(?:\.\d+)?\W*$|the [\w-]+ authors\b|to the [\w-]+ maintainers"
-)
-#: A licence of its own only; two such lines together name a release.
-LICENCE = re.compile(r"^@licen[cs]e\b|^licen[cs]e [\w.+ -]+$|^released under the .*licen[cs]e|^@preserve|^spdx-license")
+_MAKING, _ORIGIN = ({k: re.compile(v) for k, v in t.items()} for t in (MAKING, ORIGIN))
+#: Names that only compilers and bundlers write into code.
+TOOL_MARKS = re.compile(r"_interopRequire(?:Default|Wildcard)|__webpack_require__|__pyx_\w|\b_regeneratorRuntime\b|\byy(?:table|translate|defact)\b|\bSWIGTYPE_|_descriptor\.FileDescriptor\b")
+#: Lines that are judged together.
+TOGETHER = 4
 #: What a text must hold anywhere for its comments to be read.
-GENERATED_ANY = re.compile(r"generat|do not|automatisch|von hand|生成|手工|machine|re-run|output of|changes|overwritten|edit that|g[ée]n[ée]r|gerado")
-OUTSIDE_ANY = re.compile(r"third_party|vendor|verbatim|unchanged|shipped|single-file|amalgam|authors?|licen[cs]e|upstream|local copy|maintainers| v\d+\.\d|@preserve")
+ANY = re.compile(
+    r"gener|génér|gerad|erzeugt|生成|machine|autogen|tool[- ]|produced|emitted|compiled|transpiled|rendered|created|built|derived|output of|edit|modif|hand|touch|overwrit|lost|ändern|手|覆盖"
+    r"|sync|mirror|vendor|cop(?:y|ied)|import|taken|pulled|port|fork|snapshot|bundle|amalgam|single|shipped|distribut|borrow|adapted|release|upstream|author|maintain|contribut|licen|preserve|spdx|third|patches|verbatim|unchanged|unmodified|v?\d\.\d"
+)
 SOURCE_MAP = re.compile(r"^\s*//[#@]\s*sourceMappingURL=", re.M)
 
 _COMMENT = re.compile(r"^\s*(?://+!?|#+!?|/\*+!?|\*+/?|--+|;+|\"\"\"|''')\s?(.*)$")
@@ -73,16 +98,30 @@ def header(text: str) -> list[str]:
 
 
 def header_kind(text: str) -> str | None:
-    """'generated' or 'vendored' if the comments say so."""
+    """'generated' or 'vendored' if the comments say so.
+
+    Statements of up to TOGETHER comment lines in a row are counted by kind. A file is generated if they forbid edits to
+    it or say that edits get lost, or make two statements on its making, one of which is that it was made or is to be
+    made again; it is vendored if they make two statements on its origin.
+    """
     low = text.lower()
-    if not (GENERATED_ANY.search(low) or OUTSIDE_ANY.search(low)):
+    if not ANY.search(low):
         return None
-    lines = header(text)
-    if any(GENERATED.search(x) for x in lines):
-        return "generated"
-    if any(OUTSIDE.search(x) for x in lines) or sum(bool(LICENCE.search(x)) for x in lines) > 1:
-        return "vendored"
-    return None
+    said: list[tuple[set[str], set[str]]] = []
+    for line in header(text):
+        if not line or ELSEWHERE.search(line):
+            said.append((set(), set()))
+        else:
+            said.append(({k for k, p in _MAKING.items() if p.search(line)}, {k for k, p in _ORIGIN.items() if p.search(line)}))
+    kind = None
+    for k in range(len(said)):
+        near = said[k : k + TOGETHER]
+        making, origin = set().union(*(m for m, _ in near)), set().union(*(o for _, o in near))
+        if making & {"hands_off", "lost"} or making & {"made", "again"} and len(making) > 1:
+            return "generated"
+        if len(origin) > 1:
+            kind = "vendored"
+    return kind
 
 
 def layout(text: str) -> tuple[int, int, int, int, int]:
@@ -123,7 +162,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "doc_id": rows["doc_id"].to_numpy(),
                 "chunk_idx": rows["chunk_idx"].to_numpy(),
                 "kind": [header_kind(t) for t in texts],
-                "mapped": [bool(SOURCE_MAP.search(t)) for t in texts],
+                "mapped": [bool(SOURCE_MAP.search(t) or TOOL_MARKS.search(t)) for t in texts],
                 "leaf": [xxhash.xxh3_64_intdigest(_BLANK.sub(" ", t).strip().encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts],
             }
         ).join(sizes)
@@ -149,12 +188,14 @@ def shared_directories(tree: DataFrame, least_files: int = 2, least_repos: int =
 
     tree: doc_id, repo, path, leaf. A directory's Merkle hash is made of its entries' names and hashes, level by level
     from the deepest up, so equal hashes mean equal subtrees, whatever the directory itself is called. Files without
-    repo or path are in no tree. Directories of fewer than least_files files prove nothing.
+    repo or path are in no tree. Directories of fewer than least_files files prove nothing. Every level is written before
+    the next one is computed, so the plan doesn't grow with the depth.
     """
-    entries = (
+    entries = materialize(
         tree.where("repo is not null and path is not null").withColumn("steps", F.split("path", "/"))
         .select("repo", F.expr("array_join(slice(steps, 1, size(steps) - 1), '/')").alias("dir"), F.element_at("steps", -1).alias("name"), F.expr("size(steps) - 1").alias("depth"), F.col("leaf").alias("hash"), F.lit(1).cast("long").alias("files"))
-        .groupBy("repo", "dir", "name", "depth").agg(F.min("hash").alias("hash"), F.first("files").alias("files"))
+        .groupBy("repo", "dir", "name", "depth").agg(F.min("hash").alias("hash"), F.first("files").alias("files")),
+        "entries",
     )
     deepest = entries.agg(F.max("depth").alias("d")).first()["d"] or 0
     level, nodes = None, None
@@ -165,7 +206,7 @@ def shared_directories(tree: DataFrame, least_files: int = 2, least_repos: int =
                 "repo", F.expr("array_join(slice(steps, 1, size(steps) - 1), '/')").alias("dir"), F.concat(F.element_at("steps", -1), F.lit("/")).alias("name"), "hash", "files"
             )
             here = here.unionByName(up)
-        level = here.groupBy("repo", "dir").agg(F.bit_xor(F.xxhash64("name", "hash")).alias("hash"), F.sum("files").alias("files"))
+        level = materialize(here.groupBy("repo", "dir").agg(F.bit_xor(F.xxhash64("name", "hash")).alias("hash"), F.sum("files").alias("files")), "level")
         nodes = level if nodes is None else nodes.unionByName(level)
     large = nodes.where(F.col("files") >= least_files)
     shared = large.groupBy("hash").agg(F.count_distinct("repo").alias("repos")).where(F.col("repos") >= least_repos)
