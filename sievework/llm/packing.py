@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .tokenizer import token_counter
 
 #: Items of one length per hash bucket, about; the number of buckets follows the data.
@@ -112,10 +113,11 @@ def split_records(records: DataFrame, vocab: DataFrame, capacity: int) -> DataFr
 
     One record per distinct (doc_id, chunk_idx); delivered twice it counts once (should the texts differ, the longer
     one). A record of up to `capacity` tokens is one piece. A longer one is split into full pieces and a rest, so only
-    such records have n_pieces > 1. A record of no tokens has one piece of size 0.
+    such records have n_pieces > 1. A record of no tokens has one piece of size 0. Texts are counted once: the counts
+    are written, and the plan and the placing read them.
     """
     n = token_counter(vocab)
-    sized = records.select("doc_id", "chunk_idx", n("text").alias("n_tokens")).groupBy("doc_id", "chunk_idx").agg(F.max("n_tokens").alias("n_tokens"))
+    sized = materialize(records.select("doc_id", "chunk_idx", n("text").alias("n_tokens")).groupBy("doc_id", "chunk_idx").agg(F.max("n_tokens").alias("n_tokens")), "tokens")
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")
     return (
         sized.withColumn("n_pieces", pieces)
@@ -176,3 +178,8 @@ def training_rows(records: DataFrame, vocab: DataFrame, capacities: Sequence[int
     """
     pieces = split_records(records, vocab, max(capacities))
     return pack(pieces, ["doc_id", "chunk_idx", "piece"], capacities)[0]
+
+
+def split_by_packing(rows: DataFrame) -> DataFrame:
+    """doc_id, chunk_idx of the records of training_rows() that lie in more than one training row."""
+    return rows.groupBy("doc_id", "chunk_idx").agg(F.min("bin").alias("first"), F.max("bin").alias("last")).where("first < last").select("doc_id", "chunk_idx")

@@ -57,7 +57,7 @@ def p5_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_rows(spark, d).where("n_pieces > 1").select("doc_id", "chunk_idx").distinct()
+    return packing.split_by_packing(p5_rows(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
