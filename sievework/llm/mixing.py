@@ -20,6 +20,8 @@ from .tokenizer import token_counter
 
 #: Rows per flight; a block of this size is one task's work at most.
 BLOCK = 20_000
+#: Rows of a block's lane.
+LANE = 128
 #: A share is reached if it is within this fraction of its target.
 CLOSE = 0.01
 
@@ -28,10 +30,48 @@ def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Probabilities after the flight: all 0 or 1 but for at most two; sum(p) and sum(p * size) are kept.
 
     Three undecided rows at a time span a direction in which both sums stand still: (s2 - s3, s3 - s1, s1 - s2).
-    Rows of equal size are moved in pairs, (1, -1).
+    Rows of equal size are moved in pairs, (1, -1). Many rows first fly in lanes side by side; what those leave
+    undecided, two rows each at most, flies on as one.
     """
-    p = [float(x) for x in p]
-    size = [float(x) for x in size]
+    p, size = np.array(p, dtype=float), np.asarray(size, dtype=float)
+    if len(p) >= 4 * LANE:
+        p = _lanes(p, size)
+    tiny = 1e-9
+    p[p <= tiny], p[p >= 1 - tiny] = 0, 1
+    left = np.flatnonzero((p > 0) & (p < 1))
+    p[left] = _fly_on(p[left].tolist(), size[left].tolist())
+    return p
+
+
+def _lanes(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The flight of len(p) // LANE lanes of LANE rows; rows beyond them stay as they are."""
+    n = len(p) // LANE
+    out = p.copy()
+    rows = np.arange(n * LANE).reshape(LANE, n)
+    lane = np.arange(n)
+    q, s, at = np.zeros((3, n)), np.zeros((3, n)), np.full((3, n), -1)  # up to three undecided rows a lane
+    for k in range(LANE):
+        free = (at < 0).argmax(axis=0)
+        q[free, lane], s[free, lane], at[free, lane] = p[rows[k]], size[rows[k]], rows[k]
+        full = (at >= 0).all(axis=0)
+        u = np.stack([s[1] - s[2], s[2] - s[0], s[0] - s[1]])
+        same = (u == 0).all(axis=0)
+        u[0, same], u[1, same] = 1, -1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            room = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf))
+        hit = room.argmin(axis=0)
+        q += np.where(full, room[hit, lane], 0) * u
+        q[hit[full], lane[full]] = np.round(q[hit[full], lane[full]])
+        settled = (at >= 0) & ((q < 1e-9) | (q > 1 - 1e-9))
+        out[at[settled]] = np.round(q[settled])
+        at[settled] = -1
+    held = at >= 0
+    out[at[held]] = q[held]
+    return out
+
+
+def _fly_on(p: list[float], size: list[float]) -> list[float]:
+    """The flight row by row."""
     tiny = 1e-9
     held: list[int] = []
     for i in range(len(p)):
@@ -64,7 +104,7 @@ def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
                 p[k] = float(round(p[k]))
                 still = [j for j in held if j != k]
             held = still
-    return np.array(p)
+    return p
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -95,13 +135,12 @@ class Mix:
             .agg(F.sum(F.coalesce("weight", F.lit(0.0)) * F.coalesce("total_tokens", F.lit(0.0))).alias("want"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
         )
         self.rows = materialize(documents.where("source is not null and doc_id is not null").select("doc_id", "source", n("text").alias("n_tokens")), "mix")
-        have = self.rows.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("n_rows"))
+        have = self.rows.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("n_rows"), F.count_if(F.col("n_tokens") > 0).alias("n_full"))
         times = F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0)
         self.plan = (
             want.join(have, "source", "left")
-            .select("source", "want", "max_repeats", F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
-            .withColumn("short", F.col("have") * F.col("max_repeats") < F.col("want"))
-            .withColumn("times", F.when(F.col("short"), F.col("max_repeats").cast("double")).otherwise(times))
+            .select("source", "want", "max_repeats", F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_full", F.lit(0)).alias("n_full"))
+            .withColumn("times", F.least(F.col("max_repeats").cast("double"), times))
         )
 
     def selection(self) -> DataFrame:
@@ -125,13 +164,18 @@ class Mix:
         return done.select("doc_id", "source", "n_tokens", uses.alias("n_uses")).where("n_uses > 0")
 
     def shares(self) -> DataFrame:
-        """Per source: target and reached tokens and shares of the whole, rows used, and whether it falls short."""
+        """Per source: target and reached tokens and shares of the whole, rows used, and whether it falls short.
+
+        A source falls short if its selected rows miss the target though every row that has tokens is used max_repeats
+        times.
+        """
         got = self.selection().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("tokens"), F.sum("n_uses").alias("uses"), F.count("*").alias("n_used"))
         whole = Window.partitionBy()  # over one row per source
-        tokens = F.coalesce("tokens", F.lit(0))
+        tokens, uses = F.coalesce("tokens", F.lit(0)), F.coalesce("uses", F.lit(0))
         return self.plan.join(got, "source", "left").select(
-            "source", "max_repeats", "have", "n_rows", F.round("want", 6).alias("target_tokens"), tokens.alias("tokens"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("n_used", F.lit(0)).alias("rows_used"),
-            F.round(F.try_divide(F.col("want"), F.sum("want").over(whole)), 6).alias("target_share"), F.round(F.try_divide(tokens, F.sum(tokens).over(whole)), 6).alias("share"), "short",
+            "source", "max_repeats", "have", "n_rows", F.round("want", 6).alias("target_tokens"), tokens.alias("tokens"), uses.alias("uses"), F.coalesce("n_used", F.lit(0)).alias("rows_used"),
+            F.round(F.try_divide(F.col("want"), F.sum("want").over(whole)), 6).alias("target_share"), F.round(F.try_divide(tokens, F.sum(tokens).over(whole)), 6).alias("share"),
+            ((tokens < F.col("want")) & (uses == F.col("n_full") * F.col("max_repeats"))).alias("short"),
         )
 
 

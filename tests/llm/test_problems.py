@@ -120,6 +120,11 @@ HAND = "import os\n\n\ndef area(w, h):\n    # the rows generated by the sampler
         ('"""Generated by foo tool 3.1 on 2026-01-02."""\nx = 1\n', "generated"), ("x = 1\n# This file was automatically generated from a.yaml.\n", "generated"), ("# third_party/a/b.py - imported unchanged from release 1.0.0\nx = 1\n", "vendored"),
         ("/*! lib v1.2.3 */\n", "vendored"), ("# Foo -- single-file build, version 2.0.1\nx = 1\n", "vendored"), ("# Copyright 2020 the Foo team\n# Part of the foo project, see LICENSE.\nx = 1\n", None),
         ("# Replaces the old auto generated names of foo.\nx = 1\n", None), ("x = 'Code generated by fooc 1.2. DO NOT EDIT.'\n", None), ("# do not edit the cut without asking Ann first\n", None), ("# Drop-in for the vendored foo we removed last year; rewritten from scratch.\n", None), (HAND, None), ("", None),
+        # wordings that no rule lists as a whole
+        ("# Emitted by barc 2.0 from bar.idl\nx = 1\n", "generated"), ("// Machine-generated from schema/a.proto\n", "generated"), ("// Never modify this file directly.\nint x;\n", "generated"), ("# Edits will be discarded at the next build.\n", "generated"), ("# Ne pas modifier. Généré par outil 3.2\n", "generated"),
+        ("// Mirrored from libfoo at 9f3c2ab1\nint x;\n", "vendored"), ("# Snapshot of foo, release 2.4.1\nx = 1\n", "vendored"), ("/*\n * Taken from external/foo/bar.c\n * Local patches: none\n */\n", "vendored"), ("# forked; report bugs to upstream\n# revision 1a2b3c4d5e\n", "vendored"),
+        # statements on other things than the file
+        ("# needs numpy 1.26 or later\nx = 1\n", None), ("# Licensed under the MIT licence, see LICENSE.\n# Copyright 2021 the Foo team\n", None), ("# the generated tables are rebuilt by make\nx = 1\n", None), ("# copy the rows before sorting\nx = 1\n", None), ("# changed in 2024-01-02: reads the old format too\n", None),
     ],
 )
 def test_p2_headers(text, kind):
@@ -141,6 +146,14 @@ def test_p2_files(spark):
     assert got == {"table": "data", "mini": "minified", "getters": "generated", "late": "generated", "v1": "vendored", "v2": "vendored", "w1": "vendored", "w2": "vendored"}
 
 
+def test_p2_deep_trees(spark):
+    """A subtree that two repositories hold at different depths, below directories of other names."""
+    rows = [(f"a{k}", "one", f"src/x/y/z/lib/{'sub/' * k}f{k}.py", k) for k in range(4)] + [(f"b{k}", "two", f"deps/{'sub/' * k}f{k}.py", k) for k in range(4)]
+    rows += [("c0", "three", "lib/f0.py", 0), ("c1", "three", "lib/sub/f1.py", 99), ("d", "two", "main.py", 7), ("e", None, "a/b.py", 1), ("f", "two", None, 1)]
+    got = {r.doc_id for r in handwritten.shared_directories(spark.createDataFrame(rows, "doc_id string, repo string, path string, leaf long")).collect()}
+    assert got == {f"{x}{k}" for x in "ab" for k in range(4)}
+
+
 # 3, 5
 
 
@@ -208,6 +221,7 @@ def test_p5_rows(spark, vocab):
             at += r.size
         assert at <= b[0].bin_size <= 64
     assert {(r.doc_id, r.n_pieces) for r in got if r.n_pieces > 1} == {("long", 3)}
+    assert [tuple(r) for r in packing.split_by_packing(packing.training_rows(l2(spark, rows), vocab, (16, 32, 64))).collect()] == [("long", 0)]
     assert len(by_bin) <= 1.05 * sum(r.size for r in got) / 64 + 1
 
 
@@ -306,6 +320,15 @@ def test_p7_flight_keeps_sums(sizes, p):
     assert set(landed) <= {0.0, 1.0} and abs((landed * size).sum() - (start * size).sum()) <= size.max() + 1e-2
 
 
+def test_p7_lanes_keep_sums():
+    r = np.random.default_rng(8)
+    for size in (r.integers(1, 900, 5000).astype(float), r.integers(1, 4, 5000).astype(float), np.full(700, 7.0)):
+        start = r.random(len(size))
+        end = mixing.flight(start, size)
+        assert ((end > 0) & (end < 1)).sum() <= 2 and ((end >= 0) & (end <= 1)).all()
+        assert abs(end.sum() - start.sum()) < 1e-4 and abs((end * size).sum() - (start * size).sum()) < 1e-1
+
+
 def test_p7_mix(spark, vocab, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 16)
     rows = [(i, "a" * (i % 17 + 1), "en", "big") for i in range(300)] + [(1000 + i, "b" * 10, "en", "small") for i in range(3)] + [(2000, None, "en", "big"), (2001, "", "en", "void"), (2002, "aa", "en", None), (None, "aa", "en", "big"), (2003, "aa", "en", "other")]
