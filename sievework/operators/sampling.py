@@ -65,24 +65,23 @@ def global_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return df.withColumn("_h", hash_order(key, seed)).orderBy("_h", key).limit(n).drop("_h")
 
 
-def allocate(population: dict, target: int, floor: int) -> dict:
-    """Shares of a target by population, each stratum at least min(floor, population), at most its population (Q7)."""
-    got = {k: min(floor, n) for k, n in population.items() if n > 0}
-    left = target - sum(got.values())
-    while left > 0:
-        space = {k: population[k] - v for k, v in got.items() if v < population[k]}
-        if not space:
-            break
-        total, gave = sum(space.values()), 0
-        for k, s in space.items():
-            add = min(round(left * s / total), s, left - gave)
-            got[k] += add
-            gave += add
-        if not gave:
-            got[max(space, key=space.get)] += 1
-            gave = 1
-        left -= gave
-    return got
+def allocate(counts: DataFrame, n: str, target: int, floor: int) -> DataFrame:
+    """counts with quota: a target shared among strata by what each has beyond its floor (Q7).
+
+    counts has one row per stratum and its size n. A stratum gets min(floor, n), and of what is left of the target its
+    part in proportion to n - min(floor, n), rounded by largest remainder (ties: larger n, then by the other columns),
+    so quotas add up to the target, or to all there is, or to the floors if these are more. Whole numbers throughout.
+    """
+    names = [c for c in counts.columns if c != n]
+    every = Window.partitionBy()  # over one row per stratum
+    t = counts.withColumn("_base", F.least(F.lit(floor), F.col(n)).cast("decimal(19,0)")).withColumn("_space", (F.col(n) - F.col("_base")).cast("decimal(19,0)"))
+    t = t.withColumn("_all", F.sum("_space").over(every)).withColumn("_left", F.greatest(F.lit(0), F.least(F.lit(target) - F.sum("_base").over(every), F.col("_all"))))
+    part = F.col("_left") * F.col("_space")
+    t = t.withColumn("_q", F.when(F.col("_all") > 0, F.floor(part / F.col("_all"))).otherwise(0).cast("long"))
+    t = t.withColumn("_rest", part - F.col("_q") * F.col("_all"))
+    order = Window.partitionBy().orderBy(F.desc("_rest"), F.desc(n), *names)
+    t = t.withColumn("_extra", (F.row_number().over(order) <= F.col("_left") - F.sum("_q").over(every)).cast("int"))
+    return t.select(*counts.columns, (F.col("_base") + F.col("_q") + F.col("_extra")).cast("long").alias("quota"))
 
 
 def tercile_bounds(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:

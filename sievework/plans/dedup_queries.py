@@ -243,18 +243,11 @@ def hash_split(spark, d):
 
 
 @query(
-    f"""WITH a AS (SELECT doc_id, {_collapse('text')} AS a FROM documents), b AS (SELECT item_id AS item, substr({_collapse('prompt')}, 1, 60) AS b FROM eval_items)
-        SELECT doc_id, item FROM a, b WHERE length(a) >= 20 AND length(b) >= 20 AND (contains(a, b) OR contains(b, a))"""
+    f"""WITH a AS (SELECT doc_id, {_collapse('text')} AS a FROM documents), b AS (SELECT item_id AS item, {_collapse('prompt')} AS b FROM eval_items)
+        SELECT DISTINCT doc_id, item FROM a, b WHERE length(a) >= 20 AND length(b) >= 20 AND (contains(a, b) OR contains(b, a))"""
 )
 def containment_pairs(spark, d):
-    """H14 with the first 60 characters of each prompt, as its SQL; containment_pairs_whole has the whole prompts."""
-    items = load(spark, d, "eval_items").select("item_id", F.substring(T.collapse("prompt"), 1, 60).alias("p"))
-    return H.contains_either_way(load(spark, d, "documents"), "doc_id", "text", items, "item_id", "p")
-
-
-@query()
-def containment_pairs_whole(spark, d):
-    """H14 with whole prompts; no SQL, which would compare every prompt with every document."""
+    """Documents and prompts of which one holds the other."""
     return H.contains_either_way(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "prompt")
 
 

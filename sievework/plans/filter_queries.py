@@ -57,11 +57,11 @@ def code_normalised(spark, d):
     return t.select("doc_id", "chunk_idx", F.md5(T.code_norm("text")).alias("key"), F.length(T.code_norm("text")).alias("n"))
 
 
-@query("SELECT doc_id, md5(translate(text, '图书馆长训练', '圖書館長訓練')) AS folded FROM documents WHERE contains(text, '馆')")
+@query("SELECT doc_id, md5(translate(text, '图书馆长训练', '圖書館長訓練')) AS folded FROM documents")
 def folded_script(spark, d):
-    """N7 with a small table, over the documents it can touch."""
+    """N7 with a small table."""
     pairs = dict(zip("图书馆长训练", "圖書館長訓練"))
-    return load(spark, d, "documents").where(F.contains("text", F.lit("馆"))).select("doc_id", F.md5(T.fold_chars("text", pairs)).alias("folded"))
+    return load(spark, d, "documents").select("doc_id", F.md5(T.fold_chars("text", pairs)).alias("folded"))
 
 
 @query(

@@ -148,11 +148,14 @@ def reply_numbers(spark, d):
     return load(spark, d, "events").select("event_id", "props", C.reply_number(F.col("props")).alias("number"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT map_keys(rubric_dims) AS k, map_values(rubric_dims) AS v FROM score_ledger WHERE rubric_dims IS NOT NULL), d AS (SELECT list_sort(list(DISTINCT x)) AS d FROM (SELECT unnest(k) AS x FROM t))
+    SELECT CAST(len(k) AS INT) AS n, count(*) AS rows, count(*) FILTER (list_sort(k) = d AND len(list_filter(v, lambda x: x IS NULL OR x < 1 OR x > 5)) = 0) AS parsed FROM t, d GROUP BY len(k)"""
+)
 def rubric_replies(spark, d):
-    """The ledger's grades written as replies and read again."""
+    """The ledger's grades written as replies and read again, against all dimensions that it knows."""
     t = load(spark, d, "score_ledger").where("rubric_dims is not null")
-    dims = [r[0] for r in t.select(F.explode(F.map_keys("rubric_dims")).alias("k")).groupBy("k").count().orderBy("k").limit(16).select("k").collect()]
+    dims = [r[0] for r in t.select(F.explode(F.map_keys("rubric_dims")).alias("k")).distinct().collect()]  # the names of a rubric's dimensions
     back = t.select("doc_id", "ts", C.rubric_scores(F.to_json("rubric_dims"), dims).alias("g"), F.size("rubric_dims").alias("n"))
     return back.groupBy("n").agg(F.count("*").alias("rows"), F.count("g").alias("parsed"))
 

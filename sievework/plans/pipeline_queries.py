@@ -172,14 +172,16 @@ def answer_forms(spark, d):
 
 
 _POOL = "SELECT lower(trim(domain)) AS domain, count(DISTINCT doc_id || '#' || chunk_idx) AS pool FROM l2_dataset WHERE domain IS NOT NULL GROUP BY 1"
-_MIX = f"""e AS (SELECT unnest(map_entries(domains)) AS e FROM mix_15b_stage1), w AS (SELECT e.key AS domain, coalesce(e.value.weight, 0) AS weight, coalesce(e.value.epochs, 1) AS epochs, coalesce(e.value.anneal, e.value.weight, 0) AS anneal FROM e), q AS ({_POOL}),
-    t AS (SELECT domain, pool, coalesce(pool, 0) * epochs AS cap, weight, anneal FROM w LEFT JOIN q USING (domain)), u AS (SELECT *, least(CAST(floor(2000.0 * 0.8 * weight) AS BIGINT), cap) AS m FROM t), v AS (SELECT *, least(CAST(floor(2000.0 * 0.2 * anneal) AS BIGINT), cap - m) AS a FROM u),
+_MIX = f"""f AS (SELECT floor(total_tokens / 1024) AS n, coalesce(anneal_frac, 0) AS a FROM mix_15b_stage1), e AS (SELECT unnest(map_entries(domains)) AS e FROM mix_15b_stage1), w AS (SELECT e.key AS domain, coalesce(e.value.weight, 0) AS weight, coalesce(e.value.epochs, 1) AS epochs, coalesce(e.value.anneal, e.value.weight, 0) AS anneal FROM e), q AS ({_POOL}),
+    t AS (SELECT domain, pool, coalesce(pool, 0) * epochs AS cap, weight, anneal FROM w LEFT JOIN q USING (domain)), u AS (SELECT t.*, least(CAST(floor(f.n * (1 - f.a) * weight) AS BIGINT), cap) AS m FROM t, f), v AS (SELECT u.*, least(CAST(floor(f.n * f.a * anneal) AS BIGINT), cap - m) AS a FROM u, f),
     plan AS (SELECT 'main' AS phase, domain, pool, CAST(0 AS BIGINT) AS first, m AS n FROM v UNION ALL SELECT 'anneal', domain, pool, m, a FROM v)"""
 
 
 def _plan(spark, d):
     pools = load(spark, d, "l2_dataset").where("domain is not null").groupBy(F.lower(F.trim("domain")).alias("domain")).agg(F.count_distinct(F.concat_ws("#", "doc_id", "chunk_idx")).alias("pool"))
-    return M.plan(load(spark, d, "mix_15b_stage1"), pools, 2000, 0.2)
+    mix = load(spark, d, "mix_15b_stage1")
+    whole = mix.first()
+    return M.plan(mix, pools, int(whole["total_tokens"] // 1024), M.reconciled([whole["anneal_frac"]]))
 
 
 @query(f"WITH {_MIX} SELECT phase, domain, pool, first, n FROM plan")
@@ -232,14 +234,25 @@ def sft_packing(spark, d):
     return M.sft_pack(t, "doc_id", "tokens", 1024)
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT source, avg({_N}) AS mean, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source), t AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) AS r FROM s),
+    v AS (SELECT *, CASE WHEN r = 1 THEN 2.0 ELSE 1.0 END::DOUBLE / mean AS per FROM t WHERE r <= 3) SELECT source, CAST(floor(min(n / per) OVER () * per) AS INT) AS n FROM v"""
+)
 def composition_solve(spark, d):
-    """Rows per source such that three sources' tokens stand 2 : 1 : 1."""
-    rows = load(spark, d, "documents").where("source in ('web_torlo', 'wiki_mifa', 'math_savel')").groupBy("source").agg(F.avg(F.size(T.word_tokens("text"))).alias("mean"), F.count("*").alias("n")).collect()
-    got = M.composition({r["source"]: r["mean"] for r in rows}, {r["source"]: r["n"] for r in rows}, {r["source"]: 2.0 if r["source"] == "web_torlo" else 1.0 for r in rows})
+    """Rows per source such that the tokens of the three largest sources stand 2 : 1 : 1."""
+    s = load(spark, d, "documents").where("source is not null").groupBy("source").agg(F.avg(F.size(T.word_tokens("text"))).alias("mean"), F.count("*").alias("n"))
+    top = s.orderBy(F.desc("n"), "source").limit(3).collect()
+    got = M.composition({r["source"]: r["mean"] for r in top}, {r["source"]: r["n"] for r in top}, {r["source"]: 1.0 if k else 2.0 for k, r in enumerate(top)})
     return spark.createDataFrame(sorted(got.items()) or [], "source string, n int")
 
 
+@query("SELECT round(coalesce(anneal_frac, 0), 9) AS anneal_frac FROM mix_15b_stage1")
+def mix_anneal(spark, d):
+    """M7: the anneal fraction that the mix file and the run's own setting (none here) agree on."""
+    agreed = M.reconciled([load(spark, d, "mix_15b_stage1").first()["anneal_frac"], None])
+    return spark.createDataFrame([(agreed,)], "anneal_frac double")
+
+
 @query(f"""WITH c AS (SELECT source AS domain, CAST(sum(n_chars) AS BIGINT) AS tokens FROM documents GROUP BY source), s AS (SELECT domain, CAST(tokens - (CASE WHEN domain LIKE 'web%' THEN 1 ELSE 0 END) AS BIGINT) AS tokens FROM c WHERE domain NOT LIKE 'chat%')
     SELECT coalesce(c.domain, s.domain) AS domain, CASE WHEN c.tokens IS NULL THEN 'missing' WHEN s.tokens IS NULL THEN 'unstamped' WHEN c.tokens = s.tokens THEN 'same' WHEN c.tokens > s.tokens THEN 'grown' ELSE 'shrunk' END AS state FROM c FULL JOIN s ON c.domain = s.domain""")
 def recount_states(spark, d):
@@ -340,12 +353,17 @@ def packed_prompt_holdout(spark, d):
     return t.join(keys, "h", "left").agg(F.count("*").alias("prompts"), F.count("hit").alias("held_out"))
 
 
-@query("SELECT count(*) AS ids, 0 AS torn FROM documents")
+@query("SELECT domain, count(*) - CAST(sum(CASE WHEN last THEN 1 ELSE 0 END) AS BIGINT) AS ids, CAST(sum(CASE WHEN last THEN 1 ELSE 0 END) AS BIGINT) AS torn FROM (SELECT domain, doc_id = max(doc_id) OVER (PARTITION BY domain) AS last FROM documents) GROUP BY domain")
 def lenient_read(spark, d):
-    """SRC6, SRC7: documents written as JSON lines, read by id; no tail is torn."""
+    """SRC6, SRC7: one file of JSON lines per domain, the last line of each torn in its middle, read by id."""
     path = streams.out_folder(spark, "lenient")
-    sinks.jsonl_shards(load(spark, d, "documents").select("doc_id", "text"), path, 5000)
-    return readers.torn_tail(spark, path, "doc_id").agg(F.count("id").alias("ids"), F.count_if("torn").cast("int").alias("torn"))
+    t = load(spark, d, "documents").select("doc_id", "text", F.coalesce("domain", F.lit("")).alias("domain"))
+    line = F.to_json(F.struct("doc_id", "text"))
+    last = t.groupBy("domain").agg(F.max("doc_id").alias("last"))
+    lines = t.join(F.broadcast(last), "domain").select("domain", "doc_id", F.when(F.col("doc_id") == F.col("last"), F.expr("substr(to_json(struct(doc_id, text)), 1, length(to_json(struct(doc_id, text))) div 2)")).otherwise(line).alias("value"))
+    lines.repartition("domain").sortWithinPartitions("domain", "doc_id").select("domain", "value").write.partitionBy("domain").text(path)
+    got = readers.torn_tail(spark, path, "doc_id").withColumn("domain", F.url_decode(F.regexp_extract("file", "domain=([^/]*)/", 1)))
+    return got.groupBy("domain").agg(F.count("id").alias("ids"), F.count_if("torn").alias("torn"))
 
 
 @query("SELECT domain, count(*) AS n FROM documents WHERE domain IN ('wiki', 'math', 'news') GROUP BY domain")

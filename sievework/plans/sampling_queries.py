@@ -66,12 +66,14 @@ def global_reservoir(spark, d):
     return Q.global_sample(load(spark, d, "documents"), "doc_id", 350, "g").select("doc_id", F.md5(F.substring("text", 1, 300)).alias("head"))
 
 
-@query()
+@query("""WITH c AS (SELECT language, length_band, count(DISTINCT sample_id) AS n FROM chunk_pool GROUP BY ALL), b AS (SELECT *, least(3, n) AS base, n - least(3, n) AS space FROM c),
+    s AS (SELECT *, sum(space) OVER () AS total, greatest(0, least(500 - sum(base) OVER (), sum(space) OVER ())) AS left_ FROM b),
+    q AS (SELECT *, CASE WHEN total > 0 THEN CAST(left_ * space // total AS BIGINT) ELSE 0 END AS q FROM s), r AS (SELECT *, left_ * space - q * total AS rest FROM q)
+    SELECT language, length_band, n, CAST(base + q + CASE WHEN row_number() OVER (ORDER BY rest DESC, n DESC, language NULLS FIRST, length_band NULLS FIRST) <= left_ - sum(q) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r""")
 def quota_allocation(spark, d):
-    """Q7, Q9: chunks per language and length band for a pool of 500; the strata are counted, not the rows collected."""
-    counts = load(spark, d, "chunk_pool").groupBy("language", "length_band").agg(F.count_distinct("sample_id").alias("n")).collect()
-    got = Q.allocate({(r["language"], r["length_band"]): r["n"] for r in sorted(counts, key=str)}, 500, 3)
-    return spark.createDataFrame([(str(k[0]), str(k[1]), v) for k, v in got.items()], "language string, length_band string, quota int")
+    """Q7, Q9: chunks per language and length band for a pool of 500."""
+    counts = load(spark, d, "chunk_pool").groupBy("language", "length_band").agg(F.count_distinct("sample_id").alias("n"))
+    return Q.allocate(counts, "n", 500, 3)
 
 
 @query("""WITH v AS (SELECT language, ppl, row_number() OVER (PARTITION BY language ORDER BY ppl) AS r, count(*) OVER (PARTITION BY language) AS n FROM chunk_pool WHERE ppl IS NOT NULL),

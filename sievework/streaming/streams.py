@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,45 +46,50 @@ def windowed_counts(stream: DataFrame, ts: str, key: str, width: str = "1 hour",
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-class Divergence:
-    """The detector of operators.ledger.divergence as a fold: feed steps in order, once diverged always diverged."""
-
-    def __init__(self, g_thresh=10.0, g_consec=3, window=50, loss_thresh=3.0, state=None):
-        self.g_thresh, self.g_consec, self.window, self.loss_thresh = g_thresh, g_consec, window, loss_thresh
-        self.last, self.run, self.losses, self.found = state or (-1, 0, [], None)
-
-    def feed(self, step: int, loss: float, gnorm: float) -> str | None:
-        """The reason at this step, if it is the first; echoes of earlier steps are ignored."""
-        if self.found or step <= self.last:
-            return None
-        self.last = step
-        if not (math.isfinite(loss) and math.isfinite(gnorm)):
-            self.found = "nonfinite"
-            return self.found
-        self.run = self.run + 1 if gnorm > self.g_thresh else 0
-        self.losses = [*self.losses, loss][-self.window :]
-        if self.run >= self.g_consec:
-            self.found = "gnorm"
-        elif len(self.losses) == self.window and sum(self.losses) / self.window > self.loss_thresh:
-            self.found = "loss"
-        return self.found
+#: What is remembered of a run: its last step, how many steps up to it were high in a row, its latest losses, and whether it has diverged.
+FRESH = (-1, 0, (), False)
+
+
+def first_divergence(held: tuple, steps: np.ndarray, losses: np.ndarray, norms: np.ndarray, high: float = 10.0, in_a_row: int = 3, window: int = 50, mean_above: float = 3.0) -> tuple[tuple, tuple[int, str] | None]:
+    """What to remember after some more readings of a run, and (step, reason) if they hold its first divergence.
+
+    Same rule as operators.ledger.divergence: a reading that is not finite, in_a_row norms above high, or a mean above
+    mean_above over a full window of losses. Steps not beyond the last one are echoes; of a step read twice the first
+    reading counts. All readings of a batch are judged at once.
+    """
+    last, streak, tail, over = held
+    order = np.argsort(steps, kind="stable")
+    order = order[np.append(True, np.diff(steps[order]) > 0) & (steps[order] > last)] if len(order) else order
+    if over or not len(order):
+        return held, None
+    steps, losses, norms = steps[order], losses[order].astype(float), norms[order].astype(float)
+    at = np.arange(len(steps))
+    above = norms > high
+    calm = np.maximum.accumulate(np.where(above, -1, at))  # the latest step that was not high
+    streaks = np.where(calm < 0, at + 1 + streak, at - calm)
+    known = np.append(tail, losses)
+    total = np.cumsum(np.append(0.0, np.where(np.isfinite(known), known, 0.0)))
+    end = len(tail) + at + 1
+    full = end >= window
+    mean = np.where(full, (total[end] - total[np.maximum(end - window, 0)]) / window, -np.inf)
+    why = np.select([~(np.isfinite(losses) & np.isfinite(norms)), streaks >= in_a_row, mean > mean_above], [1, 2, 3], 0)
+    hits = np.flatnonzero(why)
+    keep = (int(steps[-1]), int(streaks[-1] if above[-1] else 0), tuple(known[-window:].tolist()), bool(len(hits)))
+    return keep, (int(steps[hits[0]]), ("nonfinite", "gnorm", "loss")[why[hits[0]] - 1]) if len(hits) else None
 
 
 def divergence_stream(stream: DataFrame, key: str, step: str, loss: str, gnorm: str, **limits) -> DataFrame:
-    """key, step, reason of the first trigger of every run (ST3), with the detector's state kept per run."""
-
-    def fold(name, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        d = Divergence(**limits, state=(held[0], held[1], list(held[2]), held[3]) if held else None)
-        rows = []
-        for part in sorted((r for b in batches for r in b[[step, loss, gnorm]].itertuples(index=False)), key=lambda r: r[0]):
-            if reason := d.feed(int(part[0]), float(part[1]), float(part[2])):
-                rows.append((name[0], int(part[0]), reason))
-        state.update((d.last, d.run, d.losses, d.found))
-        yield pd.DataFrame(rows, columns=[key, "step", "reason"])
+    """key, step, reason of the first trigger of every run (ST3), with what is remembered of each run as its state."""
+
+    def judge(name, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([b[[step, loss, gnorm]] for b in batches], ignore_index=True).dropna(subset=[step])
+        held = tuple(state.get) if state.exists else FRESH
+        held, hit = first_divergence(held, *(rows[c].to_numpy() for c in (step, loss, gnorm)), **limits)
+        state.update(held)
+        yield pd.DataFrame([(name[0], *hit)] if hit else [], columns=[key, "step", "reason"])
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, step long, reason string", "last long, run int, losses array<double>, found string", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(judge, f"{key} {kind}, step long, reason string", "last long, streak int, tail array<double>, over boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def out_folder(spark: SparkSession, name: str) -> str:
