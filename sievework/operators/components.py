@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
 
     Each round hangs every node's larger neighbours on its least neighbour, then its smaller ones; the number of
     rounds grows with the logarithm of a component's size. Every round is written to the shared folder, so neither
-    the plan grows nor is a round lost with an executor. Minima are combined map-side and joined back, so a node with
+    the plan grows nor is a round lost with an executor; the round before is removed then. Minima are combined map-side and joined back, so a node with
     very many neighbours is no single task's group. Null ends and self-loops link nothing.
     """
     a, b = F.col(u), F.col(v)
@@ -25,8 +25,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        now = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(now, "edges")
+        next_ = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        done, now = now, None
+        now = materialize(next_, "edges")
+        discard(done)
         after = _mark(now)
         if after == before:
             stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

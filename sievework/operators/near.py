@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..session import materialize
 from . import similar
 from .components import connected_components
-from .ordered import stars
+from .ordered import ranked, stars
 
 #: Words per shingle and similarity unless a caller says otherwise.
 WORDS, SIMILAR = 5, 0.8
@@ -171,12 +171,11 @@ def gram_budget(df: DataFrame, key: str, text: str, n: int = 8, most: int = 3) -
     """Rows none of whose n-word runs occurs in more than `most` earlier rows by key (ND14, decided at once over all rows).
 
     The reference counts only rows that it kept; here all earlier rows count, so the outcome needs no order of
-    processing.
+    processing. Rows of a hot run are numbered by many tasks.
     """
     g = df.select(key, F.explode(F.transform(T.word_grams(T.spaced_words(text), n), lambda x: F.xxhash64(x))).alias("g"))
     few = g.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > most).select("g")
-    hot = g.join(few, "g")
-    late = hot.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(key))).where(F.col("r") > most).select(key).distinct()
+    late = ranked(g.join(few, "g"), ["g"], [F.col(key)]).where(F.col("rank") > most).select(key).distinct()
     return df.join(late, key, "left_anti")
 
 

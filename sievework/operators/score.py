@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 from .ordered import ranked
 
 BOS, EOS = "<s>", "</s>"
@@ -134,19 +135,25 @@ class KneserNey:
         self.two, self.t2 = two.select("ctx", "word", F.col("n").alias("c2")), totals(two, "b")
         self.three, self.t3 = three.select("ctx", "word", F.col("n").alias("c3")), totals(three, "t")
 
-    def perplexity(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """key, n_tokens, perplexity of every text with a token."""
-        uses = _trigrams(df, text, key)
-        j = (
-            uses.join(self.left.withColumnRenamed("word", "w"), "w", "left")
-            .join(self.two.withColumnsRenamed({"ctx": "v", "word": "w"}), ["v", "w"], "left").join(self.t2.withColumnRenamed("ctx", "v"), "v", "left")
-            .join(self.three.withColumnsRenamed({"ctx": "uv", "word": "w"}), ["uv", "w"], "left").join(self.t3.withColumnRenamed("ctx", "uv"), "uv", "left")
-        )
+    def scored(self, grams: DataFrame) -> DataFrame:
+        """grams (uv, v, w, each once) with p, the model's probability of w after uv.
+
+        Probabilities are worked out from the short contexts to the long: one row per word, then per bigram of the
+        model, then per trigram asked for. So the rows that meet on a frequent word are distinct bigrams, not texts.
+        """
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
         step = lambda c, kinds, total, lower: F.when(F.col(total).isNull(), lower).otherwise((F.greatest(F.lit(0.0), zero(c) - self.d) + self.d * F.col(kinds) * lower) / F.col(total))
         p1 = F.when(F.col("left").isNull(), F.lit(1.0 / (self.types + 1))).otherwise(F.col("left") / self.types)
-        p = step("c3", "ttypes", "ttotal", step("c2", "btypes", "btotal", p1))
-        g = j.groupBy(key).agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.log(F.greatest(p, F.lit(1e-12)))).alias("lp"))
+        two = grams.select("v", "w").distinct().join(self.left.withColumnRenamed("word", "w"), "w", "left").join(self.two.withColumnsRenamed({"ctx": "v", "word": "w"}), ["v", "w"], "left").join(self.t2.withColumnRenamed("ctx", "v"), "v", "left")
+        two = two.select("v", "w", step("c2", "btypes", "btotal", p1).alias("p2"))
+        three = grams.join(two, ["v", "w"]).join(self.three.withColumnsRenamed({"ctx": "uv", "word": "w"}), ["uv", "w"], "left").join(self.t3.withColumnRenamed("ctx", "uv"), "uv", "left")
+        return three.select("uv", "w", step("c3", "ttypes", "ttotal", F.col("p2")).alias("p"))
+
+    def perplexity(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """key, n_tokens, perplexity of every text with a token. Each distinct trigram of the texts is scored once."""
+        uses = materialize(_trigrams(df, text, key), "uses")
+        p = self.scored(uses.select("uv", "v", "w").distinct())
+        g = uses.join(p, ["uv", "w"]).groupBy(key).agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.log(F.greatest("p", F.lit(1e-12)))).alias("lp"))
         return g.select(key, "n_tokens", F.exp(-F.col("lp") / F.col("n_tokens")).alias("perplexity"))
 
 
@@ -167,13 +174,14 @@ def bits_per_char(train: DataFrame, test: DataFrame, text: str, lam: tuple[float
 
 def min_max(df: DataFrame, metrics: dict[str, bool]) -> DataFrame:
     """Each metric scaled to 0..1 over all rows (true: higher is better), and their mean as score (C17)."""
-    w = Window.partitionBy()
-    out = df
+    bounds = df.agg(*(f(m).alias(f"_{k}_{m}") for m in metrics for k, f in (("lo", F.min), ("hi", F.max))))
+    out = df.join(bounds)  # one row
     for m, up in metrics.items():
-        lo, hi = F.min(m).over(w), F.max(m).over(w)
-        x = F.when(hi == lo, 1.0).otherwise((F.col(m) - lo) / (hi - lo))
-        out = out.withColumn(f"{m}_scaled", x if up else F.when(hi == lo, 1.0).otherwise(1 - x))
-    return out.withColumn("score", sum((F.col(f"{m}_scaled") for m in list(metrics)[1:]), F.col(f"{list(metrics)[0]}_scaled")) / len(metrics))
+        lo, hi = F.col(f"_lo_{m}"), F.col(f"_hi_{m}")
+        x = (F.col(m) - lo) / (hi - lo)
+        out = out.withColumn(f"{m}_scaled", F.when(hi == lo, 1.0).otherwise(x if up else 1 - x))
+    score = sum((F.col(f"{m}_scaled") for m in list(metrics)[1:]), F.col(f"{list(metrics)[0]}_scaled")) / len(metrics)
+    return out.withColumn("score", score).drop(*bounds.columns)
 
 
 def embedding_head(df: DataFrame, vector: str, label: Column, seed: int = 7):

@@ -173,29 +173,50 @@ def degenerate(text: str, window: int = 300, gram: int = 8, times: int = 3) -> C
     return T.let(grams, lambda g: F.exists(F.array_distinct(g), lambda x: F.size(F.filter(g, lambda y: y == x)) >= times))
 
 
-def repeats(ids: Sequence, most_period: int = 64, least_times: int = 3, least_span: int = 24) -> tuple[int, int, int]:
-    """(longest repeated run, items covered by runs of 8 that occur earlier, period of a looping tail or 0)."""
+def repeats(ids: Sequence, gram: int = 8, most_period: int = 64, least_times: int = 3, least_span: int = 24) -> tuple[int, int, int]:
+    """(length of the longest run that occurs twice, items inside a run of `gram` that does, period of a looping tail or 0).
+
+    Occurrences may overlap. Runs of a length are told apart by their number, found by doubling: a run is the pair of
+    its two overlapping halves. So the work is a few sorts per doubling, not the square of the length.
+    """
     n = len(ids)
-    longest, covered = 0, [False] * n
-    prev = np.zeros(n + 1, dtype=np.int32)
-    a = np.unique(np.asarray(ids, dtype=object).astype(str), return_inverse=True)[1] if n else np.array([], dtype=int)
-    for i in range(1, n + 1):
-        now = np.zeros(n + 1, dtype=np.int32)
-        same = a[: i - 1] == a[i - 1]
-        now[1:i] = np.where(same, prev[: i - 1] + 1, 0)
-        top = int(now.max()) if n else 0
-        longest = max(longest, top)
-        if top >= 8:
-            for k in range(i - top, i):
-                covered[k] = True
-        prev = now
+    if not n:
+        return 0, 0, 0
+    ranks = [np.unique(np.asarray([str(x) for x in ids]), return_inverse=True)[1].astype(np.int64)]  # of runs of 1, 2, 4, ...
+
+    def numbered(size: int) -> np.ndarray:
+        """The number of every run of `size` items."""
+        k = size.bit_length() - 1
+        if size == 1 << k:
+            while len(ranks) <= k:
+                half, at = ranks[-1], 1 << (len(ranks) - 1)
+                ranks.append(np.unique(half[:-at] * n + half[at:], return_inverse=True)[1])
+            return ranks[k]
+        half = numbered(1 << k)
+        return np.unique(half[: n - size + 1] * n + half[size - (1 << k) : n - (1 << k) + 1], return_inverse=True)[1]
+
+    twice = lambda size: size < n and int(np.bincount(numbered(size)).max()) > 1
+    longest, step = 0, 1
+    while twice(longest + step):
+        longest, step = longest + step, step * 2
+    while step:
+        if twice(longest + step):
+            longest += step
+        step //= 2
+    inside = np.zeros(n + 1, dtype=np.int64)
+    if longest >= gram:
+        number = numbered(gram)
+        at = np.flatnonzero(np.bincount(number)[number] > 1)
+        np.add.at(inside, at, 1)
+        np.add.at(inside, at + gram, -1)
+    covered = int((np.cumsum(inside[:-1]) > 0).sum())
+    a = ranks[0]
     for p in range(1, min(most_period, n // least_times) + 1):
-        k = 0
-        while k + p < n and a[n - 1 - k] == a[n - 1 - k - p]:
-            k += 1
-        if k + p >= max(least_span, least_times * p):
-            return longest, sum(covered), p
-    return longest, sum(covered), 0
+        other = np.flatnonzero(a[p:] != a[:-p])
+        times = (n - (int(other[-1]) + 1 if len(other) else 0)) // p
+        if times >= least_times and p * times >= least_span:
+            return longest, covered, p
+    return longest, covered, 0
 
 
 def zipf(counts: DataFrame, n: str = "n") -> DataFrame:

@@ -374,8 +374,13 @@ def asserted_union(spark, d):
     return sinks.union_all(parts, docs.where("domain in ('wiki', 'math', 'news')").count()).groupBy("domain").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, array_to_string(list(length(text) ORDER BY chunk_idx), ',') AS ids FROM (SELECT DISTINCT doc_id, chunk_idx, text FROM l2_dataset WHERE text IS NOT NULL) GROUP BY doc_id")
+@query(
+    f"""WITH r AS (SELECT DISTINCT lower(trim(domain)) AS domain, doc_id, chunk_idx, text FROM l2_dataset WHERE text IS NOT NULL AND domain IS NOT NULL), t AS (SELECT domain, doc_id, chunk_idx, list_transform(regexp_extract_all(text, {lit(T.WORD)}), lambda x: length(x)) AS ids FROM r),
+    p AS (SELECT domain, ids, coalesce(sum(len(ids)) OVER (PARTITION BY domain ORDER BY doc_id, chunk_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM t), x AS (SELECT domain, unnest(ids) AS id, o + unnest(range(len(ids))) AS place FROM p)
+    SELECT domain, CAST(place // 256 AS BIGINT) AS row, count(*) AS n, md5(array_to_string(list(id ORDER BY place), ',')) AS ids FROM x GROUP BY domain, place // 256"""
+)
 def packed_arrays(spark, d):
-    """SNK9, D13: one row per document with its chunks' lengths in order, as a packed row holds token ids."""
-    t = load(spark, d, "l2_dataset").where("text is not null").select("doc_id", "chunk_idx", "text").distinct().select("doc_id", "chunk_idx", F.array(F.length("text")).alias("ids"))
-    return sinks.packed(t, "doc_id", [F.col("chunk_idx")], "ids").select("doc_id", F.array_join("ids", ",").alias("ids"))
+    """SNK9, D13: each domain's records end to end in rows of 256; word lengths stand for token ids."""
+    t = load(spark, d, "l2_dataset").where("text is not null and domain is not null").select(F.lower(F.trim("domain")).alias("domain"), "doc_id", "chunk_idx", "text").distinct()
+    t = t.select("domain", "doc_id", "chunk_idx", F.transform(T.word_tokens("text"), lambda x: F.length(x)).alias("ids"))
+    return sinks.packed(t, ["domain"], [F.col("doc_id"), F.col("chunk_idx")], "ids", 256).select("domain", "row", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids"))

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,12 +67,54 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
-    The table outlives the loss of any executor.
+    The table outlives the loss of any executor. It stays until discard(), until the end of the temporary() it was
+    written in, or until the driver's process ends.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table behind a result of materialize(). Only for one whose successor is written."""
+    if path := getattr(df, "written_to", None):
+        for scope in _scopes:
+            scope[:] = [x for x in scope if x[1] != path]
+        _remove(df.sparkSession, path)
+
+
+#: The tables written in each open temporary(), the innermost last.
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are removed at the end, but for those given to the function that it yields.
+
+    What is handed out must rest on kept tables only.
+    """
+    own: list[tuple[SparkSession, str]] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = df.written_to
+        for entry in [x for x in own if x[1] == path]:
+            own.remove(entry)
+            if len(_scopes) > 1:
+                _scopes[-2].append(entry)
+        return df
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(own)
+        for spark, path in own:
+            _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

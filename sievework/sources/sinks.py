@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ledger import violations
+from ..operators.ordered import ranked
 
 
 def jsonl_shards(df: DataFrame, path: str, rows: int = 50_000) -> None:
@@ -41,9 +43,19 @@ def union_all(parts: list[DataFrame], expect: int | None = None) -> DataFrame:
     return out
 
 
-def packed(df: DataFrame, group: str, order: list[Column], ids: str) -> DataFrame:
-    """One row per group with its token ids in order (SNK9, D13); a group is one packed row, so it is bounded."""
-    return df.groupBy(group).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(ids).alias("_ids")))), lambda x: x["_ids"])).alias("ids"))
+def packed(df: DataFrame, group: Sequence[str], order: Sequence[Column], ids: str, width: int) -> DataFrame:
+    """group, row, ids: the token ids of each group, in order and end to end, as rows of `width`, the last one shorter (SNK9, D13).
+
+    Places come from ordered.ranked, and a row is gathered from the pieces that fall into it, so no task holds a group.
+    Null and empty ids fill nothing.
+    """
+    t = ranked(df.where(F.size(ids) > 0).withColumn("_n", F.size(ids)), group, order, "_n")
+    row = F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("before") + F.col("_n") - 1) / width)))
+    t = t.select(*group, ids, "before", "_n", row.alias("row"))
+    first = F.greatest(F.col("before"), F.col("row") * width)
+    last = F.least(F.col("before") + F.col("_n"), (F.col("row") + 1) * width)
+    piece = F.struct(first.alias("at"), F.slice(F.col(ids), (first - F.col("before") + 1).cast("int"), (last - first).cast("int")).alias("part"))
+    return t.groupBy(*group, "row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["part"])).alias(ids))
 
 
 def directory_fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -297,8 +297,47 @@ def test_recompute(steps, want):
     assert stats.recompute(steps) == want
 
 
+@given(st.text(alphabet="ab", max_size=40), st.integers(2, 5))
+def test_repeats_equal_brute_force(text, gram):
+    n = len(text)
+    runs = lambda k: [text[i : i + k] for i in range(n - k + 1)]
+    longest = max((k for k in range(1, n) if len(set(runs(k))) < n - k + 1), default=0)
+    twice = [i for i, g in enumerate(runs(gram)) if runs(gram).count(g) > 1]
+    tail = next((p for p in range(1, n + 1) for r in [next(r for r in range(n // p, 0, -1) if text.endswith(text[n - p :] * r))] if r >= 3 and p * r >= 6), 0)
+    assert stats.repeats(list(text), gram, least_span=6) == (longest, len({i + k for i in twice for k in range(gram)}), tail)
+
+
+def test_repeats_of_a_long_text():
+    words = [str(x) for x in np.random.default_rng(0).integers(0, 50_000, 200_000)]
+    assert stats.repeats(words + words[:500])[0] >= 500  # in seconds, not hours
+
+
+def test_packed_rows(spark):
+    t = spark.createDataFrame([("g", k, list(range(10 * k, 10 * k + k))) for k in range(30)] + [("h", 0, [7]), ("h", 1, None), ("h", 2, []), (None, 1, [1, 2])], "g string, k int, ids array<int>")
+    got = {(r.g, r.row): r.ids for r in sinks.packed(t, ["g"], [F.col("k")], "ids", 7).collect()}
+    flat = [x for k in range(30) for x in range(10 * k, 10 * k + k)]
+    assert got == {("g", i): flat[7 * i : 7 * i + 7] for i in range(-(-len(flat) // 7))} | {("h", 0): [7], (None, 0): [1, 2]}
+
+
+def test_steps_are_removed(spark):
+    import os
+
+    from sievework.session import discard, materialize, temporary
+
+    there = lambda df: os.path.isdir(df.written_to.removeprefix("file:"))
+    with temporary() as keep:
+        a, b = materialize(spark.range(3)), materialize(spark.range(4))
+        with temporary() as keep_inside:
+            c, d = materialize(spark.range(5)), keep_inside(materialize(spark.range(6)))
+        assert not there(c) and there(d) and there(a)
+        keep(b)
+    assert not there(a) and there(b) and not there(d) and b.count() == 4
+    discard(b)
+    assert not there(b)
+
+
 def test_repeats_and_outputs(spark):
-    assert stats.repeats(list("abcdefghXabcdefgh"))[:2] == (8, 8) and stats.repeats(list("start") + list("xy") * 20)[2] == 2 and stats.repeats([]) == (0, 0, 0)
+    assert stats.repeats(list("abcdefghXabcdefgh"))[:2] == (8, 16) and stats.repeats(list("start") + list("xy") * 20)[2] == 2 and stats.repeats([]) == (0, 0, 0)
     f = lambda a, b, tol=None: one(spark, stats.stdout_equal(F.lit(a), F.lit(b), tol))
     assert f("1 \n2\n\n", "1\n2") and not f("1", "2") and f("0.3333", "0.33334", 1e-3) and not f("a 1", "b 1", 1e-3) and f(None, "")
     assert one(spark, stats.last_number(F.lit("so 1,234.5 apples"))) == 1234.5 and one(spark, stats.last_number(F.lit("none"))) is None
