@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.ordered import stars
-from ..session import materialize
+from ..session import materialize, temporary
 
 WORDS = 3
 SIMILAR = 0.6
@@ -202,13 +202,14 @@ class NearDuplicates:
     def __init__(self, records: DataFrame):
         usable = records.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("chunk_idx", F.lit(-1)).cast("int").alias("chunk_idx"), "text")
         self.signed = materialize(usable.mapInArrow(_sign, "doc_id string, chunk_idx int, rid long, s0 long, s1 long, s2 long, s3 long, bands array<long>"), "signed")
-        bands = self.signed.select("rid", F.explode("bands").alias("key"))
-        tied = stars(bands, "key", "rid").withColumnRenamed("member", "rid")
-        bits = self.signed.groupBy("rid").agg(*(F.first(f"s{j}").alias(f"s{j}") for j in range(4)))
-        left, right = bits, bits.select(F.col("rid").alias("hub"), *(F.col(f"s{j}").alias(f"t{j}") for j in range(4)))
-        differ = sum((F.bit_count(F.col(f"s{j}").bitwiseXOR(F.col(f"t{j}"))) for j in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
-        edges = tied.join(left, "rid").join(right, "hub").where(differ <= DIFFER).select(F.col("hub").alias("u"), F.col("rid").alias("v"))
-        self.pairs = materialize(self._verified(usable, connected_components(edges)), "pairs")
+        with temporary() as keep:
+            bands = self.signed.select("rid", F.explode("bands").alias("key"))
+            tied = stars(bands, "key", "rid").withColumnRenamed("member", "rid")
+            bits = self.signed.groupBy("rid").agg(*(F.first(f"s{j}").alias(f"s{j}") for j in range(4)))
+            left, right = bits, bits.select(F.col("rid").alias("hub"), *(F.col(f"s{j}").alias(f"t{j}") for j in range(4)))
+            differ = sum((F.bit_count(F.col(f"s{j}").bitwiseXOR(F.col(f"t{j}"))) for j in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
+            edges = tied.join(left, "rid").join(right, "hub").where(differ <= DIFFER).select(F.col("hub").alias("u"), F.col("rid").alias("v"))
+            self.pairs = keep(materialize(self._verified(usable, connected_components(edges)), "pairs"))
 
     def _verified(self, usable: DataFrame, groups: DataFrame) -> DataFrame:
         """a, b, similarity of the similar classes (a < b)."""
@@ -228,25 +229,39 @@ class NearDuplicates:
         few = docs.join(sized.where(f"n > 1 and n <= {COPIES}").select("rid"), "rid").groupBy("rid").agg(F.sort_array(F.collect_list("doc_id")).alias("members"))
         return sized.join(few, "rid", "left").select("rid", "n", "first", F.coalesce("members", F.array("first")).alias("members"))
 
+    def _listed(self, classes: DataFrame) -> DataFrame:
+        """x, y (in some order) of every two documents of one class or of similar classes, as far as `members` lists them."""
+        within = classes.where("size(members) > 1").select(F.explode("members").alias("x"), "members").select("x", F.explode("members").alias("y"))
+        a = classes.select(F.col("rid").alias("a"), F.col("members").alias("x"))
+        b = classes.select(F.col("rid").alias("b"), F.col("members").alias("y"))
+        across = self.pairs.select("a", "b").join(a, "a").join(b, "b").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+        return within.unionByName(across).where("x <> y")
+
     def document_pairs(self) -> DataFrame:
         """doc_id_a, doc_id_b (the smaller first) of every two documents with similar records."""
         classes = self.classes()
-        within = classes.where("n > 1 and size(members) > 1").select(F.explode("members").alias("x"), "members").select("x", F.explode("members").alias("y"))
         docs = self.signed.select("rid", "doc_id").distinct()
-        large = docs.join(classes.where(f"n > {COPIES}").select("rid", "first"), "rid").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-        a = classes.select(F.col("rid").alias("a"), F.col("members").alias("x"))
-        b = classes.select(F.col("rid").alias("b"), F.col("members").alias("y"))
-        across = self.pairs.select("a", "b").join(a, "a").join(b, "b").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
-        both = within.unionByName(large).unionByName(across).where("x <> y")
+        large = docs.join(classes.where(f"n > {COPIES}").select("rid", "first"), "rid").select(F.col("first").alias("x"), F.col("doc_id").alias("y")).where("x <> y")
+        both = self._listed(classes).unionByName(large)
         return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
     def groups(self) -> DataFrame:
         """One row per document that has a similar one: doc_id, group_id (its group's first document), n_links.
 
-        n_links counts the pairs of document_pairs() that the document is in.
+        n_links is the number of documents that are similar to it, also where document_pairs() gives a large class's
+        pairs for its first document only: a class of more than COPIES documents counts with all of them, once for each
+        record of the document that is similar to it.
         """
-        pairs = materialize(self.document_pairs(), "documents")
-        names = pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v"))
-        links = names.unionByName(names.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.count("*").alias("n_links"))
-        found = connected_components(names)
-        return found.join(links, F.col("node") == F.col("u")).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), "n_links")
+        classes = materialize(self.classes(), "classes")
+        docs = self.signed.select("rid", "doc_id").distinct()
+        one_way = self._listed(classes.where(f"n <= {COPIES}"))
+        few = one_way.unionByName(one_way.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().groupBy(F.col("x").alias("doc_id")).agg(F.count("*").alias("links"))
+        size = lambda r, n: classes.select(F.col("rid").alias(r), F.col("n").alias(n))
+        met = self.pairs.select("a", "b").join(size("a", "na"), "a").join(size("b", "nb"), "b").where(f"na > {COPIES} or nb > {COPIES}")
+        of_class = (
+            met.select(F.col("a").alias("rid"), F.col("nb").alias("links")).unionByName(met.select(F.col("b").alias("rid"), F.col("na").alias("links")))
+            .unionByName(classes.where(f"n > {COPIES}").select("rid", (F.col("n") - 1).alias("links"))).groupBy("rid").agg(F.sum("links").alias("links"))
+        )
+        links = few.unionByName(docs.join(of_class, "rid").select("doc_id", "links")).groupBy("doc_id").agg(F.sum("links").alias("n_links"))
+        found = connected_components(self.document_pairs(), "doc_id_a", "doc_id_b").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+        return found.join(links, "doc_id").select("doc_id", "group_id", "n_links")

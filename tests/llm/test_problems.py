@@ -80,7 +80,26 @@ def test_p1_hot_copies_stay_linked_without_all_pairs(spark):
     pairs = found.document_pairs().collect()
     assert len(pairs) == 199 and {p.doc_id_a for p in pairs} == {"c0000"}
     groups = found.groups().collect()
-    assert len(groups) == 200 and {g.group_id for g in groups} == {"c0000"}
+    assert len(groups) == 200 and {g.group_id for g in groups} == {"c0000"} and {g.n_links for g in groups} == {199}
+
+
+def test_p1_links_of_large_classes_are_counted_in_full(spark):
+    """Two similar classes of 50 and 3 documents, and a chain of unlike ends behind them."""
+    base = [f"word{i}" for i in range(40)]
+    rows = [(f"a{i:02d}", 0, " ".join(base), "x", "y") for i in range(50)] + [(f"b{i}", 0, " ".join([*base, "more"]), "x", "y") for i in range(3)] + [("lone", 0, "nothing like the others here", "x", "y")]
+    got = {g.doc_id: g.n_links for g in neardup.NearDuplicates(l2(spark, rows)).groups().collect()}
+    assert got == {f"a{i:02d}": 52 for i in range(50)} | {f"b{i}": 52 for i in range(3)}
+
+
+def test_p1_chain_loses_no_pair(spark, monkeypatch):
+    """Sixty texts, each like its next two only: a component far larger than a block."""
+    monkeypatch.setattr(neardup, "GROUP", 8)
+    words = [f"word{i}" for i in range(1000)]
+    rows = [(f"g{i:02d}", 0, " ".join(words[12 * i : 12 * i + 100]), "x", "y") for i in range(60)]
+    found = neardup.NearDuplicates(l2(spark, rows))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and jaccard(a[2], b[2]) >= 0.6}
+    assert len(want) == 117 and {(p.doc_id_a, p.doc_id_b) for p in found.document_pairs().collect()} == want
+    assert len({g.group_id for g in found.groups().collect()}) == 1
 
 
 def test_p1_large_group_is_cut_but_linked(spark, monkeypatch):
@@ -288,6 +307,16 @@ def test_p6_search_equals_brute_force(data):
     assert got == want
 
 
+def test_p6_tables_grow_with_the_items():
+    r = np.random.default_rng(6)
+    text = lambda n: "".join(chr(97 + k) for k in r.integers(0, 26, n))
+    items = [(f"i{k}", text(300)) for k in range(3000)]
+    few, many = leaks.WuManber(items[:10], 50), leaks.WuManber(items, 50)
+    assert many.block > few.block and many.bits > few.bits and (many.shift > 1).mean() > 0.5
+    texts = [text(500) + items[k][1][100:150] + text(400) for k in range(0, 3000, 500)] + [text(3000), items[7][1][:49]]
+    assert many.search(texts) == {(n, k) for n, k in enumerate(range(0, 3000, 500))}
+
+
 def test_p6_long_texts_cross_lanes():
     piece = "qwertyuiopasdfghjklzxcvbnm0123456789qwertyuiopasdfghjkl"
     m = leaks.WuManber([("a", piece)], 50)
