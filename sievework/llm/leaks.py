@@ -10,6 +10,7 @@ the item itself, so a hit is a confirmed run of at least `need` equal characters
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -44,8 +45,8 @@ class WuManber:
     items: (name, folded text). An item shorter than `need` cannot leak.
     """
 
-    def __init__(self, items: Iterable[tuple[str, str]], need: int, block: int = 4):
-        self.need, self.block = need, block
+    def __init__(self, items: Iterable[tuple[str, str]], need: int):
+        self.need = need
         self.size = need - need // 2 + (need % 2 == 0)  # pattern length; with the step below every run holds one
         self.step = need - self.size + 1
         self.items = [(name, text) for name, text in items if len(text) >= need]
@@ -58,8 +59,11 @@ class WuManber:
                 start.append(at)
         self.owner, self.start = np.array(owner, dtype=np.int64), np.array(start, dtype=np.int64)
         self.patterns = np.array(rows, dtype=np.uint32).reshape(-1, self.size)
-        self.bits = 20
-        self.shift = np.full(1 << self.bits, self.size - block + 1, dtype=np.int32)
+        # the more blocks the patterns hold, the longer a block and the larger the table, so that most blocks of text are in no pattern
+        blocks = max(1, len(self.patterns) * self.size)
+        self.block = block = min(self.size, max(4, math.ceil(math.log(2 * blocks, 26))))
+        self.bits = min(26, max(16, math.ceil(math.log2(4 * blocks))))
+        self.shift = np.full(1 << self.bits, self.size - block + 1, dtype=np.int16)
         if len(self.patterns):
             for end in range(block, self.size + 1):
                 h = self._hash(self.patterns[:, end - block : end])
@@ -96,7 +100,7 @@ class WuManber:
         window = np.arange(-self.block, 0)
         while len(at):
             h = hash_of(whole[at[:, None] + window])
-            shift = shift_of[h]
+            shift = shift_of[h].astype(np.int64)
             hit = np.flatnonzero(shift == 0)
             if len(hit):
                 self._confirm(kept, begins, whole, at[hit], doc[hit], h[hit], found)
