@@ -14,13 +14,19 @@ START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"^(User|Assistant|System|Tool|问|答)\s*[:：]\s?", re.M)
 ROLES = {"User": "user", "Assistant": "assistant", "System": "system", "Tool": "tool", "问": "user", "答": "assistant"}
 MESSAGE = StructType([StructField("role", StringType()), StructField("content", StringType())])
-#: What makes a turn unusable (fixed values, reduced).
+#: What makes a turn unusable (fixed values; names of products stand as any word).
 NON_ANSWER = r"^\s*(?:No response requested\.?|\(no response\)|)\s*$"
 UNACTIONABLE = r"^\s*(?:\[Image:[^\]]*\]\s*)+$|^\s*/[a-z][a-z-]{1,20}\s*$"
-ERROR = r"^\s*(?:API [Ee]rror|Request timed out|\[?Request interrupted by user|Prompt is too long)"
-MARKUP = r"(?:^|\n)\s*<(?:invoke|function_calls)\b"
-REFUSED = r"doesn't want to proceed with this tool use|tool use was rejected"
-MACHINE = r"<(?:task-notification|local-command-stdout|bash-stdout|bash-stderr|command-name|system-reminder)>|\[SYSTEM NOTIFICATION"
+ERROR = (
+    r"^\s*(?:API [Ee]rror|Request timed out|\[?Request interrupted by user|Prompt is too long|\w+'s response was cut off"
+    r"|You're out of usage credits|You've (?:hit|reached) your|Please run /|Run /usage-credits|Credit balance)"
+)
+MARKUP = r"(?:^|\n)\s*<(?:\w+:)?(?:invoke|function_calls)\b"
+REFUSED = r"The user doesn't want to proceed with this tool use|tool use was rejected"
+MACHINE = (
+    r"<(?:task-notification|local-command-stdout|local-command-stderr|bash-stdout|bash-stderr|local-command-caveat|command-name|command-message|command-args|system-reminder|cross-session-message|user-prompt-submit-hook)>"
+    r"|Caveat: The messages below|Another \w+ session sent a message|\[SYSTEM NOTIFICATION|\[(?:Your|The|This) [a-z]"
+)
 
 
 def parse(text: str | None) -> list[dict]:
@@ -65,7 +71,8 @@ def unusable(ms: Column) -> Column:
     return (
         F.when(F.size(ms) < 2, "few_turns").when(first["role"] != "user", "opening_role").when(first["content"].rlike(UNACTIONABLE), "unactionable")
         .when(F.forall(ms, lambda m: (m["role"] != "assistant") | m["content"].rlike(NON_ANSWER)), "no_answer").when(some("assistant", ERROR), "error").when(some("assistant", MARKUP), "broken_call")
-        .when(some("tool", REFUSED), "refused").when(F.exists(ms, lambda m: m["content"].rlike(r"<\|im_(?:start|end)\|>")), "marks").when(F.substring(first["content"], 1, 600).rlike(MACHINE), "machine").when(orphan, "orphan_tool")
+        .when(some("tool", REFUSED), "refused").when(F.exists(ms, lambda m: m["content"].rlike(r"<\|im_(?:start|end)\|>")), "marks").when(F.substring(first["content"], 1, 600).rlike(MACHINE), "machine")
+        .when(~F.exists(ms, lambda m: m["role"] == "assistant"), "no_assistant").when(orphan, "orphan_tool")
     )
 
 

@@ -19,15 +19,28 @@ BOILER = (
 )
 #: How a finished text ends (fixed values).
 END_OK = rf"[。！？!?…”」』）)》\]】][{T.SPACE}]*$|[。！？][{T.SPACE}]*[\"'”」]?[{T.SPACE}]*$"
-#: Spam that needs no context (fixed values, the unambiguous ones).
-SPAM = r"彩票|赌场|赌博|博彩|真人娱乐|时时彩|老虎机|六合彩|百家乐|加微信|QQ[:：]?[0-9]{6,}|电话[:：]?1[3-9][0-9]{9}"
-#: Openings of a rewriter that found nothing to solve (fixed values, reduced).
-PLACEHOLDER = (
-    r"(?i)there (?:is|are|was) no (?:specific |particular |actual |real |clear )?(?:math\w* )?(?:problem|question|task|exercise)s? to (?:solve|answer|be solved|be answered)"
-    r"|text (?:does not|doesn't|did not) (?:contain|include|present|state|provide) (?:a |an |any )?(?:specific |particular |clear )?(?:math\w* )?(?:problem|question|task|exercise)"
-    r"|no (?:specific |particular |clear )?math\w* (?:problem|question|task)s? (?:is |was |are )?(?:provided|presented|asked|given|stated)"
-    r"|there (?:is|was) no (?:specific |particular )?(?:question|problem|task) (?:presented|asked|provided|given|stated)"
+#: Spam of the web tier's cleaning (fixed values).
+SPAM = (
+    r"彩票|賭場|赌场|赌博|博彩|真人娱乐|北京赛车|时时彩|老虎机|六合彩|百家乐|开户送|注册送"
+    r"|威廉希尔|德赢vwin|杏彩|凯发k8|明陞|m88asia|BOSS真人|森林舞会游戏|助赢|大智彩票"
+    r"|加微信|QQ[:：]?[0-9]{6,}|微信[:：]?[a-zA-Z0-9_]{5,}|电话[:：]?1[3-9][0-9]{9}"
+    r"|阴道|裸体|情趣用品|一夜情|约炮"
 )
+#: Spam that lowers a quality score (fixed values).
+SPAM_SCORE = (
+    r"彩票|賭場|赌场|赌博|博彩|真人娱乐|北京赛车|时时彩|老虎机|六合彩|百家乐|开户送|注册送"
+    r"|威廉希尔|德赢vwin|杏彩|凯发k8|明陞|m88asia|BOSS真人|森林舞会游戏|助赢|大智彩票|必威"
+    r"|加微信|QQ[:：]?[0-9]{6,}|微信[:：]?[a-zA-Z0-9_]{5,}|电话[:：]?1[3-9][0-9]{9}"
+)
+#: Openings of a rewriter that found nothing to solve (fixed values).
+PLACEHOLDER = "(?i)" + "|".join((
+    r"there (?:is|are|was) no (?:specific |particular |actual |real |clear |single |actual )?(?:math\w*|mathematical)? ?(?:problem|question|task|calculation|exercise)s? to (?:solve|answer|be solved|be answered)",
+    r"(?:the |this |that )?(?:provided|given|source|input|original)? ?text (?:does not|doesn't|did not) (?:contain|include|present|have|state|provide) (?:a |an |any |specific |particular |clear |single |real )?(?:math\w*|mathematical)? ?(?:problem|question|task|calculation|exercise)s?",
+    r"does not contain (?:a |any |specific |particular )?(?:math\w*|mathematical) (?:problem|question|task|exercise)s?(?: to (?:solve|be solved))?",
+    r"no (?:specific |particular |clear |actual )?(?:math\w*|mathematical) (?:problem|question|task|exercise)s? (?:is |was |are |has been )?(?:provided|presented|asked|given|included|stated|specified|offered)",
+    r"there (?:is|was) no (?:specific |particular )?(?:question|problem|task) (?:presented|asked|provided|given|specified|stated)",
+    r"no (?:specific |particular )?(?:math\w*|mathematical)? ?(?:problem|question|task)s? (?:or|/|and) (?:problem|question|task)s? to (?:be )?(?:solve|answer|solved|answered)",
+))
 #: Marks of a generated file and names of generators, markup hints, code marks and cut-off marks (fixed values).
 GENERATED_MARK = r"(?i)auto[- ]?generated|generated\s+by|automatically\s+generated|this\s+(?:file|code)\s+is\s+(?:auto[- ]?)?generated|@generated\b"
 GENERATOR = r"(?i)protoc(?:ol buffer)?|protobuf|django|autorest|swagger|openapi|thrift|grpc|cython|jinja|yacc|lex\b|swig|pb2\b|code generator|generated code|do\s+not\s+(?:edit|modify|delete)"

@@ -7,6 +7,8 @@ estimate's calibration and the earlier-seen test use buckets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import text as T
-from ..session import materialize
+from ..session import discard, materialize
 from . import similar
 from .components import connected_components
 from .ordered import ranked, stars
@@ -130,41 +132,113 @@ def keep_whole(df: DataFrame, key: str, domain: str, whole: str, pairs: DataFram
     return df.join(drop, key, "left_anti")
 
 
-def _cross_share(own: DataFrame, sides: DataFrame) -> DataFrame:
-    """cross_domain: the share of all similar pairs of rows whose domains differ, from the numbers of rows per class and domain."""
-    n = sides.where("d is not null").groupBy("c", "d").agg(F.count("*").cast("double").alias("n"))
-    total = n.groupBy("c").agg(F.sum("n").alias("t"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("s"))
-    within = total.select((F.col("t") * (F.col("t") - 1) / 2).alias("t"), "s")
+def _pair_counts(own: DataFrame, sides: DataFrame) -> DataFrame:
+    """One row: pairs, the number of similar pairs of rows with a domain, and within, those of one domain; from the numbers of rows per class and domain."""
+    n = sides.where("d is not null").groupBy("c", "d").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    total = n.groupBy("c").agg(F.sum("n").alias("t"), F.sum(F.expr("n * (n - 1) / 2").cast("decimal(38,0)")).alias("s"))
+    inside = total.select(F.expr("t * (t - 1) / 2").cast("decimal(38,0)").alias("t"), F.col("s").cast("decimal(38,0)").alias("s"))
     across = own.where("jaccard < 1").select("a", "b")
     x, y = total.select(F.col("c").alias("a"), F.col("t").alias("ta")), total.select(F.col("c").alias("b"), F.col("t").alias("tb"))
-    every = across.join(x, "a").join(y, "b").select((F.col("ta") * F.col("tb")).alias("t"), F.lit(0.0).alias("s"))
+    every = across.join(x, "a").join(y, "b").select(F.expr("ta * tb").cast("decimal(38,0)").alias("t"), F.lit(0).cast("decimal(38,0)").alias("s"))
     x, y = n.select(F.col("c").alias("a"), "d", F.col("n").alias("na")), n.select(F.col("c").alias("b"), "d", F.col("n").alias("nb"))
-    same = across.join(x, "a").join(y, ["b", "d"]).select(F.lit(0.0).alias("t"), (F.col("na") * F.col("nb")).alias("s"))
-    sums = within.unionByName(every).unionByName(same).agg(F.sum("t").alias("t"), F.sum("s").alias("s"))
-    return sums.select(F.when(F.col("t") > 0, F.round(1 - F.col("s") / F.col("t"), 6)).alias("cross_domain"))
+    same = across.join(x, "a").join(y, ["b", "d"]).select(F.lit(0).cast("decimal(38,0)").alias("t"), F.expr("na * nb").cast("decimal(38,0)").alias("s"))
+    return inside.unionByName(every).unionByName(same).agg(F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("within"))
+
 
+def report(pairs: DataFrame, domains: DataFrame, key: str, domain: str, total: int, thresholds=(0.7, 0.8, 0.9), band: tuple[float, float] = (0.7, 0.85)) -> DataFrame:
+    """Per threshold (ND8, ND9, ND13): texts in a group (participation, with its 95 % Wilson interval), texts dropped if
+    each group keeps one, groups, similar pairs of texts, their share across domains, and band_pairs, the pairs whose
+    similarity lies in [band), near the threshold."""
+    from .stats import wilson
 
-def report(pairs: DataFrame, domains: DataFrame, key: str, domain: str, total: int, thresholds=(0.7, 0.8, 0.9)) -> DataFrame:
-    """Per threshold: texts in a group (participation), texts dropped, groups, share across domains (ND9)."""
     out = None
-    spark = pairs.sparkSession
     sides = _sides(domains, key, domain, pairs)
+    close = pairs.where((F.col("jaccard") >= band[0]) & (F.col("jaccard") < min(band[1], 1.0)))
+    # copies are pairs whatever the band, so they are taken off again
+    near = _pair_counts(close, sides).join(_pair_counts(close.where("false"), sides).select(F.col("pairs").alias("copies"))).select((F.col("pairs") - F.col("copies")).alias("band_pairs"))
     for th in thresholds:
         own = pairs.where(F.col("jaccard") >= th)
-        groups = clusters(own)
-        sized = groups.groupBy("component").agg(F.count("*").alias("n"))
+        sized = clusters(own).groupBy("component").agg(F.count("*").alias("n"))
         a = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("participating"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dropped"), F.count("*").alias("groups"))
-        cross = _cross_share(own, sides)
-        row = a.join(cross).select(F.lit(th).alias("threshold"), "participating", "dropped", "groups", F.round(F.col("participating") / total, 6).alias("participation"), "cross_domain")
+        low, high = wilson(F.col("participating"), F.lit(total), 1.96)
+        row = a.join(_pair_counts(own, sides)).select(
+            F.lit(th).alias("threshold"), "participating", "dropped", "groups", F.round(F.col("participating") / max(total, 1), 6).alias("participation"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"),
+            "pairs", F.when(F.col("pairs") > 0, F.round((F.col("pairs") - F.col("within")) / F.col("pairs"), 6)).alias("cross_domain"),
+        )
         out = row if out is None else out.unionByName(row)
-    return out if out is not None else spark.createDataFrame([], "threshold double")
+    return out.join(near)
+
+
+def top_pairs(pairs: DataFrame, n: int = 20) -> DataFrame:
+    """The n most similar pairs of different texts, each by the least key of its copies (ND9): a top-k report."""
+    return pairs.where("jaccard < 1").orderBy(F.desc("jaccard"), "a", "b").limit(n)
+
+
+def whole_check(df: DataFrame, key: str, domain: str, whole: str, pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row on keep_whole (ND12): whole_pairs, the similar pairs inside the whole domain (0 where its own dedup was done), and
+    spared, its rows that are not the least of their group, which an order of keys alone would have dropped."""
+    side = _sides(df, key, domain, pairs).where(F.col("d") == whole)
+    inside = _pair_counts(pairs, side).select(F.col("pairs").alias("whole_pairs"))
+    spared = groups.where("node <> component").join(side.select(F.col("k").alias("node")), "node").agg(F.count("*").alias("spared"))
+    return inside.join(spared)
 
 
 def self_repetition(df: DataFrame, text: str, n: int = 8) -> DataFrame:
-    """One row: n-word runs, distinct ones, and the rate of distinct ones (ND16, R1)."""
-    g = df.select(F.explode(T.let(T.spaced_words(text), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<bigint>")))).alias("g"))
-    per = g.groupBy("g").agg(F.count("*").alias("k"))
-    return per.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("runs"), F.count("*").alias("distinct_runs")).withColumn("rate", F.round(F.col("distinct_runs") / F.greatest("runs", F.lit(1)), 6))
+    """One row: n-word runs, distinct ones, the rate of distinct ones, and the rate of texts whose first 4,096 characters an
+    earlier text has (ND16, R1)."""
+    t = df.select(F.coalesce(text, F.lit("")).alias("t"))
+    g = t.select(F.explode(T.let(T.spaced_words("t"), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<bigint>")))).alias("g"))
+    per = g.groupBy("g").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("runs"), F.count("*").alias("distinct_runs"))
+    heads = t.groupBy(F.sha1(F.substring("t", 1, 4096)).alias("h")).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("texts"), F.count("*").alias("heads"))
+    rate = F.round(F.col("distinct_runs") / F.greatest("runs", F.lit(1)), 6)
+    return per.join(heads).select("runs", "distinct_runs", rate.alias("rate"), F.round((F.col("texts") - F.col("heads")) / F.greatest("texts", F.lit(1)), 6).alias("same_head"))
+
+
+def similarity_bands(sample: DataFrame, key: str, text: str, edges: tuple[float, ...] = (0.3, 0.5, 0.7), block: int = 256) -> DataFrame:
+    """One row: the pairs of a bounded sample of texts, how many have a similarity of their word sets in each band, and the
+    rate of those in all bands but the last (ND16, R2: reskins are alike, but not copies).
+
+    All pairs of a sample are counted, by pairs of blocks, never listed; the sample's size is the caller's bound. Texts
+    without words are left out.
+    """
+    t = sample.select(F.col(key).alias("k"), F.array_distinct(T.spaced_words(F.coalesce(F.col(text), F.lit("")))).alias("w")).where("size(w) > 0")
+    blocks = max(1, -(-t.count() // block))
+    t = t.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    t = t.select("k", "w", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    names = [f"from_{x}".replace(".", "_") for x in edges]
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        number = {w: n for n, w in enumerate(sorted({w for ws in rows["w"] for w in ws}))}
+        has = np.zeros((len(rows), len(number)), dtype=np.float32)
+        for r, ws in enumerate(rows["w"]):
+            has[r, [number[w] for w in ws]] = 1
+        x, y = has[(rows["b"] == i).to_numpy()], has[(rows["b"] == j).to_numpy()]
+        both = (x @ y.T).astype(np.float64)
+        alike = both / (x.sum(axis=1)[:, None] + y.sum(axis=1)[None] - both)
+        alike = alike[np.triu_indices(len(x), 1)] if i == j else alike.ravel()
+        at = np.searchsorted(np.array(edges), alike, side="right")
+        return pd.DataFrame([[alike.size, *((at == k).sum() for k in range(1, len(edges) + 1))]], columns=["pairs", *names])
+
+    per = t.groupBy("i", "j").applyInPandas(count, "pairs long, " + ", ".join(f"{n} long" for n in names))
+    sums = per.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", *names)))
+    return sums.withColumn("reskin_rate", F.round(sum((F.col(n) for n in names[1:-1]), F.col(names[0])) / F.greatest("pairs", F.lit(1)), 6))
+
+
+def cluster_mass(sample: DataFrame, text: str, k: int = 200, top: int = 10, dim: int = 1 << 14, seed: int = 7) -> DataFrame:
+    """One row: texts, the share of the `top` largest of k clusters by k-means over TF-IDF of character 2- and 3-grams, and that of the largest (ND16, R3)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+
+    t = sample.select(F.col(text).alias("t")).where("t is not null and trim(t) <> ''")
+    grams = F.concat(T.char_grams(F.col("t"), 2), T.char_grams(F.col("t"), 3))
+    tf = HashingTF(inputCol="grams", outputCol="tf", numFeatures=dim).transform(t.select(grams.alias("grams")))
+    x = IDF(inputCol="tf", outputCol="idf", minDocFreq=3).fit(tf).transform(tf)
+    x = Normalizer(inputCol="idf", outputCol="features").transform(x).select("features")
+    sizes = KMeans(k=k, seed=seed, maxIter=20).fit(x).transform(x).groupBy("prediction").agg(F.count("*").alias("n"))
+    first = sizes.orderBy(F.desc("n")).limit(top).agg(F.sum("n").alias("first"), F.max("n").alias("largest"))
+    whole = sizes.agg(F.sum("n").alias("texts"))
+    return whole.join(first).select("texts", F.round(F.col("first") / F.col("texts"), 4).alias("top_mass"), F.round(F.col("largest") / F.col("texts"), 4).alias("largest"))
 
 
 def gram_budget(df: DataFrame, key: str, text: str, n: int = 8, most: int = 3) -> DataFrame:
@@ -184,15 +258,34 @@ def recall_bound(jaccard: Column, bands: int, rows: int) -> Column:
     return 1 - F.pow(1 - F.pow(jaccard, F.lit(rows)), F.lit(bands))
 
 
+def signed_chars(df: DataFrame, key: str, text: str, n: int = 5, perms: int = 128) -> DataFrame:
+    """key, sig of the n-character windows of every text that isn't empty, written once."""
+    hashes = F.transform(T.char_grams(T.skeleton(text), n), lambda g: F.xxhash64(g))
+    return materialize(df.select(key, hashes.alias("hashes")).where(F.size("hashes") > 0).select(key, minhash(F.col("hashes"), perms).alias("sig")), "signed")
+
+
 def seen_before(sig: DataFrame, key: str, bands: int, rows: int) -> DataFrame:
-    """key, seen: whether an earlier text by key is in one of its buckets (ND1, in batch).
+    """key, seen: whether a text shares a bucket with an earlier one by key that was itself not seen (ND1).
 
-    The in-stream original asks this of the texts it kept only; here all earlier texts count, so the answer is the
-    same in any order of processing. Buckets are folded to their least key map-side.
+    This is the greedy in-stream rule, in rounds: a text that is the least undecided one of all its buckets is kept, and
+    whoever shares a bucket with it is seen. A round decides at least the least text of every connected piece, so few are
+    needed unless a long chain hangs each text on the one before. Buckets are folded to their least key map-side.
     """
-    b = sig.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))).alias("bucket"))
-    first = b.groupBy("bucket").agg(F.min(key).alias("_first"))
-    return b.join(first, "bucket").groupBy(key).agg(F.max(F.col("_first") < F.col(key)).alias("seen"))
+    bucket = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows))))
+    left = materialize(sig.select(F.col(key).alias("k"), bucket.alias("bucket")).distinct(), "undecided")
+    done = []
+    while not left.isEmpty():
+        least = left.groupBy("bucket").agg(F.min("k").alias("first"))
+        own = left.join(least, "bucket").groupBy("k").agg(F.min(F.col("k") == F.col("first")).alias("kept"))
+        kept = materialize(own.where("kept").select("k"), "kept")
+        near = left.join(left.join(kept, "k", "left_semi").select("bucket").distinct(), "bucket", "left_semi").select("k").distinct()
+        seen = materialize(near.join(kept, "k", "left_anti"), "seen")
+        done += [kept.withColumn("seen", F.lit(False)), seen.withColumn("seen", F.lit(True))]
+        rest = materialize(left.join(kept.unionByName(seen), "k", "left_anti"), "undecided")
+        discard(left)
+        left = rest
+    out = reduce(DataFrame.unionByName, done) if done else left.select("k", F.lit(False).alias("seen"))
+    return out.select(F.col("k").alias(key), "seen")
 
 
 def sampled_rate(df: DataFrame, key: str, groups: DataFrame, sample: DataFrame) -> DataFrame:

@@ -58,7 +58,8 @@ def top_k(df: DataFrame, key: str, k: int) -> DataFrame:
 
 def wilson(hits: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Lower and upper bound of a rate; null for no trials."""
-    p = hits / F.when(n > 0, n)
+    n = F.when(n > 0, n)
+    p = hits / n
     den = 1 + z * z / n
     mid = (p + z * z / (2 * n)) / den
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / den

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import filters as O
+from ..operators import tables
 from ..session import load
 from .registry import lit, query
 
@@ -252,24 +253,37 @@ def format_flags(spark, d):
     )
 
 
+PROBLEMS = tables.weighted(tables.PROBLEM_TYPES)
 #: A small table of topics in this corpus's own words.
 TOPICS = {
     "archive": [(r"\barchive", 3), (r"\brecords?\b", 2), (r"\blibrary\b", 2)],
     "training": [(r"\btraining\b", 3), (r"\bepoch\b", 2), (r"\bloss\b", 3), (r"\bcorpus\b", 2)],
     "town": [(r"\bbakery\b", 2), (r"\bmarket\b", 2), (r"\bcouncil\b", 2), (r"\bstation\b", 1)],
 }
-_SCORES = {k: " + ".join(f"least({_count('t', p)}, 3) * {w}" for p, w in v) for k, v in TOPICS.items()}
 
 
-@query(
-    f"""WITH s AS (SELECT doc_id, {_collapse('lower(text)')} AS t FROM documents),
-        r AS (SELECT doc_id, list_sort([{', '.join(f"{{'s': -({v}), 'i': {i}, 'k': {lit(k)}}}" for i, (k, v) in enumerate(_SCORES.items()))}]) AS o FROM s)
-        SELECT doc_id, CASE WHEN o[1].s < 0 THEN o[1].k ELSE 'unclassified' END AS primary_type, CASE WHEN o[2].s < 0 AND -o[2].s >= 0.6 * -o[1].s THEN o[2].k END AS secondary_type, -o[1].s AS score FROM r"""
-)
+def _types_sql(table: dict, of: str) -> str:
+    scores = {k: " + ".join(f"least({_count('t', p)}, 3) * {w}" for p, w in v) for k, v in table.items()}
+    each = ", ".join(f"{{'s': -({v}), 'i': {i}, 'k': {lit(k)}}}" for i, (k, v) in enumerate(scores.items()))
+    return f"""s AS ({of}), r AS (SELECT id, list_sort([{each}]) AS o FROM s)
+        SELECT id, CASE WHEN o[1].s < 0 THEN o[1].k ELSE 'unclassified' END AS primary_type, CASE WHEN o[2].s < 0 AND -o[2].s >= 0.6 * -o[1].s THEN o[2].k END AS secondary_type, -o[1].s AS score FROM r"""
+
+
+def _types(df, text: str, table: dict):
+    t = df.withColumn("t", O.weighted_types(text, table))
+    return t.select("id", F.col("t.primary").alias("primary_type"), F.col("t.secondary").alias("secondary_type"), F.col("t.score").alias("score"))
+
+
+@query("WITH " + _types_sql(TOPICS, f"SELECT doc_id AS id, {_collapse('lower(text)')} AS t FROM documents"))
 def text_types(spark, d):
     """F22 with a table of topics."""
-    t = load(spark, d, "documents").select("doc_id", O.weighted_types("text", TOPICS).alias("t"))
-    return t.select("doc_id", F.col("t.primary").alias("primary_type"), F.col("t.secondary").alias("secondary_type"), F.col("t.score").alias("score"))
+    return _types(load(spark, d, "documents").withColumnRenamed("doc_id", "id"), "text", TOPICS)
+
+
+@query("WITH " + _types_sql(PROBLEMS, f"SELECT item_id AS id, {_collapse('lower(prompt)')} AS t FROM eval_items"))
+def problem_types(spark, d):
+    """the items' kinds of problem by the whole table."""
+    return _types(load(spark, d, "eval_items").withColumnRenamed("item_id", "id"), "prompt", PROBLEMS)
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import near as N
 from ..operators import score as C
+from ..operators.filters import SPAM_SCORE
 from ..session import load, materialize
 from .dedup_queries import _WORDS
 from .registry import lit, query
@@ -23,27 +24,67 @@ def near_dup_clusters(spark, d):
     return N.clusters(pairs).select(F.col("node").alias("doc_id"), "component")
 
 
-@query()
+_GROUPS = f"""WITH RECURSIVE {_NEAR}, h(t, a, b, j) AS (SELECT t, a, b, j FROM s JOIN (VALUES (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) v(t) ON j >= t), u AS (SELECT t, a, b FROM h UNION SELECT t, b, a FROM h),
+    r(t, n, c) AS (SELECT t, a, a FROM u UNION SELECT u.t, u.b, r.c FROM r JOIN u ON u.t = r.t AND u.a = r.n), k AS (SELECT t, n, min(c) AS c FROM r GROUP BY t, n)"""
+_LARGEST = "w AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
+
+
+def _largest(docs) -> str | None:
+    """The source of the most documents."""
+    first = docs.where("source is not null").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").first()
+    return first["source"] if first else None
+
+
+@query(f"{_GROUPS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT n FROM k WHERE t = 0.8 AND n <> c)")
 def near_dup_survivors(spark, d):
     """ND11: documents left when each group keeps its first."""
     docs = load(spark, d, "documents")
     return N.survivors(docs.select("doc_id", "source"), "doc_id", N.clusters(N.similar_pairs(docs, "doc_id", "text")))
 
 
-@query()
+@query(
+    f"""{_GROUPS}, y AS (SELECT t, count(*) AS participating, count(DISTINCT c) AS groups FROM k GROUP BY t), x AS (SELECT h.t, count(*) AS pairs, count(*) FILTER (p.source <> q.source) AS cr FROM h JOIN documents p ON h.a = p.doc_id JOIN documents q ON h.b = q.doc_id WHERE p.source IS NOT NULL AND q.source IS NOT NULL GROUP BY h.t),
+    m AS (SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM s WHERE j >= 0.7 AND j < 0.85) AS band_pairs), z AS (SELECT *, participating / total AS p FROM y JOIN x USING (t), m)
+    SELECT t AS threshold, participating, participating - groups AS dropped, groups, round(p, 6) AS participation, pairs, round(cr / pairs, 6) AS cross_domain, band_pairs,
+      round((p + 1.96 * 1.96 / (2 * total)) / (1 + 1.96 * 1.96 / total) - 1.96 * sqrt(p * (1 - p) / total + 1.96 * 1.96 / (4 * total * total)) / (1 + 1.96 * 1.96 / total), 6) AS low,
+      round((p + 1.96 * 1.96 / (2 * total)) / (1 + 1.96 * 1.96 / total) + 1.96 * sqrt(p * (1 - p) / total + 1.96 * 1.96 / (4 * total * total)) / (1 + 1.96 * 1.96 / total), 6) AS high FROM z"""
+)
 def near_dup_report(spark, d):
-    """ND8, ND9, ND13: participation and drop at three thresholds, and the share of pairs across sources."""
+    """ND8, ND9, ND13: participation and drop at three thresholds, similar pairs, and their share across sources."""
     docs = load(spark, d, "documents")
     pairs = materialize(N.similar_pairs(docs, "doc_id", "text", threshold=0.7), "pairs")
     return N.report(pairs, docs, "doc_id", "source", docs.count())
 
 
-@query()
+@query(
+    f"""WITH {_NEAR}, c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS f FROM g WHERE len(s) > 0) SELECT a, b, round(j, 6) AS jaccard FROM s WHERE j >= 0.7 AND j < 1 AND a IN (SELECT f FROM c) AND b IN (SELECT f FROM c) ORDER BY j DESC, a, b LIMIT 20"""
+)
+def near_dup_top_pairs(spark, d):
+    """ND9: the twenty most similar pairs of different texts."""
+    pairs = N.similar_pairs(load(spark, d, "documents"), "doc_id", "text", threshold=0.7)
+    return N.top_pairs(pairs).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(
+    f"""WITH {_NEAR}, {_LARGEST}, x AS (SELECT a, b FROM s WHERE j >= 0.8 UNION SELECT b, a FROM s WHERE j >= 0.8)
+    SELECT doc_id, source FROM documents d WHERE d.source IN (SELECT source FROM w) OR NOT EXISTS (SELECT 1 FROM x JOIN documents o ON o.doc_id = x.b JOIN w ON o.source = w.source WHERE x.a = d.doc_id)"""
+)
 def near_dup_keep_whole(spark, d):
-    """ND12: one source kept whole."""
+    """ND12: the largest source kept whole."""
     docs = load(spark, d, "documents")
     pairs = materialize(N.similar_pairs(docs, "doc_id", "text"), "pairs")
-    return N.keep_whole(docs.select("doc_id", "source"), "doc_id", "source", "web_torlo", pairs)
+    return N.keep_whole(docs.select("doc_id", "source"), "doc_id", "source", _largest(docs), pairs)
+
+
+@query(
+    f"""{_GROUPS}, {_LARGEST}, o AS (SELECT doc_id FROM documents JOIN w USING (source)) SELECT (SELECT count(*) FROM s WHERE j >= 0.8 AND a IN (SELECT doc_id FROM o) AND b IN (SELECT doc_id FROM o)) AS whole_pairs,
+    (SELECT count(*) FROM k WHERE t = 0.8 AND n <> c AND n IN (SELECT doc_id FROM o)) AS spared"""
+)
+def near_dup_whole_check(spark, d):
+    """ND12: similar pairs inside the source kept whole, and its rows that only the constraint spares."""
+    docs = load(spark, d, "documents")
+    pairs = materialize(N.similar_pairs(docs, "doc_id", "text"), "pairs")
+    return N.whole_check(docs.select("doc_id", "source"), "doc_id", "source", _largest(docs), pairs, N.clusters(pairs))
 
 
 @query()
@@ -56,8 +97,8 @@ def near_dup_calibration(spark, d):
 
 @query()
 def minhash_seen(spark, d):
-    """ND1: documents that share a bucket with an earlier one, on words of five."""
-    sig = N.signed(load(spark, d, "documents"), "doc_id", "text", 5, 128)
+    """ND1: documents that share a bucket with an earlier one that was kept, on windows of five characters."""
+    sig = N.signed_chars(load(spark, d, "documents"), "doc_id", "text")
     return N.seen_before(sig, "doc_id", 16, 8)
 
 
@@ -73,7 +114,10 @@ def near_rate_sample(spark, d):
     return N.sampled_rate(docs, "doc_id", N.clusters(N.similar_pairs(docs, "doc_id", "text")), global_sample(docs.select("doc_id"), "doc_id", 500, "n"))
 
 
-@query()
+@query(
+    f"""{_GROUPS}, z AS (SELECT c AS component, count(*) AS size, count(DISTINCT source) AS n_domains FROM k JOIN documents ON n = doc_id WHERE t = 0.8 GROUP BY c), b AS (SELECT *, CASE WHEN size = 2 THEN '2' WHEN size <= 5 THEN '3-5' ELSE '6+' END AS band FROM z)
+    SELECT component, size, n_domains, band FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY sha1('r' || component), component) AS r FROM b) WHERE r <= 5"""
+)
 def cluster_sheet(spark, d):
     """ND18."""
     docs = load(spark, d, "documents")
@@ -83,12 +127,32 @@ def cluster_sheet(spark, d):
 _R8 = "list_transform(range(1, greatest(0, len(ws) - 7) + 1), lambda i: array_to_string(ws[i:i+7], ' '))"
 
 
-@query(f"WITH w AS (SELECT {_WORDS} AS ws FROM documents), r AS (SELECT unnest({_R8}) AS g FROM w) SELECT count(*) AS runs, count(DISTINCT g) AS distinct_runs, round(count(DISTINCT g) / greatest(count(*), 1), 6) AS rate FROM r")
+@query(f"WITH w AS (SELECT {_WORDS} AS ws FROM documents), r AS (SELECT unnest({_R8}) AS g FROM w) SELECT count(*) AS runs, count(DISTINCT g) AS distinct_runs, round(count(DISTINCT g) / greatest(count(*), 1), 6) AS rate, (SELECT round((count(*) - count(DISTINCT sha1(substr(text, 1, 4096)))) / count(*), 6) FROM documents) AS same_head FROM r")
 def self_repetition(spark, d):
     """ND16."""
     return N.self_repetition(load(spark, d, "documents"), "text")
 
 
+@query(
+    f"""WITH m AS (SELECT doc_id, text FROM documents ORDER BY sha1('s|' || doc_id), doc_id LIMIT 400), w AS (SELECT doc_id, list_distinct({_WORDS}) AS ws FROM m), e AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS x FROM w), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (min(a.n) + min(b.n) - count(*)) AS j FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+    c AS (SELECT count(*) FILTER (j >= 0.3 AND j < 0.5) AS x, count(*) FILTER (j >= 0.5 AND j < 0.7) AS y, count(*) FILTER (j >= 0.7) AS z FROM p), k AS (SELECT count(*) FILTER (len(ws) > 0) AS n FROM w)
+    SELECT CAST(n * (n - 1) // 2 AS BIGINT) AS pairs, x AS from_0_3, y AS from_0_5, z AS from_0_7, round((x + y) / greatest(n * (n - 1) // 2, 1), 6) AS reskin_rate FROM c, k"""
+)
+def reskin_bands(spark, d):
+    """ND16, R2: pairs of 400 sampled documents by the similarity of their words; sampling is the operator."""
+    from ..operators.sampling import global_sample
+
+    return N.similarity_bands(global_sample(load(spark, d, "documents").select("doc_id", "text"), "doc_id", 400, "s"), "doc_id", "text")
+
+
+@query()
+def cluster_mass(spark, d):
+    """ND16, R3: how much of 2,000 sampled documents the ten largest of fifty clusters hold; sampling is the operator."""
+    from ..operators.sampling import global_sample
+
+    return N.cluster_mass(global_sample(load(spark, d, "documents").select("doc_id", "text"), "doc_id", 2000, "c"), "text", 50)
+
+
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), g AS (SELECT doc_id, unnest(list_distinct({_R8})) AS g FROM w), r AS (SELECT doc_id, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS r FROM g)
     SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r WHERE r > 3)""")
 def gram_budget(spark, d):
@@ -181,12 +245,34 @@ def embedding_logistic(spark, d):
     return C.rank_auc(scored.withColumn("y", F.col("label") == 1.0), "y", "score", ["vec_id"])
 
 
+def _head(spark, d, kind: str):
+    """A head that tells code from prose, cross-validated; its area under the curve and the percentiles of its scores with the penalty."""
+    t = load(spark, d, "l2_dataset").where("text is not null and doc_id is not null and rubric_kind is not null").select("doc_id", "chunk_idx", "text", (F.col("rubric_kind") == "code").alias("code")).distinct()
+    scored = materialize(C.text_head(t, ["doc_id", "chunk_idx"], "text", F.col("code"), kind), "scored")
+    auc = C.rank_auc(scored.withColumn("y", F.col("label") == 1), "y", "score", ["doc_id", "chunk_idx"])
+    return auc.join(C.score_percentiles(scored.withColumn("final", C.penalised(F.col("score"), "text", SPAM_SCORE)), "final"))
+
+
 @query()
 def text_quality_head(spark, d):
-    """A head on hashed grams, code against prose."""
-    t = load(spark, d, "l2_dataset").where("text is not null").select("doc_id", "chunk_idx", "text", "rubric_kind")
-    _, scored = C.text_head(t, "text", F.col("rubric_kind") == "code")
-    return scored.agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 4).alias("accuracy"))
+    """A head on hashed character grams, five folds."""
+    return _head(spark, d, "chars")
+
+
+@query()
+def byte_word_head(spark, d):
+    """A head on byte grams and a bag of words, five folds."""
+    return _head(spark, d, "bytes")
+
+
+@query(
+    f"WITH s AS (SELECT n_chars / 1000 - CASE WHEN regexp_matches(text, {lit(SPAM_SCORE)} || '|' || 'museum') THEN 5 ELSE 0 END AS s FROM documents) SELECT count(s) AS n, "
+    + ", ".join(f"quantile_cont(s, {x}) AS p{round(100 * x)}" for x in (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)) + " FROM s"
+)
+def penalised_percentiles(spark, d):
+    """C4 over all documents: length as the score; a word of this corpus stands beside the spam, of which it has none."""
+    t = load(spark, d, "documents").withColumn("s", C.penalised(F.col("n_chars") / 1000, "text", SPAM_SCORE + "|museum"))
+    return C.score_percentiles(t, "s")
 
 
 _TOKS = f"regexp_extract_all(text, {lit(T.WORD)})"

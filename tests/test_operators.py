@@ -172,8 +172,38 @@ def test_keep_whole_and_cross_share_see_all_pairs(spark):
     t = spark.createDataFrame(rows, "id long, text string, domain string")
     pairs = near.similar_pairs(t, "id", "text")
     assert sorted(r.id for r in near.keep_whole(t, "id", "domain", "whole", pairs).collect()) == [2, 5]
-    r = near.report(pairs, t, "id", "domain", 5, (0.8,)).first()
-    assert (r.participating, r.dropped, r.groups, r.cross_domain) == (4, 3, 1, round(5 / 6, 6))
+    r = near.report(pairs, t, "id", "domain", 5, (0.8,), (0.8, 0.99)).first()
+    assert (r.participating, r.dropped, r.groups, r.cross_domain, r.pairs, r.band_pairs) == (4, 3, 1, round(5 / 6, 6), 6, 3) and r.low < 0.8 < r.high
+    assert [(x.a, x.b) for x in near.top_pairs(pairs).collect()] == [(1, 4)]
+    check = near.whole_check(t, "id", "domain", "other", pairs, near.clusters(pairs)).first()
+    assert (check.whole_pairs, check.spared) == (1, 1)
+    empty = near.report(pairs.where("false"), t.where("false"), "id", "domain", 0).collect()
+    assert len(empty) == 3 and all(x.participating == 0 and x.pairs == 0 for x in empty)
+
+
+def test_seen_is_greedy(spark):
+    r = np.random.default_rng(5)
+    sigs = [[int(x) for x in r.integers(0, 4, 6)] for _ in range(120)] + [[9, 9, 9, 9, 9, 9]] * 5
+    kept, want = [], {}
+    for k, s in enumerate(sigs):
+        mine = {(i, *s[2 * i : 2 * i + 2]) for i in range(3)}
+        want[k] = any(mine & other for other in kept)
+        if not want[k]:
+            kept.append(mine)
+    t = spark.createDataFrame(list(enumerate(sigs)), "id long, sig array<long>")
+    assert {x.id: x.seen for x in near.seen_before(t, "id", 3, 2).collect()} == want
+    assert near.seen_before(t.where("false"), "id", 3, 2).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_similarity_bands_equal_all_pairs(spark, block):
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 14, 12)) for _ in range(23)] + ["", None]
+    sets = [set(t.split()) for t in texts if t]
+    alike = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[i + 1 :]]
+    got = near.similarity_bands(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", block=block).first()
+    count = lambda lo, hi: sum(lo <= x < hi for x in alike)
+    assert (got.pairs, got.from_0_3, got.from_0_5, got.from_0_7) == (len(alike), count(0.3, 0.5), count(0.5, 0.7), count(0.7, 2))
 
 
 @pytest.mark.parametrize("block", [1, 3, 512])
@@ -312,6 +342,24 @@ def test_repeats_of_a_long_text():
     assert stats.repeats(words + words[:500])[0] >= 500  # in seconds, not hours
 
 
+def test_quality_heads(spark):
+    r = np.random.default_rng(1)
+    word = lambda letters: "".join(letters[k] for k in r.integers(0, len(letters), 5))
+    rows = [(k, " ".join(word("abcde" if k % 2 else "vwxyz") for _ in range(12)), k % 2 == 1) for k in range(60)] + [(60, None, True), (61, "", False)]
+    t = spark.createDataFrame(rows, "id int, t string, good boolean")
+    for kind in ("chars", "bytes"):
+        scored = score.text_head(t, ["id"], "t", F.col("good"), kind)
+        auc = score.rank_auc(scored.where("id < 60").withColumn("y", F.col("label") == 1), "y", "score", ["id"]).first()
+        assert auc.auc == 1.0 and auc.positives == 30 and scored.count() == 62
+    assert {x.score for x in score.text_head(t.where("good"), ["id"], "t", F.col("good")).collect()} == {0.0}
+    grams = one(spark, score.byte_and_word_grams(F.col("text")), "ab ab")
+    raw = b"ab ab"
+    want = {int.from_bytes(raw[i : i + n], "big") | n << 40 for n in range(2, 6) for i in range(len(raw) - n + 1)}
+    assert want <= set(grams) and len(grams) == len(set(grams)) == len(want) + 2  # the word ab, and ab after ab
+    p = score.score_percentiles(spark.range(101).withColumn("t", F.when(F.col("id") == 100, "必威")).select(score.penalised(F.col("id").cast("double"), "t", "必威").alias("s")), "s").first()
+    assert (p.n, p.p1, p.p50, p.p99) == (101, 1.0, 50.0, 98.0)
+
+
 def test_packed_rows(spark):
     t = spark.createDataFrame([("g", k, list(range(10 * k, 10 * k + k))) for k in range(30)] + [("h", 0, [7]), ("h", 1, None), ("h", 2, []), (None, 1, [1, 2])], "g string, k int, ids array<int>")
     got = {(r.g, r.row): r.ids for r in sinks.packed(t, ["g"], [F.col("k")], "ids", 7).collect()}
