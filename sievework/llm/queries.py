@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from . import budget, cutoff, handwritten, languages, leaks, mixing, neardup, packing
+from .sql import SQL
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,25 +102,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
 
-_DECIDING = """
-WITH deciding AS (
-  SELECT q.domain, q.scorer_name, q.scorer_version, q.quota, l.doc_id,
-         arg_max(l.score, (CAST(CASE WHEN regexp_matches(l.ts, '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN l.ts ELSE l.ts || 'Z' END AS TIMESTAMPTZ), l.score)) AS score
-  FROM score_ledger l JOIN quota_targets q
-    ON lower(trim(l.domain)) = q.domain AND l.scorer_name = q.scorer_name AND l.scorer_version = q.scorer_version
-  WHERE l.score IS NOT NULL AND isfinite(l.score)
-  GROUP BY ALL),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY domain, scorer_name, scorer_version ORDER BY score DESC, doc_id) AS r,
-         count(*) OVER (PARTITION BY domain, scorer_name, scorer_version) AS n
-  FROM deciding)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {
-        "p4_found": _DECIDING + "SELECT DISTINCT domain, doc_id FROM ranked WHERE r <= ceil(quota * n - 1e-9)",
-        "p4_cutoffs": _DECIDING
-        + """SELECT domain, scorer_name, scorer_version, max(n) AS n, count(*) FILTER (r <= ceil(quota * n - 1e-9)) AS kept,
-             min(score) FILTER (r <= ceil(quota * n - 1e-9)) AS cutoff FROM ranked GROUP BY domain, scorer_name, scorer_version""",
-    }
+    return dict(SQL)
