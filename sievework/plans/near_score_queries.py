@@ -298,7 +298,14 @@ def kn_perplexity(spark, d):
     return model.perplexity(docs, "doc_id", "text").select("doc_id", "n_tokens", F.round("perplexity", 4).alias("perplexity"))
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT lang, list_concat(['<s>', '<s>'], {_TOKS}, ['</s>']) AS p FROM documents WHERE len({_TOKS}) > 0), t AS (SELECT lang, p[i-2] || ' ' || p[i-1] AS uv, p[i-1] AS v, p[i] AS w FROM (SELECT lang, p, unnest(range(3, len(p) + 1)) AS i FROM p)),
+    a AS (SELECT * FROM t WHERE lang = 'en'), b AS (SELECT uv, v, w, count(*) AS times FROM t WHERE lang <> 'en' GROUP BY ALL),
+    c3 AS (SELECT uv, w, count(*) AS n3 FROM a GROUP BY ALL), c2 AS (SELECT v, w, count(*) AS n2 FROM a GROUP BY ALL), c1 AS (SELECT w, count(*) AS n1 FROM a GROUP BY ALL),
+    s3 AS (SELECT uv, count(*) AS t3 FROM a GROUP BY ALL), s2 AS (SELECT v, count(*) AS t2 FROM a GROUP BY ALL), s1 AS (SELECT count(*) AS t1 FROM a),
+    j AS (SELECT times, 1e-9 + 0.6 * coalesce(n3 / t3, 0) + 0.3 * coalesce(n2 / t2, 0) + 0.1 * coalesce(n1 / t1, 0) AS p FROM b LEFT JOIN c3 USING (uv, w) LEFT JOIN s3 USING (uv) LEFT JOIN c2 USING (v, w) LEFT JOIN s2 USING (v) LEFT JOIN c1 USING (w), s1)
+    SELECT round(sum(-log2(p) * times) / (SELECT sum(length(text)) FROM documents WHERE lang <> 'en'), 6) AS bits_per_char, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents WHERE lang <> 'en') AS chars FROM j"""
+)
 def bits_per_char(spark, d):
     """C17: English against the other languages of the documents under one model."""
     docs = load(spark, d, "documents")

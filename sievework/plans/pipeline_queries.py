@@ -122,7 +122,12 @@ def output_reasons(spark, d):
     return load(spark, d, "events").select("event_id", V.output_reason(F.col("props")).alias("reason"))
 
 
-@query()
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE contains(text, '```')),
+    f AS (SELECT *, regexp_matches(line, '^\\s*```') AS fence, sum(CASE WHEN regexp_matches(line, '^\\s*```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l),
+    o AS (SELECT doc_id, (k - 1) // 2 AS block, trim(trim(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '`')) AS lang FROM f WHERE fence AND k % 2 = 1), b AS (SELECT doc_id, (k - 1) // 2 AS block, sum(length(line)) + count(*) - 1 AS n FROM f WHERE NOT fence AND k % 2 = 1 GROUP BY ALL)
+    SELECT doc_id, CAST(block AS INT) AS block, lang, CAST(coalesce(n, 0) AS INT) AS n_chars FROM o LEFT JOIN b USING (doc_id, block)"""
+)
 def fenced_blocks(spark, d):
     """V10, F21."""
     t = load(spark, d, "documents").where(F.contains("text", F.lit("```"))).select("doc_id", F.posexplode(V.code_blocks("text")).alias("block", "b"))
@@ -292,7 +297,10 @@ def json_leaves(spark, d):
     return t.groupBy("l.kind").agg(F.count("*").alias("n"), F.sum(F.length("l.value")).alias("chars"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT doc_id AS key, regexp_extract(text, '(?s)(?:问|Q|Question|User)\\s*[：:]\\s*(.*?)\\n\\s*(?:答|A|Answer|Assistant)\\s*[：:]', 1) AS q, regexp_extract(text, '(?s)\\n\\s*(?:答|A|Answer|Assistant)\\s*[：:]\\s*(.*)$', 1) AS a FROM documents WHERE domain = 'chat')
+    SELECT key, length(trim(nullif(q, ''))) AS question_chars, length(trim(nullif(a, ''))) AS answer_chars FROM c"""
+)
 def split_answers(spark, d):
     """SRC12, SRC13: question and answer of the chats."""
     t = readers.mapped(load(spark, d, "documents").where("domain = 'chat'"), {"key": "doc_id", "content": "text"})
@@ -335,7 +343,7 @@ def divergence_streamed(spark, d):
     return spark.read.parquet(f"{out}/data")
 
 
-@query()
+@query("SELECT CAST(1 AS BIGINT) AS files, CAST(sum(octet_length(encode(item_id)) + 1) AS BIGINT) AS bytes FROM eval_items")
 def folder_fingerprint(spark, d):
     """The files of the items' table."""
     path = streams.out_folder(spark, "fp")

@@ -88,7 +88,10 @@ def run_comparison(spark, d):
     return _arms(spark, d).agg(F.count("*").alias("common"), F.sum("a").alias("hits_a"), F.sum("b").alias("hits_b"), F.count_if(F.expr("a = 1 and b = 0")).alias("only_a"), F.count_if(F.expr("a = 0 and b = 1")).alias("only_b"))
 
 
-@query()
+@query(
+    f"""WITH {_AB}, c AS (SELECT count(*) FILTER (a = 1 AND b = 0) AS x, count(*) FILTER (a = 0 AND b = 1) AS y FROM ab), t AS (SELECT x, y, x + y AS n, least(x, y) AS k FROM c)
+    SELECT x AS only_a, y AS only_b, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END, 9) AS p FROM t"""
+)
 def mcnemar_test(spark, d):
     """A9 on the same arms."""
     c = _arms(spark, d).agg(F.count_if(F.expr("a = 1 and b = 0")).alias("only_a"), F.count_if(F.expr("a = 0 and b = 1")).alias("only_b"))
