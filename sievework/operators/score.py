@@ -139,20 +139,39 @@ def _each(padded: Column, first: int, make) -> Column:
 
 
 def gram_counts(df: DataFrame, text: str, order: int) -> DataFrame:
-    """o, ctx, word, n of every n-gram of orders 1..order with its padding (C6). Counts are combined before the shuffle."""
-    gram = lambda o: lambda p, i: F.struct(F.lit(o).alias("o"), F.array_join(F.slice(p, i - o + 1, F.lit(o - 1)), " ").alias("ctx"), F.get(p, i - 1).alias("word"))
-    t = df.where(F.size(T.word_tokens(text)) > 0)
-    one = t.select(_each(_padded(text, order - 1), order, lambda p, i: F.array(*(gram(o)(p, i) for o in range(1, order + 1)))).alias("g"))
-    return one.select(F.explode("g").alias("g")).select("g.*").groupBy("o", "ctx", "word").agg(F.count("*").alias("n"))
+    """o, ctx, word, n of every n-gram of orders 1..order with its padding.
 
+    Only the longest grams are cut from the texts; shorter ones are added up from the longer ones' counts.
+    """
+    gram = lambda p, i: F.struct(F.array_join(F.slice(p, i - order + 1, F.lit(order - 1)), " ").alias("ctx"), F.get(p, i - 1).alias("word"))
+    t = df.where(F.size(T.word_tokens(text)) > 0).select(_each(_padded(text, order - 1), order, gram).alias("g"))
+    return _shorter(t.groupBy("g.ctx", "g.word").agg(F.count("*").alias("n")), order)
+
+
+def _shorter(top: DataFrame, order: int) -> DataFrame:
+    """o, ctx, word, n of orders 1..order from the counts ctx, word, n of the longest; every order is written before the next."""
+    out, now = None, materialize(top, "grams")
+    for o in range(order, 0, -1):
+        if o < order:
+            rest = F.when(F.instr("ctx", " ") > 0, F.expr("substr(ctx, instr(ctx, ' ') + 1)")).otherwise("")
+            now = materialize(now.select(rest.alias("ctx"), "word", "n").groupBy("ctx", "word").agg(F.sum("n").alias("n")), "grams")
+        level = now.select(F.lit(o).alias("o"), "ctx", "word", "n")
+        out = level if out is None else level.unionByName(out)
+    return out
 
-def _trigrams(df: DataFrame, text: str, *keys: str) -> DataFrame:
+
+def trigram_uses(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """keys, uv, v, w, times: the words in their contexts, counted per key."""
     use = lambda p, i: F.struct(F.get(p, i - 1).alias("w"), F.get(p, i - 2).alias("v"), F.array_join(F.slice(p, i - 2, F.lit(2)), " ").alias("uv"))
     t = df.where(F.size(T.word_tokens(text)) > 0).select(*keys, _each(_padded(text, 2), 3, use).alias("u"))
     return t.groupBy(*keys, "u.uv", "u.v", "u.w").agg(F.count("*").alias("times"))
 
 
+def counts_of(uses: DataFrame) -> DataFrame:
+    """gram_counts() of order 3 from trigram_uses(), so that texts are cut once."""
+    return _shorter(uses.groupBy(F.col("uv").alias("ctx"), F.col("w").alias("word")).agg(F.sum("times").alias("n")), 3)
+
+
 class KneserNey:
     """Interpolated Kneser-Ney of order 3, trained and used by aggregation and join.
 
@@ -188,10 +207,9 @@ class KneserNey:
         three = grams.join(two, ["v", "w"]).join(self.three.withColumnsRenamed({"ctx": "uv", "word": "w"}), ["uv", "w"], "left").join(self.t3.withColumnRenamed("ctx", "uv"), "uv", "left")
         return three.select("uv", "w", step("c3", "ttypes", "ttotal", F.col("p2")).alias("p"))
 
-    def perplexity(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """key, n_tokens, perplexity of every text with a token. Each distinct trigram of the texts is scored once."""
-        uses = materialize(_trigrams(df, text, key), "uses")
-        p = self.scored(uses.select("uv", "v", "w").distinct())
+    def perplexity(self, uses: DataFrame, key: str) -> DataFrame:
+        """key, n_tokens, perplexity of every text of trigram_uses(), which is best a written table. Each distinct trigram is scored once."""
+        p = self.scored(materialize(uses.select("uv", "v", "w").distinct(), "trigrams"))
         g = uses.join(p, ["uv", "w"]).groupBy(key).agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.log(F.greatest("p", F.lit(1e-12)))).alias("lp"))
         return g.select(key, "n_tokens", F.exp(-F.col("lp") / F.col("n_tokens")).alias("perplexity"))
 
@@ -200,7 +218,7 @@ def bits_per_char(train: DataFrame, test: DataFrame, text: str, lam: tuple[float
     """One row: bits per character of test texts under interpolated 3-, 2- and 1-gram counts of the training texts (C17)."""
     c = gram_counts(train, text, 3)
     tot = c.groupBy("o", "ctx").agg(F.sum("n").alias("t"))
-    uses = _trigrams(test, text).select(F.col("uv").alias("c3"), F.col("v").alias("c2"), F.lit("").alias("c1"), "w", "times")
+    uses = trigram_uses(test, text).select(F.col("uv").alias("c3"), F.col("v").alias("c2"), F.lit("").alias("c1"), "w", "times")
     p = F.lit(1e-9)
     for o, weight in zip((3, 2, 1), lam):
         k = c.where(F.col("o") == o).select(F.col("ctx").alias(f"c{o}"), F.col("word").alias("w"), F.col("n").alias(f"n{o}"))

@@ -293,9 +293,9 @@ def ngram_counts(spark, d):
 )
 def kn_perplexity(spark, d):
     """A trigram model of all documents, scored on them."""
-    docs = load(spark, d, "documents")
-    model = C.KneserNey(materialize(C.gram_counts(docs, "text", 3), "grams"))
-    return model.perplexity(docs, "doc_id", "text").select("doc_id", "n_tokens", F.round("perplexity", 4).alias("perplexity"))
+    uses = materialize(C.trigram_uses(load(spark, d, "documents"), "text", "doc_id"), "uses")
+    model = C.KneserNey(C.counts_of(uses))
+    return model.perplexity(uses, "doc_id").select("doc_id", "n_tokens", F.round("perplexity", 4).alias("perplexity"))
 
 
 @query(

@@ -435,7 +435,7 @@ def test_kneser_ney_sums_to_one(spark):
     train = spark.createDataFrame([("a b a c",), ("a b b",), ("c a b",)], "text string")
     model = score.KneserNey(score.gram_counts(train, "text", 3))
     assert 0 < model.d < 1
-    p = {r.id: r.perplexity for r in model.perplexity(spark.createDataFrame([(1, "a b"), (2, "z z z"), (3, ""), (4, None)], "id int, text string"), "id", "text").collect()}
+    p = {r.id: r.perplexity for r in model.perplexity(score.trigram_uses(spark.createDataFrame([(1, "a b"), (2, "z z z"), (3, ""), (4, None)], "id int, text string"), "text", "id"), "id").collect()}
     assert set(p) == {1, 2} and p[1] < p[2]
     with pytest.raises(ValueError):
         score.KneserNey(score.gram_counts(train.limit(0), "text", 3))
