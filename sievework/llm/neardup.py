@@ -6,8 +6,8 @@
    a bucket of m texts gives m - 1 candidate edges. Buckets are found by a range sort, so a hot one is many tasks' work.
 3. A sketch of one bit per bin drops edges between texts that merely share stock phrases.
 4. The components of what is left are small groups; within each, all pairs are compared exactly, which also finds
-   pairs that no bucket holds. Components beyond GROUP texts are cut into blocks by hash; every pair of blocks is a
-   group of its own, so no pair is left out, and no task gets an unbounded group.
+   pairs that no bucket holds. The texts of components beyond GROUP are joined by an exact prefix filter instead, so no
+   pair is left out, no task gets an unbounded group, and no work grows with the square of a component.
 Texts with the same runs are one class from the start. Pairs between classes are expanded to documents as long as
 both classes have at most COPIES documents; of a larger class the first document stands for the others, to which it
 is paired.
@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import similar
 from ..operators.components import connected_components
 from ..operators.ordered import stars
 from ..session import materialize, temporary
@@ -161,7 +162,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = rows.drop_duplicates(ignore_index=True)  # a record delivered very often is one text
             if not len(rows):
                 continue
-            last = (rows[["comp", "i", "j"]] == rows[["comp", "i", "j"]].iloc[-1]).all(axis=1)
+            last = rows["comp"] == rows["comp"].iloc[-1]
             done, rest = rows[~last], rows[last]
         if done is not None and len(done):
             yield _pairs(done.reset_index(drop=True))
@@ -174,24 +175,38 @@ def _pairs(rows: pd.DataFrame) -> pd.DataFrame:
     cut = np.searchsorted(doc, np.arange(n + 1))
     true = keys == rows["rid"].to_numpy()
     out_a, out_b, out_s = [], [], []
-    own = rows["block"].to_numpy()
-    for (_, i, j), at in rows.groupby(["comp", "i", "j"], sort=False).indices.items():
-        blocks: dict[int, dict[int, set[int]]] = {i: {}, j: {}}
+    for at in rows.groupby("comp", sort=False).indices.values():
+        sets: dict[int, set[int]] = {}
         for k in at:
-            if true[k] and keys[k] not in (sets := blocks[own[k]]):
+            if true[k] and keys[k] not in sets:
                 sets[keys[k]] = set(h[cut[k] : cut[k + 1]].tolist())
-        left, right = sorted(blocks[i].items()), sorted(blocks[j].items())
-        for (a, x), (b, y) in itertools.combinations(left, 2) if i == j else itertools.product(left, right):
+        for (a, x), (b, y) in itertools.combinations(sorted(sets.items()), 2):
             small, large = (len(x), len(y)) if len(x) < len(y) else (len(y), len(x))
             if small >= SIMILAR * large:
                 both = len(x & y)
                 if both >= SIMILAR * (small + large - both) - 1e-9:
-                    out_a.append(min(a, b))
-                    out_b.append(max(a, b))
+                    out_a.append(a)
+                    out_b.append(b)
                     out_s.append(both / (small + large - both))
     return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64), "similarity": np.array(out_s, dtype=float)})
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, h: the set of runs of each text whose class is the one asked for."""
+    for batch in batches:
+        doc, h = runs([t or "" for t in batch.column("text").to_pylist()])
+        keys = class_keys(doc, h, batch.num_rows).view(np.int64)
+        by = np.lexsort((h, doc))
+        doc, h = doc[by], h[by]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+        doc, h = doc[new], h[new]
+        real = keys == batch.column("rid").to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), lists], ["id", "h"]).filter(pa.array(real))
+
+
 class NearDuplicates:
     """Pairs of classes of similarity SIMILAR or more, and the documents of each class.
 
@@ -212,15 +227,23 @@ class NearDuplicates:
             self.pairs = keep(materialize(self._verified(usable, connected_components(edges)), "pairs"))
 
     def _verified(self, usable: DataFrame, groups: DataFrame) -> DataFrame:
-        """a, b, similarity of the similar classes (a < b)."""
-        sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+        """a, b, similarity of the similar classes (a < b).
+
+        A component of up to GROUP classes is one task's group, compared in all pairs. Larger ones are joined exactly by
+        prefix filtering, whose work follows the texts that share rare runs and not the square of a component.
+        """
+        sized = materialize(groups.groupBy("component").agg(F.count("*").alias("n")), "sizes")
         one = self.signed.groupBy("rid").agg(F.min(F.struct("doc_id", "chunk_idx")).alias("at"))
-        wanted = (
-            groups.join(sizes, "component").select(F.col("node").alias("rid"), F.col("component").alias("comp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-            .join(one, "rid").select("at.doc_id", "at.chunk_idx", "rid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        )
-        texts = usable.join(wanted, ["doc_id", "chunk_idx"]).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "text")
-        return texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInPandas(_compare, "a long, b long, similarity double").distinct()
+        wanted = groups.join(sized, "component").select(F.col("node").alias("rid"), F.col("component").alias("comp"), (F.col("n") > GROUP).alias("large")).join(one, "rid")
+        texts = usable.join(wanted.select("at.doc_id", "at.chunk_idx", "rid", "comp", "large"), ["doc_id", "chunk_idx"])
+        few = texts.where("not large").select("comp", "rid", "text").repartition("comp").sortWithinPartitions("comp").mapInPandas(_compare, "a long, b long, similarity double")
+        if sized.where(F.col("n") > GROUP).isEmpty():
+            return few.distinct()
+        sets = materialize(texts.where("large").select("rid", "text").mapInArrow(_sets, "id long, h array<long>").dropDuplicates(["id"]), "sets")
+        order = similar.frequent(similar.sample(sets).select(F.explode("h").alias("h")))
+        met = materialize(similar.meeting(similar.keyed(sets, order, SIMILAR), SIMILAR), "meeting")
+        many = similar.exact(met, sets, SIMILAR).select("a", "b", F.col("jaccard").alias("similarity"))
+        return few.unionByName(many).distinct()
 
     def classes(self) -> DataFrame:
         """rid, n, first, members: the documents of each class, listed up to COPIES, else only the first."""
