@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -87,41 +88,59 @@ def token_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], tok
     return t.select(*df.columns, F.col("before").alias("offset"), F.floor(F.col("before") / w).alias("first_row"), last.alias("last_row"), (last < F.floor(F.col("_total") / w)).alias("complete"))
 
 
-def pack_block(sizes: Sequence[int], seq: int, lookahead: int = 16) -> list[int]:
-    """Bin of each item by first fit with a bounded number of open bins; -1 for an item longer than seq."""
-    out, open_bins, n = [], [], 0
-    for s in sizes:
-        if s > seq:
-            out.append(-1)
-            continue
-        k = next((j for j, (_, room) in enumerate(open_bins) if room >= s), None)
-        if k is None:
-            open_bins.append([n, seq])
-            n += 1
-            k = len(open_bins) - 1
-        open_bins[k][1] -= s
-        out.append(open_bins[k][0])
-        if len(open_bins) > lookahead:
-            open_bins.pop(min(range(len(open_bins)), key=lambda j: open_bins[j][1]))
-    return out
-
-
-def sft_pack(df: DataFrame, key: str, size: str, seq: int, block: int = 20_000) -> DataFrame:
+def pack_block(sizes: Sequence[int], seq: int, lookahead: int = 512) -> list[int]:
+    """Row of each item: one row is filled at a time with the first of the next `lookahead` items that fits; when none does,
+    a new row begins. -1 for an item longer than seq (M11)."""
+    out = [-1] * len(sizes)
+    coming = iter([k for k, s in enumerate(sizes) if s <= seq])
+    window: list[int] = []
+    row, room = -1, 0
+    while True:
+        window += itertools.islice(coming, lookahead - len(window))
+        if not window:
+            return out
+        at = next((j for j, k in enumerate(window) if sizes[k] <= room), None)
+        if at is None:
+            row, room = row + 1, seq
+        else:
+            k = window.pop(at)
+            out[k], room = row, room - sizes[k]
+
+
+def sft_pack(df: DataFrame, key: str, size: str, seq: int, block: int = 20_000, lookahead: int = 512) -> DataFrame:
     """key, size, block, bin: examples packed unsplit within blocks of hash-ordered rows; overlong ones have bin -1.
 
-    First fit depends on order, so the order is by hash and local to a block of bounded size.
+    The rule depends on order, so the order is by hash and local to a block of bounded size.
     """
     n = df.agg(F.count("*").alias("n")).first()["n"]
     blocks = max(1, -(-n // block))
-    t = df.select(key, F.col(size).cast("long").alias("size"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+    t = df.select(key, F.col(size).cast("long").alias("size"), F.xxhash64(key).alias("_h")).withColumn("block", F.pmod("_h", F.lit(blocks)))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_h=[hash((x * 2654435761) & 0xFFFFFFFF) if isinstance(x, int) else str(x) for x in rows[key].tolist()]).sort_values(["_h", key]).drop(columns="_h")
-        return rows.assign(bin=pack_block(rows["size"].fillna(0).tolist(), seq))
+        rows = rows.sort_values(["_h", key]).drop(columns="_h")
+        return rows.assign(bin=pack_block(rows["size"].fillna(0).astype(int).tolist(), seq, lookahead))
 
     return t.groupBy("block").applyInPandas(pack, f"{key} {df.schema[key].dataType.simpleString()}, size long, block long, bin long").select(key, "size", "block", "bin")
 
 
+def sft_rows(df: DataFrame, key: str, ids: str, n_prompt: str, seq: int, eos: int, mask: int = -100, **how) -> DataFrame:
+    """block, bin, input_ids, labels, n_examples: the packed rows, each of seq tokens.
+
+    An example is its ids and an end mark. Its prompt carries no loss, nor does the padding of end marks; overlong
+    examples are left out, since a cut one would miss its question or its end. A row is bounded, so its parts are
+    gathered in one group. keys must tell rows apart.
+    """
+    whole = df.where(F.col(ids).isNotNull()).select(key, F.concat(F.col(ids), F.array(F.lit(eos))).alias("_ids"), F.coalesce(n_prompt, F.lit(0)).alias("_p"))
+    at = sft_pack(whole.withColumn("_n", F.size("_ids")), key, "_n", seq, **how).where("bin >= 0")
+    blank = lambda n, x: F.when(n > 0, F.array_repeat(F.lit(x), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+    labels = F.concat(blank(F.least("_p", F.size("_ids")), mask), F.slice("_ids", F.least(F.col("_p"), F.size("_ids")) + 1, F.size("_ids")))
+    t = whole.join(at.select(key, "block", "bin"), key).select("block", "bin", F.struct(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col("_ids").alias("ids"), labels.alias("labels")).alias("x"))
+    g = t.groupBy("block", "bin").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    pad = lambda c, fill: F.concat(c, blank(seq - F.size(c), fill))
+    flat = lambda f: F.flatten(F.transform("x", lambda e: e[f]))
+    return g.select("block", "bin", pad(flat("ids"), eos).alias("input_ids"), pad(flat("labels"), mask).alias("labels"), F.size("x").alias("n_examples"))
+
+
 def composition(means: dict[str, float], supply: dict[str, int], ratios: dict[str, float]) -> dict[str, int]:
     """Examples per source such that their tokens stand in the ratios, as many as the scarcest source allows."""
     per = {k: ratios[k] / means[k] for k in ratios if ratios[k] > 0}

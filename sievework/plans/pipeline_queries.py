@@ -40,11 +40,17 @@ def secret_report(spark, d):
     return P.secret_report(load(spark, d, "documents"), "source", "text")
 
 
-@query("SELECT 0 AS residual, count(*) AS n FROM documents")
+_HALF = f"CASE WHEN doc_id % 2 = 0 THEN {_TEXT} ELSE text END"
+
+
+@query(
+    f"""WITH a AS (SELECT {_HALF} AS orig FROM documents), b AS (SELECT orig, {_SCRUB} AS once FROM (SELECT orig, orig AS text FROM a)), c AS (SELECT orig, once, {_SCRUB} AS twice FROM (SELECT orig, once, once AS text FROM b))
+    SELECT count(*) FILTER (once <> orig) AS before, count(*) FILTER (twice <> once) AS residual, count(*) AS n FROM c"""
+)
 def scrub_residue(spark, d):
-    """Nothing is left after scrubbing."""
-    t = load(spark, d, "documents").select(P.scrub(F.expr(_TEXT)).alias("text"))
-    return P.residue(t, "text").select(F.col("residual").cast("int").alias("residual"), "n")
+    """Rows with something to scrub, of which every second is given some, and rows that still have some after scrubbing."""
+    t = load(spark, d, "documents").select(F.expr(_HALF).alias("text"))
+    return P.residue(t, "text").select(F.col("residual").alias("before")).join(P.residue(t.select(P.scrub("text").alias("text")), "text"))
 
 
 @query()
@@ -87,13 +93,23 @@ def agentic_pairs(spark, d):
     return V.agentic_pairs(_chats(spark, d), "doc_id", "ms").select("doc_id", "turn", F.md5("prompt").alias("prompt"), F.md5("completion").alias("completion"))
 
 
+#: A message that is put before (place 0) or after a chat, so that every rule has cases in this corpus.
+_PUT = ((0, 1, "assistant", "API Error: 500"), (1, 1, "tool", "tool use was rejected"), (2, 1, "user", "what is <|im_start|> for"), (3, 0, "user", "/compact"), (4, 0, "user", "<system-reminder> be brief"), (5, 1, "assistant", "<invoke name=x>"), (6, 0, "tool", "out"), (7, 1, "tool", "late"), (8, 1, "assistant", "You've reached your limit"))
+
+
 @query(
-    f"""WITH {_MS}, g AS (SELECT c.doc_id, len(roles) AS n, (SELECT role FROM m WHERE m.doc_id = c.doc_id AND turn = 0) AS first, (SELECT count(*) FROM m WHERE m.doc_id = c.doc_id AND role = 'assistant' AND content <> '') AS answers FROM c)
-    SELECT doc_id, CASE WHEN n < 2 THEN 'few_turns' WHEN first <> 'user' THEN 'opening_role' WHEN answers = 0 THEN 'no_answer' END AS reason FROM g"""
+    f"""WITH {_MS}, put(k, place, role, content) AS (VALUES {", ".join(f"({k}, {p}, {lit(r)}, {lit(c)})" for k, p, r, c in _PUT)}), x AS (SELECT doc_id, turn, role, content FROM m UNION ALL SELECT c.doc_id, CASE place WHEN 0 THEN -1 ELSE 1000000 END, role, content FROM c JOIN put ON c.doc_id % 12 = k),
+    y AS (SELECT *, lag(role) OVER (PARTITION BY doc_id ORDER BY turn) AS before FROM x),
+    g AS (SELECT doc_id, count(*) AS n, arg_min(role, turn) AS first, arg_min(content, turn) AS opener, bool_and(role <> 'assistant' OR regexp_matches(content, {lit(V.NON_ANSWER)})) AS mute, bool_or(role = 'assistant' AND regexp_matches(content, {lit(V.ERROR)})) AS error, bool_or(role = 'assistant' AND regexp_matches(content, {lit(V.MARKUP)})) AS call,
+      bool_or(role = 'tool' AND regexp_matches(content, {lit(V.REFUSED)})) AS refused, bool_or(regexp_matches(content, '<\\|im_(?:start|end)\\|>')) AS marks, bool_or(role = 'assistant') AS any_answer, bool_or(role = 'tool' AND coalesce(before, '') <> 'assistant') AS orphan FROM y GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN coalesce(n, 0) < 2 THEN 'few_turns' WHEN first <> 'user' THEN 'opening_role' WHEN regexp_matches(opener, {lit(V.UNACTIONABLE)}) THEN 'unactionable' WHEN mute THEN 'no_answer' WHEN error THEN 'error' WHEN call THEN 'broken_call' WHEN refused THEN 'refused' WHEN marks THEN 'marks'
+      WHEN regexp_matches(substr(opener, 1, 600), {lit(V.MACHINE)}) THEN 'machine' WHEN NOT any_answer THEN 'no_assistant' WHEN orphan THEN 'orphan_tool' END AS reason FROM c LEFT JOIN g USING (doc_id)"""
 )
 def conversation_reasons(spark, d):
-    """F15, F16, F25 (the rules that this corpus can meet)."""
-    return _chats(spark, d).select("doc_id", V.unusable(F.col("ms")).alias("reason"))
+    """Every chat's first reason; a message that a rule looks for is put before or after some."""
+    t = _chats(spark, d)
+    added = lambda place: F.coalesce(*(F.when(F.col("doc_id") % 12 == k, F.array(F.struct(F.lit(r).alias("role"), F.lit(c).alias("content")))) for k, p, r, c in _PUT if p == place), F.array().cast("array<struct<role:string,content:string>>"))
+    return t.select("doc_id", V.unusable(F.concat(added(0), F.coalesce("ms", F.array().cast("array<struct<role:string,content:string>>")), added(1))).alias("reason"))
 
 
 @query(f"WITH {_MS}, k AS (SELECT doc_id, substr(arg_min(content, turn), 1, 120) AS a, substr(arg_max(content, turn), 1, 60) AS b FROM m GROUP BY doc_id) SELECT min(doc_id) AS doc_id, count(*) AS n FROM k GROUP BY a, b")
@@ -239,6 +255,16 @@ def sft_packing(spark, d):
     return M.sft_pack(t, "doc_id", "tokens", 1024)
 
 
+@query(
+    f"""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, {lit(T.WORD)})) AS n FROM documents WHERE text IS NOT NULL AND n_chars > 0) SELECT CAST(sum(n + 1) AS BIGINT) AS tokens, CAST(sum(n + 1 - least(n // 3, n + 1)) AS BIGINT) AS loss_tokens, count(*) AS examples FROM t WHERE n + 1 <= 1024"""
+)
+def sft_rows(spark, d):
+    """Texts as examples, the first third of each as its prompt, packed and padded; what the rows hold in all."""
+    t = load(spark, d, "documents").where("text is not null and n_chars > 0").select("doc_id", F.transform(T.word_tokens("text"), lambda x: F.length(x)).alias("ids")).withColumn("n", F.floor(F.size("ids") / 3).cast("int"))
+    rows = M.sft_rows(t, "doc_id", "ids", "n", 1024, 0)
+    return rows.agg((F.sum(F.size(F.filter("input_ids", lambda x: x > 0))) + F.sum("n_examples")).alias("tokens"), F.sum(F.size(F.filter("labels", lambda x: x >= 0))).alias("loss_tokens"), F.sum("n_examples").alias("examples"))
+
+
 @query(
     f"""WITH s AS (SELECT source, avg({_N}) AS mean, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source), t AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) AS r FROM s),
     v AS (SELECT *, CASE WHEN r = 1 THEN 2.0 ELSE 1.0 END::DOUBLE / mean AS per FROM t WHERE r <= 3) SELECT source, CAST(floor(min(n / per) OVER () * per) AS INT) AS n FROM v"""

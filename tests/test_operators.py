@@ -360,6 +360,22 @@ def test_quality_heads(spark):
     assert (p.n, p.p1, p.p50, p.p99) == (101, 1.0, 50.0, 98.0)
 
 
+def test_sft_rows(spark):
+    rows = [(k, list(range(1, k % 9 + 2)), k % 4) for k in range(200)] + [(900, list(range(50)), 3), (901, None, 1), (902, [5, 6], 9)]
+    got = mix.sft_rows(spark.createDataFrame(rows, "id long, ids array<int>, p int"), "id", "ids", "p", 24, 0, block=60).collect()
+    assert all(len(r.input_ids) == len(r.labels) == 24 for r in got)
+    seen = []
+    for r in got:
+        ids, labels = list(r.input_ids), list(r.labels)
+        for _ in range(r.n_examples):
+            end = ids.index(0)
+            seen.append((ids[: end + 1], labels[: end + 1]))
+            ids, labels = ids[end + 1 :], labels[end + 1 :]
+        assert set(ids) <= {0} and set(labels) <= {-100}
+    want = [([*i, 0], [-100] * min(p, len(i) + 1) + [*i, 0][p:]) for k, i, p in rows if i and k != 900]
+    assert sorted(seen) == sorted(want)
+
+
 def test_packed_rows(spark):
     t = spark.createDataFrame([("g", k, list(range(10 * k, 10 * k + k))) for k in range(30)] + [("h", 0, [7]), ("h", 1, None), ("h", 2, []), (None, 1, [1, 2])], "g string, k int, ids array<int>")
     got = {(r.g, r.row): r.ids for r in sinks.packed(t, ["g"], [F.col("k")], "ids", 7).collect()}
@@ -501,6 +517,7 @@ def test_secrets(spark):
 
 def test_mix():
     assert mix.pack_block([6, 5, 4, 11, 5], 10) == [0, 1, 0, -1, 1]
+    assert mix.pack_block([9, 5, 4, 1], 10, 1) == [0, 1, 1, 1] and mix.pack_block([9, 5, 4, 1], 10, 4) == [0, 1, 1, 0] and mix.pack_block([], 10) == []
     assert mix.composition({"a": 10.0, "b": 20.0}, {"a": 100, "b": 10}, {"a": 1.0, "b": 1.0}) == {"a": 20, "b": 10}
     assert mix.reconciled([0.1, None, 0.1]) == 0.1 and mix.reconciled([]) == 0.0
     with pytest.raises(mix.Drift):
