@@ -7,13 +7,15 @@ estimate's calibration and the earlier-seen test use buckets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import text as T
 from ..session import discard, materialize
@@ -36,31 +38,34 @@ def coefficients(perms: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(0, 1 << 62, perms, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 62, perms, dtype=np.uint64)
 
 
-def minhash(hashes: Column, perms: int) -> Column:
-    """perms minima of a set of hashes (ND3); null for an empty set."""
+def minhash(df: DataFrame, key: str, perms: int) -> DataFrame:
+    """key, hashes, sig of a table key, hashes array<long>: perms minima of each set of hashes (ND3); empty sets are left out.
+
+    Not a function of columns: the optimizer doesn't take a Python function out of a projection whose argument holds
+    lambda functions, as hashes of shingles do.
+    """
     a, b = coefficients(perms)
     mask = np.uint64((1 << 61) - 1)
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def minima(sets: pd.Series) -> pd.Series:
-        sizes = np.array([0 if s is None else len(s) for s in sets])
-        full = np.flatnonzero(sizes)
-        out = pd.Series([None] * len(sets), dtype=object)
-        if len(full):
-            flat = np.concatenate([np.asarray(sets.iloc[i], dtype=np.int64) for i in full]).view(np.uint64)
-            at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+    def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("hashes")), 0))
+            if not batch.num_rows:
+                continue
+            lists = batch.column("hashes")
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            at = np.cumsum(n) - n
             sig = np.stack([np.minimum.reduceat((x * flat + y) & mask, at) for x, y in zip(a, b)], axis=1).astype(np.int64)
-            for k, i in enumerate(full):
-                out.iloc[i] = sig[k]
-        return out
+            ends = np.arange(0, sig.size + 1, perms, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(key), lists, pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))], [key, "hashes", "sig"])
 
-    return minima(hashes)
+    return df.select(key, "hashes").where(F.size("hashes") > 0).mapInArrow(minima, f"{key} {df.schema[key].dataType.simpleString()}, hashes array<long>, sig array<long>")
 
 
 def signed(df: DataFrame, key: str, text: str, words: int = WORDS, perms: int = 96) -> DataFrame:
     """key, hashes, sig of every text that has a shingle, written once."""
-    t = df.select(key, shingle_hashes(T.spaced_words(text), words).alias("hashes")).where(F.size("hashes") > 0)
-    return materialize(t.select(key, "hashes", minhash(F.col("hashes"), perms).alias("sig")), "signed")
+    return materialize(minhash(df.select(key, shingle_hashes(T.spaced_words(text), words).alias("hashes")), key, perms), "signed")
 
 
 def candidates(sig: DataFrame, key: str, bands: int, rows: int) -> DataFrame:
@@ -261,7 +266,7 @@ def recall_bound(jaccard: Column, bands: int, rows: int) -> Column:
 def signed_chars(df: DataFrame, key: str, text: str, n: int = 5, perms: int = 128) -> DataFrame:
     """key, sig of the n-character windows of every text that isn't empty, written once."""
     hashes = F.transform(T.char_grams(T.skeleton(text), n), lambda g: F.xxhash64(g))
-    return materialize(df.select(key, hashes.alias("hashes")).where(F.size("hashes") > 0).select(key, minhash(F.col("hashes"), perms).alias("sig")), "signed")
+    return materialize(minhash(df.select(key, hashes.alias("hashes")), key, perms).select(key, "sig"), "signed")
 
 
 def seen_before(sig: DataFrame, key: str, bands: int, rows: int) -> DataFrame:
