@@ -17,11 +17,15 @@ from ..functions import text as T
 
 
 def first_rows(df: DataFrame, key: Column | str, order: Sequence[str]) -> DataFrame:
-    """The first row of every key by `order` (X1-X3, X13, X15, X18). Ties in all of `order` keep every tied row."""
+    """The first row of every key by `order` (X1-X3, X13, X15, X18). Ties in all of `order` keep every tied row, and rows without a key stay.
+
+    Firsts are folded map-side and joined back on key and order together, so the rows of a key that most rows share are
+    spread by their order.
+    """
     k = F.col(key) if isinstance(key, str) else key
-    t = df.withColumn("_key", k)
-    least = t.where("_key is not null").groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
-    return t.join(least, "_key", "left").where(F.col("_key").isNull() | (F.struct(*order) == F.col("_first"))).select(*df.columns)
+    t = df.withColumn("_key", k).withColumn("_at", F.struct(*order))
+    least = t.where("_key is not null").groupBy("_key").agg(F.min("_at").alias("_at")).withColumn("_hit", F.lit(True))
+    return t.join(least, ["_key", "_at"], "left").where("_key is null or _hit").select(*df.columns)
 
 
 def duplicate_records(df: DataFrame, text: str, source: str, order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -161,6 +161,12 @@ def boilerplate_share(docs: DataFrame, key: str, text: str = "text", least: int
     )
 
 
+def capped(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
+    """The first `most` rows of every group by `order` (Q18); each task keeps no more of a group before the shuffle."""
+    w = Window.partitionBy(group).orderBy(order)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
 def placeholder(text) -> Column:
     """The first 250 characters say that there is nothing to solve."""
     return T.head(_t(text), 250).rlike(PLACEHOLDER)

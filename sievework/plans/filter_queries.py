@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -321,7 +320,7 @@ def early_abort(spark, d):
         SELECT host, count(*) AS n, count(*) FILTER (k <= 100) AS kept FROM r GROUP BY host"""
 )
 def host_cap(spark, d):
-    """At most 100 documents per host. The rank is needed only up to the cap."""
+    """At most 100 documents per host."""
     t = load(spark, d, "documents").where("url is not null").select(T.host("url").alias("host"), "doc_id")
-    ranked = t.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("doc_id")))
-    return ranked.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("k") <= 100).alias("kept"))
+    kept = O.capped(t, "host", "doc_id", 100).groupBy("host").agg(F.count("*").alias("kept"))
+    return t.groupBy("host").agg(F.count("*").alias("n")).join(kept.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).select("host", "n", "kept")
