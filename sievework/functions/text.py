@@ -90,7 +90,8 @@ def code_norm(text) -> Column:
     Comments go first, so a comment mark inside a string cuts it, as in the reference.
     """
     t = F.regexp_replace(_c(text), r"(?s)#[^\n]*|/\*.*?\*/|//[^\n]*", " ")
-    t = F.regexp_replace(t, r"""(?s)"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", " ")
+    # possessive, since a choice repeated over a long literal overflows the stack
+    t = F.regexp_replace(t, r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'""", " ")
     t = F.regexp_replace(t, r"\b\d[\d_.]*\b", "#")
     t = F.regexp_replace(t, rf"\b(?!(?:{'|'.join(CODE_WORDS.split())})\b)[a-zA-Z_]\w*\b", "@")
     return F.regexp_replace(t, r"\s+", " ")
