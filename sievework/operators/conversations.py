@@ -16,7 +16,7 @@ ROLES = {"User": "user", "Assistant": "assistant", "System": "system", "Tool": "
 MESSAGE = StructType([StructField("role", StringType()), StructField("content", StringType())])
 #: What makes a turn unusable (fixed values; names of products stand as any word).
 NON_ANSWER = r"^\s*(?:No response requested\.?|\(no response\)|)\s*$"
-UNACTIONABLE = r"^\s*(?:\[Image:[^\]]*\]\s*)+$|^\s*/[a-z][a-z-]{1,20}\s*$"
+UNACTIONABLE = r"^\s*+(?:\[Image:[^\]]*+\]\s*+)++$|^\s*+/[a-z][a-z-]{1,20}\s*+$"  # possessive, so that no repeated group recurses
 ERROR = (
     r"^\s*(?:API [Ee]rror|Request timed out|\[?Request interrupted by user|Prompt is too long|\w+'s response was cut off"
     r"|You're out of usage credits|You've (?:hit|reached) your|Please run /|Run /usage-credits|Credit balance)"

@@ -115,24 +115,24 @@ def clean_reason(text, score: Column | None = None, cut: float | None = None, le
 def leading_header(text) -> Column:
     """The comment lines and docstring before the first code line.
 
-    A fold over the lines: the state holds the header so far, the open quote, and whether code has begun.
+    A fold over the lines: the state holds how many lines belong to it so far, the open quote, and whether code has begun.
     """
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("quote"), F.lit(False).alias("done"))
+    state = lambda n, quote, done: F.struct(n.alias("n"), quote.alias("quote"), done.alias("done"))
+    none, no, yes = F.lit(""), F.lit(False), F.lit(True)
 
     def step(s, x):
         opens = F.regexp_extract(x, "^[rRuUbBfF]{0,2}(\"\"\"|''')", 1)
         closed = F.size(F.split(x, F.when(opens == "", "\u0000").otherwise(opens))) > 2
-        add = F.concat(s["out"], x, F.lit("\n"))
-        inside, comment = s["quote"] != "", x.rlike(r"^(?:#|//|/\*|\*)")
+        more = s["n"] + 1
         return (
             F.when(s["done"], s)
-            .when(inside, F.struct(add.alias("out"), F.when(F.contains(x, s["quote"]), "").otherwise(s["quote"]).alias("quote"), F.lit(False).alias("done")))
-            .when(opens != "", F.struct(add.alias("out"), F.when(closed, "").otherwise(opens).alias("quote"), F.lit(False).alias("done")))
-            .when(comment, F.struct(add.alias("out"), F.lit("").alias("quote"), F.lit(False).alias("done")))
-            .otherwise(F.struct(s["out"].alias("out"), F.lit("").alias("quote"), F.lit(True).alias("done")))
+            .when(s["quote"] != "", state(more, F.when(F.contains(x, s["quote"]), "").otherwise(s["quote"]), no))
+            .when(opens != "", state(more, F.when(closed, "").otherwise(opens), no))
+            .when(x.rlike(r"^(?:#|//|/\*|\*)"), state(more, none, no))
+            .otherwise(state(s["n"], none, yes))
         )
 
-    return F.aggregate(lines(text), start, step, lambda s: s["out"])
+    return T.let(lines(text), lambda ls: F.array_join(F.transform(F.slice(ls, F.lit(1), F.aggregate(ls, state(F.lit(0), none, no), step, lambda s: s["n"])), lambda x: F.concat(x, F.lit("\n"))), ""))
 
 
 def autogenerated(text) -> Column:

@@ -282,14 +282,15 @@ def cross_validated(df: DataFrame, key: Sequence[str], folds: int = 5, steps: in
     return reduce(DataFrame.unionByName, out).drop("_fold", "features")
 
 
-def text_head(df: DataFrame, key: Sequence[str], text: str, label: Column, kind: str = "chars") -> DataFrame:
+def text_head(df: DataFrame, key: Sequence[str], text: str, label: Column, kind: str = "chars", dim: int | None = None) -> DataFrame:
     """key, text, label, score: the cross-validated score of a logistic head on the grams of a text.
 
-    kind chars: character grams in 2^18 slots (C1, C2); bytes: byte grams and a bag of words in 2^20 slots (C5).
+    kind chars: character grams (C1, C2); bytes: byte grams and a bag of words (C5). dim is the number of slots, by
+    default 2^18 and 2^20; every task of a fit holds some arrays of that length.
     """
     t = df.select(*key, text, label.cast("double").alias("label"))
-    grams, dim = (hashed_grams(text), 1 << 18) if kind == "chars" else (byte_and_word_grams(F.col(text)), 1 << 20)
-    return cross_validated(gram_features(t, grams, dim, kind == "bytes"), key)
+    grams = hashed_grams(text) if kind == "chars" else byte_and_word_grams(F.col(text))
+    return cross_validated(gram_features(t, grams, dim or (1 << 18 if kind == "chars" else 1 << 20), kind == "bytes"), key)
 
 
 __all__ = [n for n in globals() if not n.startswith("_")]

@@ -102,7 +102,7 @@ _PUT = ((0, 1, "assistant", "API Error: 500"), (1, 1, "tool", "tool use was reje
     y AS (SELECT *, lag(role) OVER (PARTITION BY doc_id ORDER BY turn) AS before FROM x),
     g AS (SELECT doc_id, count(*) AS n, arg_min(role, turn) AS first, arg_min(content, turn) AS opener, bool_and(role <> 'assistant' OR regexp_matches(content, {lit(V.NON_ANSWER)})) AS mute, bool_or(role = 'assistant' AND regexp_matches(content, {lit(V.ERROR)})) AS error, bool_or(role = 'assistant' AND regexp_matches(content, {lit(V.MARKUP)})) AS call,
       bool_or(role = 'tool' AND regexp_matches(content, {lit(V.REFUSED)})) AS refused, bool_or(regexp_matches(content, '<\\|im_(?:start|end)\\|>')) AS marks, bool_or(role = 'assistant') AS any_answer, bool_or(role = 'tool' AND coalesce(before, '') <> 'assistant') AS orphan FROM y GROUP BY doc_id)
-    SELECT doc_id, CASE WHEN coalesce(n, 0) < 2 THEN 'few_turns' WHEN first <> 'user' THEN 'opening_role' WHEN regexp_matches(opener, {lit(V.UNACTIONABLE)}) THEN 'unactionable' WHEN mute THEN 'no_answer' WHEN error THEN 'error' WHEN call THEN 'broken_call' WHEN refused THEN 'refused' WHEN marks THEN 'marks'
+    SELECT doc_id, CASE WHEN coalesce(n, 0) < 2 THEN 'few_turns' WHEN first <> 'user' THEN 'opening_role' WHEN regexp_matches(opener, {lit(V.UNACTIONABLE.replace('*+', '*').replace('++', '+'))}) THEN 'unactionable' WHEN mute THEN 'no_answer' WHEN error THEN 'error' WHEN call THEN 'broken_call' WHEN refused THEN 'refused' WHEN marks THEN 'marks'
       WHEN regexp_matches(substr(opener, 1, 600), {lit(V.MACHINE)}) THEN 'machine' WHEN NOT any_answer THEN 'no_assistant' WHEN orphan THEN 'orphan_tool' END AS reason FROM c LEFT JOIN g USING (doc_id)"""
 )
 def conversation_reasons(spark, d):

@@ -136,3 +136,23 @@ def test_lossless_kinds(run, docs):
     packed = run("sft_packing")
     fit = packed[packed["bin"] >= 0].groupby(["block", "bin"])["size"].sum()
     assert len(packed) == len(docs) and (fit <= 1024).all()
+
+
+LONG = ["x = \"" + "a" * 300_000 + "\"", "'" + "\\n" * 200_000, "[Image: a]" * 30_000, "/*" + " *" * 200_000, "1 + 1 = 2 " * 40_000, "User: hi\nAssistant: yes\n" * 15_000, "<b>" * 100_000, "-Users-a" * 40_000 + " a@b" * 40_000, "\x1b[0m" * 60_000, "（）" * 150_000, " " * 300_000, "问：甲\n" * 60_000, "# a\n" * 60_000]
+
+
+@pytest.mark.parametrize("text", LONG, ids=range(len(LONG)))
+def test_long_texts_end(spark, text):
+    """No pattern recurses with the length of a text; an overflow of the stack would end the session."""
+    from pyspark.sql import functions as F
+
+    from sievework.functions import text as T
+    from sievework.operators import conversations, pii, tables
+    from sievework.sources import readers
+
+    t = spark.createDataFrame([(text,)], "t string")
+    made = [T.code_norm("t"), T.clean_context("t"), T.question_body("t"), T.squash("t"), T.skeleton("t"), pii.scrub("t"), filters.leading_header("t"), readers.question_answer(F.col("t"))["answer"]]
+    rules = [filters.light_reason("t"), filters.web_reason("t"), filters.clean_reason("t"), filters.chain_reason("t", "t"), filters.markup_kind("t"), filters.weighted_types("t", tables.weighted(tables.PROBLEM_TYPES))["primary"], F.size(T.word_tokens("t")), F.size(pii.high_entropy_tokens(F.col("t"))), F.array_join(pii.credential_classes(F.col("t")), ",")]
+    struct = F.array(F.struct(F.lit("user").alias("role"), F.col("t").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("t").alias("content")))
+    row = t.select(*(F.length(c).alias(f"c{k}") for k, c in enumerate(made)), *(r.alias(f"r{k}") for k, r in enumerate(rules)), conversations.unusable(struct).alias("u"), filters.equation_check("t").alias("e")).first()
+    assert row is not None
