@@ -44,8 +44,8 @@ def near_dup_survivors(spark, d):
 
 @query(
     f"""{_GROUPS}, y AS (SELECT t, count(*) AS participating, count(DISTINCT c) AS groups FROM k GROUP BY t), x AS (SELECT h.t, count(*) AS pairs, count(*) FILTER (p.source <> q.source) AS cr FROM h JOIN documents p ON h.a = p.doc_id JOIN documents q ON h.b = q.doc_id WHERE p.source IS NOT NULL AND q.source IS NOT NULL GROUP BY h.t),
-    m AS (SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM s WHERE j >= 0.7 AND j < 0.85) AS band_pairs), z AS (SELECT *, participating / total AS p FROM y JOIN x USING (t), m)
-    SELECT t AS threshold, participating, participating - groups AS dropped, groups, round(p, 6) AS participation, pairs, round(cr / pairs, 6) AS cross_domain, band_pairs,
+    m AS (SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM s WHERE j >= 0.7 AND j < 0.85) AS band_pairs), z AS (SELECT t, coalesce(participating, 0) AS participating, coalesce(groups, 0) AS groups, coalesce(pairs, 0) AS pairs, cr, total, band_pairs, coalesce(participating, 0) / total AS p FROM (VALUES (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) v(t) LEFT JOIN y USING (t) LEFT JOIN x USING (t), m)
+    SELECT t AS threshold, participating, participating - groups AS dropped, groups, round(p, 6) AS participation, pairs, CASE WHEN pairs > 0 THEN round(cr / pairs, 6) END AS cross_domain, band_pairs,
       round((p + 1.96 * 1.96 / (2 * total)) / (1 + 1.96 * 1.96 / total) - 1.96 * sqrt(p * (1 - p) / total + 1.96 * 1.96 / (4 * total * total)) / (1 + 1.96 * 1.96 / total), 6) AS low,
       round((p + 1.96 * 1.96 / (2 * total)) / (1 + 1.96 * 1.96 / total) + 1.96 * sqrt(p * (1 - p) / total + 1.96 * 1.96 / (4 * total * total)) / (1 + 1.96 * 1.96 / total), 6) AS high FROM z"""
 )
