@@ -42,8 +42,6 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _ADDRESS = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+|\$\$.*?\$\$|`[^`\n]*`", re.S)
 _QUOTE = re.compile(r"[“„«»「『][^“”„«»」』\n]{1,240}[”“»«」』]")
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|={2,}\s).*$", re.M)
-_STOP = re.compile(r"[。！？]")
-_MARK = re.compile(r"(?:[^\w\x00-\x7f]|[^\D\x00-\x7f])+")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _EIGHT = re.compile(r"(?:[^\W\d_][\W\d_]*){8}")
 #: What each byte of a text is: part of a letter, a gap, the end of a sentence, of a line, of a text.
@@ -74,6 +72,25 @@ def prose(text: str) -> str:
     return text
 
 
+def _mark(raw: np.ndarray, kind: np.ndarray) -> None:
+    """Gaps and ends of sentences among the characters beyond ASCII, by the first bytes of their blocks.
+
+    General punctuation and symbols (E2), CJK punctuation (E3 80), full-width forms (EF BC, EF BD), Latin-1 marks (C2) and
+    pictographs (F0 9F) are no letters; the full-width stop, exclamation and question marks end a sentence.
+    """
+    first = np.flatnonzero(raw >= 0xC2)
+    lead, then = raw[first], raw[np.minimum(first + 1, len(raw) - 1)]
+    for which, size in (
+        (lead == 0xC2, 2), (lead == 0xE2, 3), ((lead == 0xE3) & (then == 0x80), 3), ((lead == 0xEF) & ((then == 0xBC) | (then == 0xBD)), 3), ((lead == 0xF0) & (then == 0x9F), 4),
+    ):
+        at = first[which]
+        for k in range(size):
+            kind[at + k] = _GAP
+        if size == 3 and len(at):
+            last = raw[at + 2]
+            kind[at[((raw[at] == 0xE3) & (last == 0x82)) | ((raw[at] == 0xEF) & (raw[at + 1] == 0xBC) & ((last == 0x81) | (last == 0x9F)))]] = _END
+
+
 class Sentences:
     """The sentences of many texts, as ranges of one array of bytes that holds letters with single spaces.
 
@@ -83,11 +100,9 @@ class Sentences:
 
     def __init__(self, texts: list[str]):
         bodies = [prose(t).replace("\0", " ").lower() for t in texts]
-        for k, t in enumerate(bodies):
-            if not t.isascii():
-                bodies[k] = _MARK.sub(" ", _STOP.sub(".", t))
         raw = np.frombuffer(("\0" + "\0".join(bodies)).encode("utf-8", "ignore"), dtype=np.uint8)
         kind = _KIND[raw]
+        _mark(raw, kind)
         letter = kind == _LETTER
         edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1  # a text begins and ends outside of letters
         start, stop = edge[::2], edge[1::2] if len(edge) % 2 == 0 else np.append(edge[1::2], len(raw))
