@@ -26,13 +26,14 @@ BLOCK, UNIFORM, PROSE = 0.42, 0.45, 4
 LONG_LINE, TIMES = 150, 5
 # What a header line may say, as regular expressions over one lower-cased comment line without its marks. No phrase is
 # listed whole: a file is judged by how many kinds of statement stand together.
-_FILE = r"\b[\w-]+\.(?!com\b|org\b|net\b|io\b)[a-z]\w{0,9}(?:\.\w{1,9})?\b"
+_FILE = r"(?<![\w-])[\w-]++\.(?!com\b|org\b|net\b|io\b)[a-z]\w{0,9}(?:\.\w{1,9})?\b"
 _VERSION = r"\bv?\d+\.\d+(?:\.\d+)*(?:[-+]\w+)?\b"
 _HASH = r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,40}\b"
 #: Statements about how a file came to be.
 MAKING = {
     "made": r"generat(?:ed|or)|autogen|g[ée]n[ée]r[ée]|generad|gerad[oa]|erzeugt|generiert|生成|\b(?:machine|tool|computer)[- ]?(?:made|built|written|produced)"
-    r"|\b(?:produced|emitted|compiled|transpiled|rendered|created|built|derived) (?:by|from|with|using)\b|\boutput of\b",
+    r"|\b(?:produced|emitted|compiled|transpiled|rendered) (?:by|from)\b|\boutput of\b",
+    "stated": r"^@?(?:(?:this|the) )?(?:(?:file|code|source|module|script|header|document) )?(?:(?:was|is|has been) )?(?:automatically |auto-?|machine-?)?(?:generated|produced|emitted) (?:automatically )?(?:by|from|with|using)\b",
     "automatic": r"\bauto|\bautomat|自动|\bmachine[- ]",
     "source": rf"{_FILE}|{_VERSION}|\b\d{{4}}-\d{{1,2}}-\d{{1,2}}\b|\b(?:compiler|code ?gen\w*|generator|schema tool|preprocessor)\b",
     "hands_off": r"(?:do not|don't|never|must not|please no|nicht|ne pas|n[ãa]o|请勿|勿|不要)\W*(?:be )?(?:edit\w*|modif\w*|change\w*|alter\w*|touch\w*|von hand|手工|手动|修改|编辑)"

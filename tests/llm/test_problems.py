@@ -140,7 +140,7 @@ HAND = "import os\n\n\ndef area(w, h):\n    # the rows generated by the sampler
         ("/*! lib v1.2.3 */\n", "vendored"), ("# Foo -- single-file build, version 2.0.1\nx = 1\n", "vendored"), ("# Copyright 2020 the Foo team\n# Part of the foo project, see LICENSE.\nx = 1\n", None),
         ("# Replaces the old auto generated names of foo.\nx = 1\n", None), ("x = 'Code generated by fooc 1.2. DO NOT EDIT.'\n", None), ("# do not edit the cut without asking Ann first\n", None), ("# Drop-in for the vendored foo we removed last year; rewritten from scratch.\n", None), (HAND, None), ("", None),
         # wordings that no rule lists as a whole
-        ("# Emitted by barc 2.0 from bar.idl\nx = 1\n", "generated"), ("// Machine-generated from schema/a.proto\n", "generated"), ("// Never modify this file directly.\nint x;\n", "generated"), ("# Edits will be discarded at the next build.\n", "generated"), ("# Ne pas modifier. Généré par outil 3.2\n", "generated"),
+        ("# Emitted by barc 2.0 from bar.idl\nx = 1\n", "generated"), ("// Machine-generated from schema/a.proto\n", "generated"), ("# This file was generated by foo\nx = 1\n", "generated"), ("# Written by Ann and Bob\nx = 1\n", None), ("// Created by Ann on 2024-01-02.\nint x;\n", None), ("# Built with numpy 1.26\nx = 1\n", None), ("# Written by Ann in 2024-01-02\nx = 1\n", None), ("# Derived from the sum of rows\nx = 1\n", None), ("// Never modify this file directly.\nint x;\n", "generated"), ("# Edits will be discarded at the next build.\n", "generated"), ("# Ne pas modifier. Généré par outil 3.2\n", "generated"),
         ("// Mirrored from libfoo at 9f3c2ab1\nint x;\n", "vendored"), ("# Snapshot of foo, release 2.4.1\nx = 1\n", "vendored"), ("/*\n * Taken from external/foo/bar.c\n * Local patches: none\n */\n", "vendored"), ("# forked; report bugs to upstream\n# revision 1a2b3c4d5e\n", "vendored"),
         # statements on other things than the file
         ("# needs numpy 1.26 or later\nx = 1\n", None), ("# Licensed under the MIT licence, see LICENSE.\n# Copyright 2021 the Foo team\n", None), ("# the generated tables are rebuilt by make\nx = 1\n", None), ("# copy the rows before sorting\nx = 1\n", None), ("# changed in 2024-01-02: reads the old format too\n", None),
