@@ -389,13 +389,13 @@ def packed_prompt_holdout(spark, d):
 
 @query("SELECT domain, count(*) - CAST(sum(CASE WHEN last THEN 1 ELSE 0 END) AS BIGINT) AS ids, CAST(sum(CASE WHEN last THEN 1 ELSE 0 END) AS BIGINT) AS torn FROM (SELECT domain, doc_id = max(doc_id) OVER (PARTITION BY domain) AS last FROM documents) GROUP BY domain")
 def lenient_read(spark, d):
-    """SRC6, SRC7: one file of JSON lines per domain, the last line of each torn in its middle, read by id."""
+    """SRC6, SRC7: JSON lines in a folder per domain, the last line of each domain torn in its middle, read by id."""
     path = streams.out_folder(spark, "lenient")
     t = load(spark, d, "documents").select("doc_id", "text", F.coalesce("domain", F.lit("")).alias("domain"))
     line = F.to_json(F.struct("doc_id", "text"))
     last = t.groupBy("domain").agg(F.max("doc_id").alias("last"))
-    lines = t.join(F.broadcast(last), "domain").select("domain", "doc_id", F.when(F.col("doc_id") == F.col("last"), F.expr("substr(to_json(struct(doc_id, text)), 1, length(to_json(struct(doc_id, text))) div 2)")).otherwise(line).alias("value"))
-    lines.repartition("domain").sortWithinPartitions("domain", "doc_id").select("domain", "value").write.partitionBy("domain").text(path)
+    lines = t.join(last, "domain").select("domain", "doc_id", F.when(F.col("doc_id") == F.col("last"), F.expr("substr(to_json(struct(doc_id, text)), 1, length(to_json(struct(doc_id, text))) div 2)")).otherwise(line).alias("value"))
+    lines.sortWithinPartitions("domain", "doc_id").select("domain", "value").write.partitionBy("domain").text(path)
     got = readers.torn_tail(spark, path, "doc_id").withColumn("domain", F.url_decode(F.regexp_extract("file", "domain=([^/]*)/", 1)))
     return got.groupBy("domain").agg(F.count("id").alias("ids"), F.count_if("torn").alias("torn"))
 

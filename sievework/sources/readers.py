@@ -52,14 +52,17 @@ def accounted(rows: DataFrame) -> DataFrame:
 
 
 def torn_tail(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """id of every readable line, and torn: the file's last line is cut off (SRC6). A broken line elsewhere is an error."""
-    t = spark.read.text(path, lineSep="\n", wholetext=False).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n")).where(F.trim("value") != "")
-    t = t.withColumn("id", F.get_json_object("value", f"$.{key}")).withColumn("ok", F.try_parse_json("value").isNotNull())
-    last = t.groupBy("file").agg(F.max("n").alias("last"))
-    j = t.join(last, "file")
-    if not j.where("not ok and n <> last").isEmpty():
+    """file, id of every readable line, and torn: the file's last line is cut off (SRC6). A broken line elsewhere is an error.
+
+    A line's place in its file is the place of the split that holds it, then its order within the split.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    t = spark.read.text(path, lineSep="\n", wholetext=False).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")).where(F.trim("value") != "")
+    t = t.select("file", "place", F.get_json_object("value", f"$.{key}").alias("id"), F.try_parse_json("value").isNotNull().alias("ok"))
+    last = t.groupBy("file").agg(F.max("place").alias("last"))
+    if not t.where("not ok").join(last, "file").where("place <> last").isEmpty():
         raise ValueError("a broken line that is not the last")
-    return j.where("ok").select("file", "id").unionByName(j.where("not ok").select("file", F.lit(None).cast("string").alias("id"))).withColumn("torn", F.col("id").isNull())
+    return t.select("file", F.when(F.col("ok"), F.col("id")).alias("id"), (~F.col("ok")).alias("torn"))
 
 
 def mapped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
