@@ -337,6 +337,15 @@ def test_repeats_equal_brute_force(text, gram):
     assert stats.repeats(list(text), gram, least_span=6) == (longest, len({i + k for i in twice for k in range(gram)}), tail)
 
 
+def test_wilson_of_many_trials(spark):
+    low, high = one(spark, F.struct(*(x.alias(c) for x, c in zip(stats.wilson(F.lit(10), F.lit(100_000), 1.96), "lh"))))
+    p, n, z = 1e-4, 100_000, 1.96
+    mid, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    assert (low, high) == (pytest.approx(mid - half), pytest.approx(mid + half))
+    pairs, t = spark.createDataFrame([(1, 2, 0.9)], "a long, b long, jaccard double"), spark.createDataFrame([(1, "x"), (2, "y")], "id long, domain string")
+    assert near.report(pairs, t, "id", "domain", 100_000, (0.8,)).first().participation == 2e-5  # a corpus of 100,000 texts
+
+
 def test_repeats_of_a_long_text():
     words = [str(x) for x in np.random.default_rng(0).integers(0, 50_000, 200_000)]
     assert stats.repeats(words + words[:500])[0] >= 500  # in seconds, not hours
