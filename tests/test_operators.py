@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -337,6 +338,27 @@ def test_repeats_equal_brute_force(text, gram):
     assert stats.repeats(list(text), gram, least_span=6) == (longest, len({i + k for i in twice for k in range(gram)}), tail)
 
 
+def test_slots_of_heads(spark):
+    from pyspark.ml.feature import HashingTF
+
+    from sievework.operators import heads
+
+    r = np.random.default_rng(3)
+    values = r.integers(-(1 << 62), 1 << 62, 50)
+    t = HashingTF(inputCol="g", outputCol="f", numFeatures=1 << 18, binary=True).transform(spark.createDataFrame([([int(v) for v in values],)], "g array<long>"))
+    assert sorted(set(heads.slots_of(values, 1 << 18))) == [int(i) for i in t.first().f.indices]  # the slots are HashingTF's
+    lists = [np.unique(r.integers(0, 1 << 18, n)) for n in (0, 5, 3000, 1, 0, 40)]
+    slots, n = heads.unpacked(pa.array([heads.packed(x) for x in lists], pa.binary()).slice(1, 4))
+    assert list(n) == [len(x) for x in lists[1:5]] and list(slots) == list(np.concatenate(lists[1:5]))
+    search, by = heads.minimised(np.ones(9), 60), np.arange(1.0, 10)
+    x = next(search)
+    try:
+        while True:
+            x = search.send((by @ x**2 / 2 - x.sum(), by * x - 1))
+    except StopIteration as end:
+        assert np.allclose(end.value, 1 / by, atol=1e-2)
+
+
 def test_wilson_of_many_trials(spark):
     low, high = one(spark, F.struct(*(x.alias(c) for x, c in zip(stats.wilson(F.lit(10), F.lit(100_000), 1.96), "lh"))))
     p, n, z = 1e-4, 100_000, 1.96
