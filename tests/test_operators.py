@@ -359,6 +359,19 @@ def test_slots_of_heads(spark):
         assert np.allclose(end.value, 1 / by, atol=1e-2)
 
 
+def test_byte_grams_leave_python_packed(spark):
+    from sievework.operators import heads
+
+    t = spark.createDataFrame([(k, f"text {k} of some words " * 5 if k else None) for k in range(600)], "id int, t string").coalesce(1)
+    rows = heads.gram_slots(t, "t", score.byte_and_word_hashes, 1 << 18, True).collect()
+    for r in rows[::97]:
+        want = np.unique(heads.slots_of(score.byte_and_word_hashes(r.t), 1 << 18))
+        slots, n = heads.unpacked(pa.array([bytes(r.slots)], pa.binary()))
+        assert list(slots) == list(want) and r.norm == pytest.approx(math.sqrt(len(want))) and r.times is None
+        assert len(r.slots) <= len(want) + (1 << 18) // 255  # 8 bytes a gram before
+    assert len(rows) == 600
+
+
 def test_wilson_of_many_trials(spark):
     low, high = one(spark, F.struct(*(x.alias(c) for x, c in zip(stats.wilson(F.lit(10), F.lit(100_000), 1.96), "lh"))))
     p, n, z = 1e-4, 100_000, 1.96
